@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.operators.hierarchy import descendants_of
+from termweave.runtime import small_table
 from termweave.schemas import ATTRIBUTE_ROOT, EXTRA_ATTRIBUTES
 
 
@@ -60,8 +61,8 @@ def combine(
 def attribute_types(edges: DataFrame, names: DataFrame, root: str = ATTRIBUTE_ROOT) -> DataFrame:
     """Descendants of the attribute root plus the fixed "or self" entries, by name."""
     spark = edges.sparkSession
-    start = spark.createDataFrame([(root,)], "concept_id string")
-    fixed = spark.createDataFrame(list(EXTRA_ATTRIBUTES), "concept_id string, default_term string")
+    start = small_table(spark, [(root,)], "concept_id string")
+    fixed = small_table(spark, EXTRA_ATTRIBUTES, "concept_id string, default_term string")
     below = descendants_of(edges, start).join(names, "concept_id").select("concept_id", "default_term")
     return below.unionByName(fixed).orderBy("default_term", "concept_id")
 

@@ -23,9 +23,9 @@ def union_axes(*axes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def next_id(df: DataFrame, id_column: str) -> Column:
-    """One above the highest id, as a scalar subquery."""
-    return df.agg((F.coalesce(F.max(id_column), F.lit(0)) + 1).alias("next_id")).scalar()
+def next_id(df: DataFrame, id_column: str) -> int:
+    """One above the highest id."""
+    return (df.agg(F.max(id_column)).first()[0] or 0) + 1
 
 
 def append_new(existing: DataFrame, candidates: DataFrame, keys: Sequence[str], id_column: str) -> DataFrame:

@@ -217,7 +217,7 @@ def bridge_mappings(bridge: DataFrame, old_concepts: DataFrame, new_concepts: Da
     return ranked(joined, *map(F.col, order), name="order_no")
 
 
-def bridge_events(matches: DataFrame, user_id: Column, start: Column | int) -> DataFrame:
+def bridge_events(matches: DataFrame, user_id: Column, start: int = 1) -> DataFrame:
     """Mapping events of a bridge load: no dialect and no comment."""
     return matches.select(
         (F.col("order_no") - 1 + start).alias("mapping_id"),
@@ -238,7 +238,7 @@ def derive_event_type(requests: DataFrame) -> DataFrame:
     )
 
 
-def request_events(requests: DataFrame, start: Column | int = 1) -> DataFrame:
+def request_events(requests: DataFrame, start: int = 1) -> DataFrame:
     """One event per concept of a request: the page concept, then the selected ones in order."""
     concepts = F.concat(F.array("concept_id"), F.coalesce("old_concepts", F.array().cast("array<bigint>")))
     exploded = derive_event_type(requests).select(
@@ -256,7 +256,7 @@ def apply_requests(
     concept: DataFrame,
     dialects: DataFrame,
     existing: DataFrame,
-    start: Column | int = 1,
+    start: int = 1,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Map concepts by request: create missing target concepts, then append the events.
 

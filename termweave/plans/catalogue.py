@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termweave.plans import fixtures as fx
-from termweave.plans import loaders, loading_queries
+from termweave.plans import loaders, loading_queries, mapping_queries, terminology_queries, worklist_queries
 from termweave.plans.registry import ORACLE, QUERIES
 from termweave.sources import seeds
 

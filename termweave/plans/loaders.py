@@ -147,7 +147,7 @@ def load_organisation(tables: Tables, loader: Loader, raw: DataFrame) -> Tables:
     return loaded
 
 
-def load_bridge(tables: Tables, raw: DataFrame, user_id: int, start: int | Column = 1) -> tuple[Tables, DataFrame]:
+def load_bridge(tables: Tables, raw: DataFrame, user_id: int, start: int = 1) -> tuple[Tables, DataFrame]:
     """Concepts of both systems from the bridge, and the mapping events its matches give."""
     bridge = materialise(
         stg.harmonise_strip(raw, "code2").withColumn("conceptid", F.col("conceptid").cast("string"))

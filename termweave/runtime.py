@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # monotonically_increasing_id keeps the partition above bit 33 and the row within it below.
 _ROW_BITS = 33
@@ -61,25 +65,35 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "position", start: int | Column = 1) -> DataFrame:
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A handful of fixed rows as a local relation: no job, known size, pruned when empty."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [()] * len(struct)
+    fields = to_arrow_schema(struct)
+    arrays = [pa.array(values, field.type) for values, field in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=fields), struct)
+
+
+def ranked(df: DataFrame, *order: Column, name: str = "position", start: int = 1) -> DataFrame:
     """Add consecutive numbers in the given order without gathering the rows in one task.
 
     A range-partitioned sort is materialised, so partition sizes are fixed; each row gets its
-    partition's offset plus its place inside the partition. Only the offsets (one row per
-    partition) pass through a single task and are broadcast. The order must be total.
+    partition's offset plus its place inside the partition. Only the sizes (one number per
+    partition) pass through the driver. The order must be total.
     """
-    placed = (
-        materialise(df.orderBy(*order))
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_slot", _ROW_BITS))
-        .withColumn("_row", F.col("_slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-    )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")
-    offsets = sizes.select("_part", before.alias("_before"))
-    base = start if isinstance(start, Column) else F.lit(start)
+    slot = F.monotonically_increasing_id()
+    sorted_rows = materialise(df.orderBy(*order))
+    sizes = sorted_rows.groupBy(F.shiftright(slot, _ROW_BITS).alias("part")).count().collect()
+    offsets, before = [], start
+    for part, size in sorted(map(tuple, sizes)):
+        offsets.append((part, before))
+        before += size
+    lookup = small_table(df.sparkSession, offsets, "_part long, _before long")
+    row = F.col("_slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_before") + F.col("_row") + base).cast("long"))
-        .drop("_part", "_slot", "_row", "_before")
+        sorted_rows.withColumn("_slot", slot)
+        .withColumn("_part", F.shiftright("_slot", _ROW_BITS))
+        .join(F.broadcast(lookup), "_part")
+        .withColumn(name, F.col("_before") + row)
+        .drop("_part", "_slot", "_before")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termweave.runtime import small_table
 from termweave.schemas import EVENT_TYPES, TABLES
 
 # Organisations (name, city, country).
@@ -48,10 +49,10 @@ def seed_dimensions(spark: SparkSession) -> dict[str, DataFrame]:
         "dialect": [(i, system_id[s], name, ok) for i, (s, name, ok) in enumerate(DIALECTS, 1)],
         "event_type": list(enumerate(EVENT_TYPES, 1)),
     }
-    return {name: spark.createDataFrame(data, TABLES[name]) for name, data in rows.items()}
+    return {name: small_table(spark, data, TABLES[name]) for name, data in rows.items()}
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The seeds plus empty tables for everything that loading fills."""
-    tables = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+    tables = {name: small_table(spark, [], schema) for name, schema in TABLES.items()}
     return tables | seed_dimensions(spark)
