@@ -5,13 +5,27 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
 from termweave.operators import views
 from termweave.operators.mapping import latest_mappings
-from termweave.schemas import BRIDGE_MAPPING, INCORRECT_CONCEPT, IS_A, NO_MATCH, USER_MAPPING
+from termweave.schemas import (
+    ACCEPTABLE,
+    BRIDGE_MAPPING,
+    INCORRECT_CONCEPT,
+    IS_A,
+    NO_MATCH,
+    PREFERRED,
+    USER_MAPPING,
+)
+from termweave.sources.sinks import write_staging
+
+Build = Callable[[SparkSession, str], DataFrame]
 
 EVENT_NAMES = {
     "purchase": USER_MAPPING,
@@ -28,6 +42,26 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build: Build) -> Build:
+    """Keep a derived table: written to the shared folder once per application, then read back.
+
+    The harmonised tables are stored tables in real use; reading them gives the planner their true
+    size, and no query repeats their derivation.
+    """
+
+    @functools.wraps(build)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key not in _STORED:
+            _STORED[key] = write_staging(build(spark, sf_dir), build.__name__)
+        return spark.read.parquet(_STORED[key])
+
+    return read
+
+
 def with_tables(names: tuple[str, ...], select: str) -> str:
     """``select`` preceded by the common table expressions it needs."""
     ordered: list[str] = []
@@ -268,14 +302,17 @@ SQL["concept_part"] = (
 )
 
 
+@stored
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concept_parts(spark, sf_dir).groupBy("code_text").agg(F.min("concept_id").alias("code_id")).select("code_id", "code_text")
 
 
+@stored
 def term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concept_parts(spark, sf_dir).groupBy("term_text").agg(F.min("concept_id").alias("term_id")).select("term_id", "term_text")
 
 
+@stored
 def concept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         concept_parts(spark, sf_dir)
@@ -294,6 +331,7 @@ SQL["concept"] = (
 )
 
 
+@stored
 def concept_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to two rows per concept, one per line status, and none for every ninth part."""
     line = given(spark, sf_dir, "lineitem").filter("l_partkey % 9 <> 0")
@@ -338,14 +376,16 @@ def users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.v_user(user(spark, sf_dir), organisation(spark, sf_dir))
 
 
-def concepts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def concepts_view(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
+    """``v_concept``; without counts every concept is one row."""
+    metadata = concept_metadata(spark, sf_dir)
     return views.v_concept(
         concept(spark, sf_dir),
         code(spark, sf_dir),
         term(spark, sf_dir),
         organisation(spark, sf_dir),
         dialects_view(spark, sf_dir),
-        concept_metadata(spark, sf_dir),
+        metadata if counted else metadata.limit(0),
     )
 
 
@@ -413,6 +453,7 @@ SQL["replay"] = (
 )
 
 
+@stored
 def mapping_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The settled log of the variant in which every event has a dialect."""
     events = mapping_events(spark, sf_dir)
@@ -774,8 +815,6 @@ SQL["description"] = (
 
 def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as language memberships: two sets, preferred when the quality is 1."""
-    from termweave.schemas import ACCEPTABLE, PREFERRED
-
     return given(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("description_id"),
         F.concat(F.lit("set"), F.col("toxic").cast("string")).alias("language_set"),

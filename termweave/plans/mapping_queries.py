@@ -327,12 +327,12 @@ def destination_groups(spark, sf_dir):
 @query(
     "same_destination",
     "v_mapping",
-    sql=f"""WITH valid_row AS (SELECT * FROM v_mapping WHERE valid AND destination_concept_id IS NOT NULL),
+    sql=f"""SELECT * FROM (WITH valid_row AS (SELECT * FROM v_mapping WHERE valid AND destination_concept_id IS NOT NULL),
   page AS (SELECT DISTINCT source_concept_id FROM valid_row WHERE mapping_id IN (SELECT max(mapping_id) FROM valid_row GROUP BY destination_concept_id))
   SELECT p.source_concept_id AS page_concept_id, m.mapping_id, m.destination_concept_id,
          {SHOWN_SQL.format("m.source_code_text, m.source_term_text").replace("valid,", "m.valid,", 1).replace("last_name", "m.last_name").replace("first_name", "m.first_name").replace("organisation_name", "m.organisation_name").replace("event_type_name", "m.event_type_name").replace("(comment", "(m.comment").replace("strftime(insert_ts", "strftime(m.insert_ts")}
     FROM valid_row m JOIN valid_row p ON m.destination_concept_id = p.destination_concept_id
-   WHERE p.source_concept_id IN (SELECT source_concept_id FROM page)""",
+   WHERE p.source_concept_id IN (SELECT source_concept_id FROM page))""",
 )
 def same_destination(spark, sf_dir):
     """The page of the concept mapped last to each destination."""

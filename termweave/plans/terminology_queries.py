@@ -287,7 +287,7 @@ def _inferred(spark, sf_dir):
     return shown.select("source", "type", "type_name", "target", "target_name", "group_id").distinct()
 
 
-@query("definition_expression", "relationship", "product_name", sql=DEFINITION_SQL)
+@query("definition_expression", "relationship", "product_name", sql=f"SELECT * FROM ({DEFINITION_SQL})")
 def definition_expression(spark, sf_dir):
     return term.definition_expression(fx.product_names(spark, sf_dir), _inferred(spark, sf_dir))
 

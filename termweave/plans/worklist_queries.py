@@ -9,7 +9,6 @@ from termweave.operators import worklist as wl
 from termweave.operators import mapping as log
 from termweave.plans import fixtures as fx
 from termweave.plans.registry import query
-from termweave.runtime import materialise
 
 LIST_KEYS = ["user_id", "source_dialect_id"]
 
@@ -22,15 +21,8 @@ def _notes(spark, sf_dir):
 def worklist(spark, sf_dir):
     """One work list per organisation."""
     concepts = fx.concepts_view(spark, sf_dir)
-    # mappings need the concepts only by name, so metadata rows do not repeat them
-    names = concepts.withColumns(
-        {
-            "concept_metadata_id": F.lit(None).cast("long"),
-            "obs_number": F.lit(None).cast("int"),
-            "first_obs_date": F.lit(None).cast("date"),
-            "last_obs_date": F.lit(None).cast("date"),
-        }
-    ).distinct()
+    # mappings need the concepts only by name, so metadata rows need not repeat them
+    names = fx.concepts_view(spark, sf_dir, counted=False)
     mappings = fx.mappings_view(spark, sf_dir, names)
     return wl.concept_worklist(concepts, mappings, fx.viewers(spark, sf_dir), _notes(spark, sf_dir))
 
