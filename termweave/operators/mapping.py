@@ -138,6 +138,33 @@ def _fold_long(events: DataFrame, start: DataFrame, chunk_rows: int) -> DataFram
     return last
 
 
+def _fold_mixed(mixed: DataFrame, kinds: DataFrame, chunk_rows: int) -> DataFrame:
+    """Ids of the valid mappings of concepts that need the ordered fold.
+
+    ``mixed`` holds their open and new rows, ``kinds`` their number of new rows (n_new).
+    """
+    is_long = F.col("n_new") > chunk_rows
+    start = (
+        mixed.filter("_old")
+        .groupBy("source_concept_id")
+        .agg(F.array_sort(F.collect_list(_row())).alias("start"))
+    )
+    fresh = mixed.filter(~F.col("_old"))
+    short = (
+        fresh.filter(~is_long)
+        .groupBy("source_concept_id")
+        .agg(F.collect_list(_row()).alias("events"))
+        .join(start, "source_concept_id", "full")
+    )
+    long_ids = kinds.filter(is_long).select("source_concept_id")
+    states = short.join(long_ids, "source_concept_id", "left_anti").select(
+        _fold(F.coalesce("start", _nothing()), F.coalesce("events", _nothing())).alias("state")
+    )
+    if not long_ids.isEmpty():
+        states = states.unionByName(_fold_long(fresh.filter(is_long), start, chunk_rows).select("state"))
+    return states.select(F.explode("state").alias("row")).select("row.mapping_id")
+
+
 def fold_mappings(existing: DataFrame, events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Append ``events`` to the log and settle the ``valid`` flags of old and new rows.
 
@@ -158,36 +185,15 @@ def fold_mappings(existing: DataFrame, events: DataFrame, chunk_rows: int = CHUN
         F.sum(F.col("n") - F.col("n_old")).alias("n_new"),
     )
     kinds = materialise(concept.filter("mixed").select("source_concept_id", "n_new"))
-    simple_ids = latest_mappings(log.join(kinds, "source_concept_id", "left_anti"))
-
-    mixed = log.join(kinds, "source_concept_id")
-    start = (
-        mixed.filter("_old")
-        .groupBy("source_concept_id")
-        .agg(F.array_sort(F.collect_list(_row())).alias("start"))
-    )
-    fresh = mixed.filter(~F.col("_old"))
-    short = (
-        fresh.filter(F.col("n_new") <= chunk_rows)
-        .groupBy("source_concept_id")
-        .agg(F.collect_list(_row()).alias("events"))
-        .join(start, "source_concept_id", "full")
-        .filter(F.col("events").isNotNull() | F.col("start").isNotNull())
-    )
-    states = short.join(
-        kinds.filter(F.col("n_new") > chunk_rows).select("source_concept_id"), "source_concept_id", "left_anti"
-    ).select(
-        _fold(F.coalesce("start", _nothing()), F.coalesce("events", _nothing())).alias("state")
-    )
-    if not kinds.filter(F.col("n_new") > chunk_rows).isEmpty():
-        long = fresh.filter(F.col("n_new") > chunk_rows)
-        states = states.unionByName(_fold_long(long, start, chunk_rows).select("state"))
-    mixed_ids = states.select(F.explode("state").alias("row")).select("row.mapping_id")
+    if kinds.isEmpty():
+        winners = latest_mappings(log)
+    else:
+        simple = latest_mappings(log.join(kinds, "source_concept_id", "left_anti"))
+        winners = simple.unionByName(_fold_mixed(log.join(kinds, "source_concept_id"), kinds, chunk_rows))
 
-    winners = simple_ids.unionByName(mixed_ids).withColumn("valid", F.lit(True))
     settled = (
         log.drop("_old")
-        .join(winners, "mapping_id", "left")
+        .join(winners.withColumn("valid", F.lit(True)), "mapping_id", "left")
         .withColumn("valid", F.coalesce("valid", F.lit(False)))
     )
     return closed_rows.unionByName(settled.select(*closed_rows.columns))
@@ -290,7 +296,7 @@ def apply_requests(
         )
     )
     keys = ["new_code", "new_term", "owner_organisation_id", "target_dialect_id"]
-    resolved = events.join(named, keys, "left").select(
+    resolved = materialise(events.join(named, keys, "left").select(
         "mapping_id",
         "user_id",
         "source_concept_id",
@@ -299,7 +305,7 @@ def apply_requests(
         "event_type_name",
         "comment",
         (F.col("event_type_name") == BRIDGE_MAPPING).alias("is_bridge"),
-    )
+    ))
     return code, term, concept, fold_mappings(existing, resolved)
 
 

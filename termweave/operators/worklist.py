@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
+from termweave.runtime import materialise
 from termweave.schemas import BRIDGE_MAPPING
 
 # Statuses, best first.
@@ -18,16 +19,13 @@ MARKER = "Huomio"
 _RANK = {status: len(STATUSES) - i for i, status in enumerate(STATUSES)}
 
 
-def _pick(status: str) -> list:
-    return [
-        F.lit(_RANK[status]).alias("rank"),
-        "mapping_id",
-        F.lit(status).alias("status"),
-        "destination_code_text",
-        "destination_term_text",
-        "mapping_user",
-        "mapping_ts",
-    ]
+_PICKED = ["rank", "mapping_id", "status", "destination_code_text", "destination_term_text", "mapping_user", "mapping_ts"]
+
+
+def _pick(status: Column) -> list:
+    """Columns of one possible choice; the highest (rank, mapping_id) wins."""
+    rank = F.coalesce(*[F.when(status == name, rank) for name, rank in _RANK.items()])
+    return [rank.alias("rank"), "mapping_id", status.alias("status"), *_PICKED[3:]]
 
 
 def concept_worklist(
@@ -58,34 +56,34 @@ def concept_worklist(
         F.upper("term_text").alias("upper_term"),
     ).distinct()
 
-    valid = mappings.filter("valid").select(
-        "mapping_id",
-        "source_concept_id",
-        F.col("destination_dialect_id").alias("target_dialect_id"),
-        F.col("user_id").alias("mapper_id"),
-        F.col("organisation_id").alias("mapper_organisation_id"),
-        F.upper("source_code_text").alias("upper_code"),
-        F.upper("source_term_text").alias("upper_term"),
-        (F.col("event_type_name") == BRIDGE_MAPPING).alias("is_bridge"),
-        "destination_code_text",
-        "destination_term_text",
-        fn.mapper(F.col("last_name"), F.col("first_name"), F.col("organisation_name")).alias("mapping_user"),
-        fn.minute_text(F.col("insert_ts")).alias("mapping_ts"),
+    # both joins below read the valid mappings, which cost several joins themselves
+    valid = materialise(
+        mappings.filter("valid").select(
+            "mapping_id",
+            "source_concept_id",
+            F.col("destination_dialect_id").alias("target_dialect_id"),
+            F.col("user_id").alias("mapper_id"),
+            F.col("organisation_id").alias("mapper_organisation_id"),
+            F.upper("source_code_text").alias("upper_code"),
+            F.upper("source_term_text").alias("upper_term"),
+            (F.col("event_type_name") == BRIDGE_MAPPING).alias("is_bridge"),
+            "destination_code_text",
+            "destination_term_text",
+            fn.mapper(F.col("last_name"), F.col("first_name"), F.col("organisation_name")).alias("mapping_user"),
+            fn.minute_text(F.col("insert_ts")).alias("mapping_ts"),
+        )
     )
 
     by_concept = valid.withColumnRenamed("source_concept_id", "concept_id").drop("upper_code", "upper_term")
-    direct = keys.join(by_concept, ["concept_id", "target_dialect_id"])
-    same_user = F.col("mapper_id") == F.col("user_id")
-    same_organisation = F.col("mapper_organisation_id") == F.col("viewer_organisation_id")
-    chosen = direct.filter(same_user).select("user_id", "concept_id", *_pick("self")).unionByName(
-        direct.filter(~same_user & same_organisation).select("user_id", "concept_id", *_pick("own_organisation"))
+    mapper = F.when(F.col("mapper_id") == F.col("user_id"), "self").when(
+        F.col("mapper_organisation_id") == F.col("viewer_organisation_id"), "own_organisation"
     )
+    direct = keys.join(by_concept, ["concept_id", "target_dialect_id"]).filter(mapper.isNotNull())
 
     # Two concepts per key are enough: whichever concept asks, the newest other one is among them.
     alike_key = ["upper_code", "upper_term", "target_dialect_id", "is_bridge"]
-    details = [c for c in valid.columns if c not in (*alike_key, "source_concept_id", "mapping_id")]
     per_concept = valid.groupBy(*alike_key, "source_concept_id").agg(
-        F.max(F.struct("mapping_id", *details)).alias("best")
+        F.max(F.struct("mapping_id", *_PICKED[3:])).alias("best")
     )
     newest = Window.partitionBy(*alike_key).orderBy(F.desc("best.mapping_id"))
     alike = (
@@ -96,13 +94,13 @@ def concept_worklist(
     similar = keys.join(alike, ["upper_code", "upper_term", "target_dialect_id"]).filter(
         F.col("source_concept_id") != F.col("concept_id")
     )
-    for status, wanted in (("other_organisation", ~F.col("is_bridge")), ("bridge", F.col("is_bridge"))):
-        chosen = chosen.unionByName(similar.filter(wanted).select("user_id", "concept_id", *_pick(status)))
+    origin = F.when(F.col("is_bridge"), "bridge").otherwise("other_organisation")
 
-    fields = ["rank", "mapping_id", "status", "destination_code_text", "destination_term_text", "mapping_user", "mapping_ts"]
     best = (
-        chosen.groupBy("user_id", "concept_id")
-        .agg(F.max(F.struct(*fields)).alias("best"))
+        direct.select("user_id", "concept_id", *_pick(mapper))
+        .unionByName(similar.select("user_id", "concept_id", *_pick(origin)))
+        .groupBy("user_id", "concept_id")
+        .agg(F.max(F.struct(*_PICKED)).alias("best"))
         .select("user_id", "concept_id", "best.*")
     )
     return (

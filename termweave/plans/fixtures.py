@@ -1,6 +1,7 @@
 """Adapters that derive the mapping tables from the given tables, in Spark and as SQL.
 
-``SQL`` holds the same definitions as common table expressions: name -> (inputs, body).
+``SQL`` holds the same definitions as common table expressions: name -> (inputs, body). The functions
+are cached per session and folder: what is kept is the lazy DataFrame, the definition of a view.
 """
 
 from __future__ import annotations
@@ -38,13 +39,11 @@ EVENT_NAMES = {
 SQL: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
+@functools.cache
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
 def stored(build: Build) -> Build:
     """Keep a derived table: written to the shared folder once per application, then read back.
 
@@ -52,12 +51,11 @@ def stored(build: Build) -> Build:
     size, and no query repeats their derivation.
     """
 
+    @functools.cache
     @functools.wraps(build)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
-        if key not in _STORED:
-            _STORED[key] = write_staging(build(spark, sf_dir), build.__name__)
-        return spark.read.parquet(_STORED[key])
+        table = build(spark, sf_dir)
+        return spark.read.schema(table.schema).parquet(write_staging(table, build.__name__))
 
     return read
 
@@ -95,6 +93,7 @@ def code_raw() -> Column:
     return F.when(key % 11 != 0, spaced)
 
 
+@functools.cache
 def part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = given(spark, sf_dir, "part")
     return part.select("p_partkey", "p_name", "p_type", "p_brand", "p_size", code_raw().alias("code_raw"))
@@ -109,6 +108,7 @@ SQL["part_code"] = (
 )
 
 
+@functools.cache
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.col("l_orderkey")
     sample = F.concat(
@@ -141,6 +141,7 @@ SQL["raw_obs"] = (
 )
 
 
+@functools.cache
 def two_column_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows with the code in a T or an M column by its first letter."""
     raw = raw_observations(spark, sf_dir)
@@ -174,6 +175,7 @@ SQL["staged_obs"] = (
 # --- background dimensions ------------------------------------------------------------------
 
 
+@functools.cache
 def organisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = given(spark, sf_dir, "region")
     return given(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
@@ -191,6 +193,7 @@ SQL["organisation"] = (
 )
 
 
+@functools.cache
 def code_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = given(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("owner"))
     return given(spark, sf_dir, "region").join(owners, F.col("n_regionkey") == F.col("r_regionkey")).select(
@@ -209,6 +212,7 @@ SQL["code_system"] = (
 )
 
 
+@functools.cache
 def dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     return given(spark, sf_dir, "nation").select(
@@ -226,6 +230,7 @@ SQL["dialect"] = (
 )
 
 
+@functools.cache
 def event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types that occur, numbered by the first letter of their name for a stable id."""
     names = given(spark, sf_dir, "events").select(event_name().alias("name")).distinct()
@@ -244,6 +249,7 @@ SQL["event_type_dim"] = (
 )
 
 
+@functools.cache
 def user(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return given(spark, sf_dir, "customer").select(
@@ -283,6 +289,7 @@ SQL["v_dialect"] = (
 # --- concepts: one per part, so ids agree with the SQL --------------------------------------
 
 
+@functools.cache
 def concept_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as concepts: code (blank when missing), term with brand, organisation by key."""
     key = F.col("p_partkey")
@@ -368,14 +375,17 @@ SQL["v_concept"] = (
 )
 
 
+@functools.cache
 def dialects_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.v_dialect(dialect(spark, sf_dir), code_system(spark, sf_dir), organisation(spark, sf_dir))
 
 
+@functools.cache
 def users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.v_user(user(spark, sf_dir), organisation(spark, sf_dir))
 
 
+@functools.cache
 def concepts_view(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
     """``v_concept``; without counts every concept is one row."""
     metadata = concept_metadata(spark, sf_dir)
@@ -392,6 +402,7 @@ def concepts_view(spark: SparkSession, sf_dir: str, counted: bool = True) -> Dat
 # --- mapping log ----------------------------------------------------------------------------
 
 
+@functools.cache
 def mapping_events(spark: SparkSession, sf_dir: str, bridge_without_dialect: bool = False) -> DataFrame:
     """Events as mappings. In the NULL-dialect variant the bridge names none and sources are finer."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -461,6 +472,7 @@ def mapping_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(winners, "mapping_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
+@functools.cache
 def mappings_view(spark: SparkSession, sf_dir: str, concepts: DataFrame | None = None) -> DataFrame:
     return views.v_mapping(
         mapping_log(spark, sf_dir),
@@ -491,6 +503,7 @@ SQL["v_mapping"] = (
 )
 
 
+@functools.cache
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as mapping requests: the page concept and two selected ones; status P rejects."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
@@ -516,6 +529,7 @@ SQL["request"] = (
 )
 
 
+@functools.cache
 def note_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
     k = F.get_json_object("props", "$.k").cast("long")
@@ -537,6 +551,7 @@ SQL["note"] = (
 )
 
 
+@functools.cache
 def viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One list per organisation: its lowest mapper, its own dialect as source, one target dialect."""
     active = given(spark, sf_dir, "events").select("user_id").distinct()
@@ -612,6 +627,7 @@ def page_concepts(concepts: DataFrame) -> DataFrame:
 # --- bridge file ----------------------------------------------------------------------------
 
 
+@functools.cache
 def bridge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (part, supplier) pairs as bridge rows; some lack a target or are no match."""
     pair = given(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
@@ -655,6 +671,7 @@ SQL["bridge"] = (
 # --- terminology graph ----------------------------------------------------------------------
 
 
+@functools.cache
 def is_a_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation -> region, supplier -> nation, customer -> nation with prefixed ids."""
 
@@ -684,6 +701,7 @@ SQL["closure"] = (
 )
 
 
+@functools.cache
 def node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the graph's nodes."""
 
@@ -720,6 +738,7 @@ ATTRIBUTE_TYPES = {
 }
 
 
+@functools.cache
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as relationships of the order: line 1 is-a, line 7 dose form, others attributes."""
     line = F.col("l_linenumber")
@@ -762,6 +781,7 @@ SQL["relationship"] = (
 )
 
 
+@functools.cache
 def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(F.col("o_orderstatus") == "F", "clinical drug").otherwise("substance")
     return given(spark, sf_dir, "orders").select(
@@ -785,6 +805,7 @@ TAGS = ("finding", "procedure", "substance", "body structure")
 FULL_NAME, SYNONYM = "900000000000003001", "900000000000013009"
 
 
+@functools.cache
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as descriptions, three to a concept, with a trailing semantic tag."""
     key = F.col("doc_id")
@@ -813,6 +834,7 @@ SQL["description"] = (
 )
 
 
+@functools.cache
 def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as language memberships: two sets, preferred when the quality is 1."""
     return given(spark, sf_dir, "labels").select(
@@ -829,6 +851,7 @@ SQL["language_row"] = (
 )
 
 
+@functools.cache
 def concept_refsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference sets of concepts that own a labelled description."""
     return given(spark, sf_dir, "labels").select(
@@ -840,6 +863,7 @@ def concept_refsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["concept_refset"] = ((), "SELECT DISTINCT 'q' || quality || 't' || toxic AS refset_id, doc_id // 3 AS concept_id FROM labels")
 
 
+@functools.cache
 def customer_refsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given(spark, sf_dir, "customer").select(
         F.col("c_mktsegment").alias("refset_id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("concept_id")

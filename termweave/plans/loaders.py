@@ -55,15 +55,21 @@ Tables = dict[str, DataFrame]
 
 
 def stage_observations(raw: DataFrame) -> DataFrame:
-    """Both axes of sample-level rows: filter samples, drop the other axis, profile, harmonise."""
+    """Both axes of sample-level rows in one scan: filter samples, drop the other axis, profile, harmonise."""
     samples = stg.filter_samples(raw, "sample_number")
-    parts = []
-    for axis, rule in (("T", "t_column"), ("M", "m_column")):
-        code, term = f"{axis.lower()}_code", f"{axis.lower()}_term"
-        own = stg.split_axis(samples, code, rule)
-        overlaid = fn.overlay_code(F.col(code), axis, OVERLAY_DIGITS[axis])
-        parts.append(stg.profile_observations(own, overlaid, code=code, term=term))
-    return parts[0].unionByName(parts[1])
+    axes = [
+        F.struct(F.lit(axis).alias("axis"), F.col(f"{axis.lower()}_code").alias("code"), F.col(f"{axis.lower()}_term").alias("term"))
+        for axis in OVERLAY_DIGITS
+    ]
+    rows = samples.select("sample_number", "sampled_at", F.inline(F.array(*axes)))
+    own = rows.filter(
+        F.when(F.col("axis") == "T", ~fn.starts_with_letter(F.col("code"), "M")).otherwise(
+            ~fn.starts_with_letter(F.col("code"), "T")
+        )
+    )
+    overlaid = {axis: fn.overlay_code(F.col("code"), axis, digits) for axis, digits in OVERLAY_DIGITS.items()}
+    harmonised = F.when(F.col("axis") == "T", overlaid["T"]).otherwise(overlaid["M"])
+    return stg.profile_observations(own, harmonised, keys=["axis"]).drop("axis")
 
 
 def stage_years(raw: DataFrame) -> DataFrame:
