@@ -165,31 +165,69 @@ def _fold_mixed(mixed: DataFrame, kinds: DataFrame, chunk_rows: int) -> DataFram
     return states.select(F.explode("state").alias("row")).select("row.mapping_id")
 
 
+def _users_before_bridge(rows: DataFrame) -> DataFrame:
+    """Ids of the valid mappings where only the bridge leaves the dialect out and only users name one.
+
+    The first user event takes the place of the bridge's row, and no later bridge event can replace a
+    user's. So the last user event of each dialect is valid or, without any, the last bridge event.
+    """
+    last = rows.groupBy(*_KEY, "is_bridge").agg(F.max("mapping_id").alias("mapping_id"))
+    has_user = last.groupBy("source_concept_id").agg(F.bool_and("is_bridge").alias("only_bridge"))
+    return (
+        last.join(has_user, "source_concept_id")
+        .filter(~F.col("is_bridge") | F.col("only_bridge"))
+        .select("mapping_id")
+    )
+
+
 def fold_mappings(existing: DataFrame, events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Append ``events`` to the log and settle the ``valid`` flags of old and new rows.
 
     Both inputs hold mapping_id, source_concept_id, destination_dialect_id and is_bridge plus any
     further shared columns; ``existing`` also has ``valid``. New ids lie above old ones and come
-    from one sequence. Concepts whose rows all have a dialect, at most one valid row per dialect,
-    take the closed form; only the others need the ordered fold.
+    from one sequence. Two kinds of concepts have a closed form that only needs maxima: those whose
+    rows all name a dialect, and those where the bridge never and users always do. Any other mixture
+    takes the ordered fold.
     """
     open_rows = existing.filter("valid").drop("valid")
     closed_rows = existing.filter(~F.col("valid"))
     log = open_rows.withColumn("_old", F.lit(True)).unionByName(events.withColumn("_old", F.lit(False)))
 
+    no_dialect = F.col("destination_dialect_id").isNull()
     per_dialect = log.groupBy(*_KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("_old").alias("n_old")
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("_old").alias("n_old"),
+        F.count_if("is_bridge").alias("n_bridge"),
+        F.count_if(F.col("_old") & F.col("is_bridge")).alias("n_old_bridge"),
     )
     concept = per_dialect.groupBy("source_concept_id").agg(
-        F.bool_or(F.col("destination_dialect_id").isNull() | (F.col("n_old") > 1)).alias("mixed"),
+        F.bool_or(no_dialect).alias("some_missing"),
+        F.bool_or(F.col("n_old") > 1).alias("repeated"),
+        F.bool_and(F.when(no_dialect, F.col("n_bridge") == F.col("n")).otherwise(F.col("n_bridge") == 0)).alias("split"),
+        # a settled log of this kind never keeps a bridge row next to a user's
+        ((F.sum("n_old_bridge") > 0) & (F.sum("n_old") > F.sum("n_old_bridge"))).alias("both_open"),
         F.sum(F.col("n") - F.col("n_old")).alias("n_new"),
     )
-    kinds = materialise(concept.filter("mixed").select("source_concept_id", "n_new"))
-    if kinds.isEmpty():
+    split = F.col("split") & ~F.col("both_open")
+    kind = (
+        F.when(F.col("repeated"), "fold")
+        .when(~F.col("some_missing"), "dialect")
+        .when(split, "split")
+        .otherwise("fold")
+    )
+    special = materialise(
+        concept.select("source_concept_id", kind.alias("kind"), "n_new").filter("kind <> 'dialect'")
+    )
+    if special.isEmpty():
         winners = latest_mappings(log)
     else:
-        simple = latest_mappings(log.join(kinds, "source_concept_id", "left_anti"))
-        winners = simple.unionByName(_fold_mixed(log.join(kinds, "source_concept_id"), kinds, chunk_rows))
+        rows = log.join(special, "source_concept_id", "left")
+        winners = latest_mappings(rows.filter("kind IS NULL")).unionByName(
+            _users_before_bridge(rows.filter("kind = 'split'"))
+        )
+        mixed = special.filter("kind = 'fold'")
+        if not mixed.isEmpty():
+            winners = winners.unionByName(_fold_mixed(rows.filter("kind = 'fold'"), mixed, chunk_rows))
 
     settled = (
         log.drop("_old")

@@ -78,6 +78,33 @@ def test_long_history_is_folded_in_chunks(spark, seed, dialects):
     assert valid_ids(fold(spark, rows, chunk_rows=40)) == replay(rows)
 
 
+def split_events(seed, n, sources):
+    """Only the bridge leaves the dialect out, as in the loaders."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(1, n + 1):
+        bridge = rng.random() < 0.6
+        rows.append((i, rng.choice(sources), None if bridge else rng.choice([1, 2, 3]), bridge))
+    return rows
+
+
+def test_bridge_without_dialect_has_a_closed_form(spark, monkeypatch):
+    rows = split_events(11, 2000, range(300))
+    expected = replay(rows)
+    monkeypatch.setattr(log, "_fold_mixed", None)  # the ordered fold is not needed
+    assert valid_ids(fold(spark, rows)) == expected
+    first = fold(spark, rows[:900]).collect()
+    existing = [(r.mapping_id, r.source_concept_id, r.destination_dialect_id, r.is_bridge, r.valid) for r in first]
+    assert valid_ids(fold(spark, rows[900:], existing)) == expected
+
+
+def test_open_rows_of_both_kinds_take_the_fold(spark):
+    """A bridge row left open next to a user's row is not what the closed form assumes."""
+    existing = [(1, 1, None, True, True), (2, 1, 5, False, True)]
+    rows = [(3, 1, None, True)]
+    assert valid_ids(fold(spark, rows, existing)) == {2, 3}
+
+
 def test_second_load_starts_from_the_settled_log(spark):
     rows = random_events(9, 1200, [7] * 5 + list(range(30)), [1, 2, None])
     first = fold(spark, rows[:600]).collect()
