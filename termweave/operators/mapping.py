@@ -36,13 +36,17 @@ def _apply(state: Column, event: Column) -> Column:
         state,
         lambda r: event["dialect"].isNull() | r["dialect"].isNull() | (r["dialect"] == event["dialect"]),
     )
-    old = F.get(rivals, F.lit(0))
     added = F.array(event)
-    return (
-        F.when(old.isNull(), F.concat(state, added))
-        .when(event["bridge"] & ~old["bridge"], state)
-        .otherwise(F.concat(F.filter(state, lambda r: r["mapping_id"] != old["mapping_id"]), added))
-    )
+
+    def settle(old: Column) -> Column:
+        return (
+            F.when(old.isNull(), F.concat(state, added))
+            .when(event["bridge"] & ~old["bridge"], state)
+            .otherwise(F.concat(F.filter(state, lambda r: r["mapping_id"] != old["mapping_id"]), added))
+        )
+
+    # a one-element transform binds the rival, so it is looked up once per event
+    return F.get(F.transform(F.array(F.get(rivals, F.lit(0))), settle), F.lit(0))
 
 
 def _fold(start: Column, events: Column) -> Column:

@@ -70,7 +70,7 @@ def main(sf_dir: str, names: list[str]) -> None:
             took = time.time() - start
             problem = None
             if name in oracle:
-                problem = difference(result, db.execute(oracle[name]).to_arrow_table())
+                problem = difference(result, db.sql(oracle[name]).to_arrow_table())
         except Exception as error:  # noqa: BLE001
             took, problem, result = time.time() - start, f"{type(error).__name__}: {str(error)[:1500]}", None
         count = result.num_rows if result is not None else "-"

@@ -19,7 +19,7 @@ def db():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, db, name):
     result = entry.queries()[name](spark, SF_DIR).toArrow()
-    expected = db.execute(entry.oracle_sql()[name]).to_arrow_table()
+    expected = db.sql(entry.oracle_sql()[name]).to_arrow_table()
     assert oracle.difference(result, expected) is None
 
 
