@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
 from termweave.operators.tableops import page
-from termweave.runtime import ranked
+from termweave.runtime import materialise, ranked
 from termweave.schemas import ACCEPTABLE, DOSE_FORM, IS_A, PREFERRED, PRODUCT_PARTS
 
 # Definitions with more pieces than this stay in piece form (definition_pieces).
@@ -265,11 +265,11 @@ def definition_pieces(concepts: DataFrame, relationship: DataFrame) -> DataFrame
 def definition_expression(concepts: DataFrame, relationship: DataFrame, max_pieces: int = TEXT_PIECES) -> DataFrame:
     """Definition text per concept. Longer ones than ``max_pieces`` are left to ``definition_pieces``."""
     sizes = relationship.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_pieces)
-    long = sizes.select(F.col("source").alias("concept_id"))
-    pieces = definition_pieces(
-        concepts.join(long, "concept_id", "left_anti"),
-        relationship.join(long.withColumnRenamed("concept_id", "source"), "source", "left_anti"),
-    )
+    long = materialise(sizes.select(F.col("source").alias("concept_id")))
+    if not long.isEmpty():
+        concepts = concepts.join(long, "concept_id", "left_anti")
+        relationship = relationship.join(long.withColumnRenamed("concept_id", "source"), "source", "left_anti")
+    pieces = definition_pieces(concepts, relationship)
     ordered = F.array_sort(F.collect_list(F.struct("place", "piece")))
     return pieces.groupBy("concept_id").agg(ordered.alias("pieces")).select(
         "concept_id", F.concat_ws("", F.transform("pieces", lambda p: p["piece"])).alias("expression")

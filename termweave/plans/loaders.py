@@ -144,11 +144,11 @@ def load_organisation(tables: Tables, loader: Loader, raw: DataFrame) -> Tables:
     )
     loaded = _load_concepts(tables, dim.union_axes(pairs))
     loaded["synonym"] = dim.load_synonyms(tables["synonym"], staged, loaded["code"])
-    counted = staged if loader.dated else staged.drop("min_ts", "max_ts")
-    metadata = dim.load_metadata(counted, loaded["code"], loaded["term"], loaded["concept"])
     own = loaded["concept"].join(
         staged.select("organisation_id", "dialect_id").distinct(), ["organisation_id", "dialect_id"], "left_semi"
     )
+    counted = staged if loader.dated else staged.drop("min_ts", "max_ts")
+    metadata = dim.load_metadata(counted, loaded["code"], loaded["term"], own)
     loaded["concept_metadata"] = dim.replace_metadata(tables["concept_metadata"], metadata, own)
     return loaded
 
