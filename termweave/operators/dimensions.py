@@ -65,11 +65,11 @@ def upsert_concepts(
     return code, term, append_new(concept, wanted, keys, "concept_id")
 
 
-def dialect_id(dialect: DataFrame, code_system: DataFrame, name: str, system: str) -> Column:
-    """The id of one dialect, resolved by its own and its code system's name."""
-    chosen = dialect.filter(F.col("dialect_name") == name).join(
-        code_system.filter(F.col("name") == system), "code_system_id"
-    )
+def dialect_id(dialect: DataFrame, code_system: DataFrame, name: str, system: str | None = None) -> Column:
+    """The id of one dialect, resolved by its name and, if given, its code system's name."""
+    chosen = dialect.filter(F.col("dialect_name") == name)
+    if system is not None:
+        chosen = chosen.join(code_system.filter(F.col("name") == system), "code_system_id")
     return chosen.select("dialect_id").scalar()
 
 

@@ -20,6 +20,8 @@ _ROW = "struct<mapping_id:bigint,dialect:bigint,bridge:boolean>"
 _KEY = ["source_concept_id", "destination_dialect_id"]
 # Rows folded by one expression call; longer histories are cut into pieces of about this size.
 CHUNK_ROWS = 20_000
+# Very long histories get larger pieces, to keep the number of pieces near the first figure.
+MANY_CHUNKS, LARGEST_CHUNK = 500, 2_000_000
 
 
 def _row() -> Column:
@@ -68,16 +70,19 @@ def latest_mappings(events: DataFrame) -> DataFrame:
 
 
 def _chunked(events: DataFrame, chunk_rows: int) -> DataFrame:
-    """Long histories cut at id boundaries: (source, chunk, events), at most 2 * chunk_rows events each.
+    """Long histories cut at id boundaries: (source, chunk, events), at most two widths of events each.
 
-    Ids come from one sequence, so a block of chunk_rows ids holds at most chunk_rows events of a
-    concept. Thin neighbouring blocks are merged by their running size.
+    Ids come from one sequence, so a block of as many ids as the width holds at most that many events
+    of a concept. Thin neighbouring blocks are merged by their running size.
     """
-    blocks = events.withColumn("block", F.floor(F.col("mapping_id") / chunk_rows))
-    sizes = blocks.groupBy("source_concept_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    width = F.greatest(
+        F.lit(chunk_rows), F.least(F.ceil(F.col("n_new") / MANY_CHUNKS), F.lit(LARGEST_CHUNK))
+    )
+    blocks = events.withColumn("width", width).withColumn("block", F.floor(F.col("mapping_id") / F.col("width")))
+    sizes = blocks.groupBy("source_concept_id", "width", "block").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("source_concept_id").orderBy("block")
     chunks = sizes.select(
-        "source_concept_id", "block", F.floor((F.sum("n").over(running) - 1) / chunk_rows).alias("chunk")
+        "source_concept_id", "block", F.floor((F.sum("n").over(running) - 1) / F.col("width")).alias("chunk")
     )
     placed = blocks.join(chunks, ["source_concept_id", "block"])
     return placed.groupBy("source_concept_id", "chunk").agg(F.collect_list(_row()).alias("events"))

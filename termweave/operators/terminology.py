@@ -119,6 +119,19 @@ def search_descriptions(
     return page(found, [F.length(term), term, F.col("description_id")], skip, limit)
 
 
+def search_identifier(descriptions: DataFrame, identifier: str, mode: str = "activeAndInactive") -> DataFrame:
+    """What a numeric phrase finds: a concept's descriptions by status, or one description.
+
+    The second-last digit tells which: 0 a concept, 1 a description, anything else nothing.
+    """
+    digits = identifier.strip()
+    kind = digits[-2:-1] or digits
+    if digits.isdecimal() and kind == "0":
+        return filter_status(descriptions.filter(F.col("concept_id") == int(digits)), mode)
+    own = F.col("description_id") == int(digits) if digits.isdecimal() and kind == "1" else F.lit(False)
+    return filter_status(descriptions.filter(own))
+
+
 def facets(found: DataFrame, refsets: DataFrame | None = None) -> DataFrame:
     """Match counts by language, semantic tag, module and reference set in long form.
 

@@ -169,6 +169,26 @@ def search_by_concept(spark, sf_dir):
     return found.select(*FOUND.split(", "))
 
 
+@query(
+    "search_identifier",
+    "description",
+    sql="""SELECT 'concept' AS kind, description_id, NOT active OR NOT concept_active AS danger FROM description WHERE concept_id = 8 AND active
+  UNION ALL SELECT 'concept', description_id, NOT active OR NOT concept_active FROM description WHERE concept_id = 7 AND NOT active
+  UNION ALL SELECT 'description', description_id, NOT active OR NOT concept_active FROM description WHERE description_id = 115""",
+)
+def search_identifier(spark, sf_dir):
+    """Two concepts under different status filters, and one description."""
+    every = fx.descriptions(spark, sf_dir)
+    found = [
+        ("concept", term.search_identifier(every, "008", "activeOnly")),
+        ("concept", term.search_identifier(every, "007", "inactiveOnly")),
+        ("description", term.search_identifier(every, " 115 ")),
+        ("none", term.search_identifier(every, "125")),
+    ]
+    parts = [df.select(F.lit(kind).alias("kind"), "description_id", "danger") for kind, df in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 FACET_SQL = f"""SELECT facet, value, count(*) AS matches FROM (
     SELECT 'lang' AS facet, lang AS value FROM description WHERE {HIT_SQL}
     UNION ALL SELECT 'semTag', semantic_tag FROM description WHERE {HIT_SQL}

@@ -117,9 +117,10 @@ def test_seeds_and_resolution(spark):
     found = spark.range(1).select(
         dim.dialect_id(tables["dialect"], tables["code_system"], "HUS dialect", "Snomed II").alias("d"),
         dim.dialect_id(tables["dialect"], tables["code_system"], "HUS dialect", "Snomed CT").alias("none"),
+        dim.dialect_id(tables["dialect"], tables["code_system"], "International Snomed CT").alias("by_name"),
         dim.organisation_id(tables["organisation"], "HUS").alias("o"),
     ).first()
-    assert (found.d, found.none, found.o) == (6, None, 6)
+    assert (found.d, found.none, found.by_name, found.o) == (6, None, 2, 6)
 
 
 def test_deleting_concepts_deletes_their_metadata(spark):
