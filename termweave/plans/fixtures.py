@@ -340,9 +340,8 @@ SQL["concept"] = (
 
 @stored
 def concept_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to two rows per concept, one per line status, and none for every ninth part."""
-    line = given(spark, sf_dir, "lineitem").filter("l_partkey % 9 <> 0")
-    grouped = line.groupBy("l_partkey", "l_linestatus").agg(
+    """Up to two rows per concept, one per line status."""
+    grouped = given(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linestatus").agg(
         F.countDistinct("l_orderkey").cast("int").alias("obs_number"),
         F.min("l_shipdate").cast("date").alias("first_obs_date"),
         F.max("l_shipdate").cast("date").alias("last_obs_date"),
@@ -361,7 +360,7 @@ SQL["concept_metadata"] = (
     """SELECT l_partkey * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS concept_metadata_id, l_partkey AS concept_id,
        CAST(count(DISTINCT l_orderkey) AS INTEGER) AS obs_number, CAST(min(l_shipdate) AS DATE) AS first_obs_date,
        CAST(max(l_shipdate) AS DATE) AS last_obs_date
-  FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY l_partkey, l_linestatus""",
+  FROM lineitem GROUP BY l_partkey, l_linestatus""",
 )
 SQL["v_concept"] = (
     ("concept", "code", "term", "organisation", "v_dialect", "concept_metadata"),

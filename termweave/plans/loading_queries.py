@@ -292,19 +292,14 @@ def union_axes(spark, sf_dir):
 @query(
     "upsert_codes",
     "part_code",
-    sql="""SELECT 1000 + row_number() OVER (ORDER BY code_text) AS code_id, code_text FROM (
-    SELECT DISTINCT trim(code_raw) AS code_text FROM part_code WHERE code_raw IS NOT NULL AND p_size % 2 = 1
-     AND trim(code_raw) NOT IN (SELECT trim(code_raw) FROM part_code WHERE code_raw IS NOT NULL AND p_size = 2))
-  UNION ALL SELECT DISTINCT CAST(1000 AS BIGINT), 'kept ' || p_size FROM part WHERE p_size = 2""",
+    sql="""SELECT row_number() OVER (ORDER BY NOT known, code_text) AS code_id, code_text FROM (
+    SELECT trim(code_raw) AS code_text, bool_or(p_type = 'ECONOMY') AS known FROM part_code WHERE code_raw IS NOT NULL GROUP BY 1)""",
 )
 def upsert_codes(spark, sf_dir):
-    """New codes get the ids after the highest old one, in code order; an old code is kept."""
-    parts = fx.part_codes(spark, sf_dir)
-    old = parts.filter("p_size = 2").select(
-        F.lit(1000).cast("long").alias("code_id"), F.concat(F.lit("kept "), F.col("p_size").cast("string")).alias("code_text")
-    ).distinct()
-    fresh = parts.filter("p_size % 2 = 1").select(F.trim("code_raw").alias("code_text"))
-    return dim.upsert_codes(old, fresh)
+    """Two loads: the second keeps the ids of the first and numbers new codes after them, in code order."""
+    parts = fx.part_codes(spark, sf_dir).withColumn("code_text", F.trim("code_raw"))
+    first = dim.upsert_codes(seeds.empty_tables(spark)["code"], parts.filter("p_type = 'ECONOMY'"))
+    return dim.upsert_codes(first, parts)
 
 
 @query(
@@ -477,12 +472,15 @@ def bridge_synonyms(spark, sf_dir):
     "delete_concepts",
     "concept",
     "concept_metadata",
-    sql="""SELECT 'concept' AS kind, concept_id AS id FROM concept WHERE concept_id % 3 <> 0
-  UNION ALL SELECT 'metadata', concept_metadata_id FROM concept_metadata WHERE concept_id % 3 <> 0""",
+    "mapping_event",
+    sql="""SELECT 'concept' AS kind, concept_id AS id FROM concept WHERE concept_id IN (SELECT source_concept_id FROM mapping_event)
+  UNION ALL SELECT 'metadata', concept_metadata_id FROM concept_metadata WHERE concept_id IN (SELECT source_concept_id FROM mapping_event)""",
 )
 def delete_concepts(spark, sf_dir):
+    """Delete every concept that was never mapped, together with its metadata."""
     concept = fx.concept(spark, sf_dir)
-    gone = concept.filter("concept_id % 3 = 0").select("concept_id")
+    mapped = fx.mapping_events(spark, sf_dir).select(F.col("source_concept_id").alias("concept_id"))
+    gone = concept.join(mapped, "concept_id", "left_anti").select("concept_id")
     kept, metadata = dim.delete_concepts(concept, fx.concept_metadata(spark, sf_dir), gone)
     return kept.select(F.lit("concept").alias("kind"), F.col("concept_id").alias("id")).unionByName(
         metadata.select(F.lit("metadata").alias("kind"), F.col("concept_metadata_id").alias("id"))

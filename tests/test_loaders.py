@@ -92,6 +92,9 @@ def test_bridge_keeps_last_match_of_a_source(spark):
     target = tables["concept"].join(tables["code"], "code_id").filter("code_text = '11'").first()
     assert [r.destination_concept_id for r in valid] == [target.concept_id]
     assert sorted(r.synonym for r in tables["synonym"].collect()) == ["T-1", "T-2"]
+    # the bridge brings no counts; its concepts still show
+    view = loaders.concept_view(tables).collect()
+    assert len(view) == tables["concept"].count() and {r.concept_metadata_id for r in view} == {None}
 
 
 def test_ranked_numbers_are_dense_and_in_order(spark):
