@@ -8,7 +8,8 @@ it occurs in it, and never meets all its occurrences in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,24 @@ BLOCK_BYTES = 24 << 20
 SCHEMA = "block long, ids array<long>, offsets binary, packed binary, n_bytes long"
 
 
+def import_in_tasks(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it.
+
+    Where the executors do not see that folder, the library has to be installed or sent with --py-files.
+    """
+    environment = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this library at hand in the workers."""
+    import_in_tasks(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write below the shared folder and read again: cuts the lineage, survives lost executors."""
     path = staging_path(df.sparkSession, name)
@@ -64,7 +83,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
 def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
     """Documents as stored blocks (a null text is empty); every row of the input is in exactly one block."""
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(lambda batches: _to_blocks(batches, size), SCHEMA), "blocks")
+    return stored(map_batches(rows, lambda batches: _to_blocks(batches, size), SCHEMA), "blocks")
 
 
 def opened(row: dict) -> tuple[list, np.ndarray, np.ndarray]:

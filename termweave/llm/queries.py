@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import url_rules, weak_rules
+from termweave.llm import bin_slack, language_ppm, url_rules, weak_rules
 from termweave.runtime import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,21 @@ def op2_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and posterior verdict of every document."""
     out = weak_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 9).alias("probability"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_bin_slack")
+def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of 1024."""
+    return bin_slack.pack(bin_slack.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query("op3_language_ppm")
+def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_ppm.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
