@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bin_slack, language_ppm, url_rules, weak_rules
+from termweave.llm import bin_slack, language_ppm, rare_features, url_rules, weak_rules
 from termweave.runtime import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language_ppm.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+@query("op5_rare_features")
+def op5_rare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return rare_features.compare_with_next(table(spark, sf_dir, "documents"))
