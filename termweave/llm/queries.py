@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bin_slack, language_ppm, rare_features, url_rules, weak_rules
+from termweave.llm import bin_slack, disclosure, language_ppm, rare_features, url_rules, weak_rules
 from termweave.runtime import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,11 @@ def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_rare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     return rare_features.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op4_disclosure")
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with the terms that disclose it."""
+    found = disclosure.find(table(spark, sf_dir, "documents"))
+    counts = [disclosure.count_of(kind).alias(f"n_{kind}") for kind in disclosure.KINDS]
+    return found.select("doc_id", *counts, "base_sha256", disclosure.spans_text().alias("spans"))
