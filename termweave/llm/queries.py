@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bin_slack, disclosure, language_ppm, rare_features, url_rules, weak_rules
+from termweave.llm import bin_slack, disclosure, language_ppm, odd_sketches, rare_features, repeats, url_rules, weak_rules
 from termweave.runtime import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,15 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure.find(table(spark, sf_dir, "documents"))
     counts = [disclosure.count_of(kind).alias(f"n_{kind}") for kind in disclosure.KINDS]
     return found.select("doc_id", *counts, "base_sha256", disclosure.spans_text().alias("spans"))
+
+
+@query("op8_odd_sketches")
+def op8_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: three-word shingles, similarity 0.85."""
+    return odd_sketches.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeats")
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that also stand in an earlier one, in passages of 50 bytes or more."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
