@@ -23,7 +23,7 @@ from termweave.runtime import staging_path
 #: Bytes of text in a block; only a single longer document goes beyond.
 BLOCK_BYTES = 24 << 20
 
-SCHEMA = "block long, ids array<long>, offsets binary, packed binary, n_bytes long"
+_COLUMNS = "block long, ids array<long>, offsets binary, packed binary, n_bytes long"
 
 
 def import_in_tasks(spark: SparkSession) -> None:
@@ -51,39 +51,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _pack(seq: int, ids: list, parts: list[bytes], sizes: list[np.ndarray]) -> pa.RecordBatch:
+def _pack(seq: int, ids: list, parts: list[bytes], sizes: list[np.ndarray], carried: list[pa.StructArray]) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
     raw = b"".join(parts)
     packed = bytes(pa.compress(raw, codec="zstd", asbytes=True)) if raw else b""
     context = TaskContext.get()
     number = ((context.partitionId() if context else 0) << 24) | seq
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([offsets.tobytes()], pa.binary()), pa.array([packed], pa.binary()), pa.array([len(raw)], pa.int64())],
-        names=["block", "ids", "offsets", "packed", "n_bytes"],
-    )
+    arrays = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([offsets.tobytes()], pa.binary()), pa.array([packed], pa.binary()), pa.array([len(raw)], pa.int64())]
+    names = ["block", "ids", "offsets", "packed", "n_bytes"]
+    if carried:
+        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(carried)))
+        names.append("carried")
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    seq, have, ids, parts, sizes = 0, 0, [], [], []
+    seq, have, ids, parts, sizes, carried = 0, 0, [], [], [], []
     for batch in batches:
+        extra = pa.StructArray.from_arrays(batch.columns[2:], batch.schema.names[2:]) if batch.num_columns > 2 else None
         data, offsets = tb.columns(batch.column(1))
         keys = batch.column(0).to_pylist()
         for i, j in tb.pieces(offsets, size):
             if have and have + offsets[j] - offsets[i] > size:
-                yield _pack(seq, ids, parts, sizes)
-                seq, have, ids, parts, sizes = seq + 1, 0, [], [], []
+                yield _pack(seq, ids, parts, sizes, carried)
+                seq, have, ids, parts, sizes, carried = seq + 1, 0, [], [], [], []
             ids += keys[i:j]
             parts.append(data[offsets[i] : offsets[j]].tobytes())
             sizes.append(np.diff(offsets[i : j + 1]))
             have += int(offsets[j] - offsets[i])
+            if extra is not None:
+                carried.append(extra.slice(i, j - i))
     if ids:
-        yield _pack(seq, ids, parts, sizes)
+        yield _pack(seq, ids, parts, sizes, carried)
 
 
-def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as stored blocks (a null text is empty); every row of the input is in exactly one block."""
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stored(map_batches(rows, lambda batches: _to_blocks(batches, size), SCHEMA), "blocks")
+def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), size: int = BLOCK_BYTES) -> DataFrame:
+    """Documents as stored blocks (a null text is empty); every row of the input is in exactly one block.
+
+    ``carry`` names columns that travel with the rows, as ``carried``.
+    """
+    rows = documents.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *[F.col(c) for c in carry])
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    schema = _COLUMNS + (f", carried array<struct<{fields}>>" if carry else "")
+    return stored(map_batches(rows, lambda batches: _to_blocks(batches, size), schema), "blocks")
 
 
 def opened(row: dict) -> tuple[list, np.ndarray, np.ndarray]:

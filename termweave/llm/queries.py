@@ -114,4 +114,4 @@ def op8_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeats")
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that also stand in an earlier one, in passages of 50 bytes or more."""
-    return repeats.without_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")

@@ -274,32 +274,46 @@ def removed_spans(ids: list, data: np.ndarray, offsets: np.ndarray, answers: lis
     return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + LENGTH], 1)
 
 
-_RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def _finish(left: pa.Table, right: pa.Table, with_bytes: bool) -> pa.Table:
-    out = []
-    for row in left.to_pylist():
+def _finish(left: pa.Table, right: pa.Table, with_text: bool) -> pa.Table:
+    done = []
+    for k in range(left.num_rows):
+        block = left.slice(k, 1)
+        carried = block.column("carried").combine_chunks().flatten() if "carried" in block.column_names else None
+        row = block.select([c for c in block.column_names if c != "carried"]).to_pylist()[0]
         ids, data, offsets = bl.opened(row)
         spans = removed_spans(ids, data, offsets, right.to_pylist())
         cuts = np.searchsorted(spans[:, 0], offsets)
+        out = []
         for k, key in enumerate(ids):
             own = spans[cuts[k] : cuts[k + 1]]
             borders = [offsets[k], *own.ravel(), offsets[k + 1]]
             kept = b"".join(data[a:b].tobytes() for a, b in zip(borders[::2], borders[1::2]))
             n = int(offsets[k + 1] - offsets[k])
-            out.append((key, n, n - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
-    return pa.Table.from_batches([_table(out, _RESULT)])
+            out.append((key, n, n - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
+        batch = _table(out, _RESULT)
+        if carried is not None:
+            names = [carried.type.field(i).name for i in range(carried.type.num_fields)]
+            batch = pa.RecordBatch.from_arrays([*batch.columns, *carried.flatten()], names=[*_RESULT, *names])
+        done.append(batch)
+    return pa.Table.from_batches(done) if done else None
+
 
+def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Sizes, removed bytes and runs, digest and (on demand) remaining text of each row, and the columns to carry.
 
-def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
-    """Sizes, removed bytes and runs, digest and (on demand) remaining bytes of each row."""
+    Bytes of a character that was cut in two are left out of the text, not of the digest.
+    """
     spark = documents.sparkSession
-    stored = bl.blocks(documents, key, text)
+    stored = bl.blocks(documents, key, text, carry)
+    bare = stored.drop("carried")
     n = bl.bucket_count(spark, stored, "n_bytes", 4 * SHARD_BYTES)
-    asked = bl.map_batches(stored.select(*stored.columns), lambda batches: _ask(batches, n), _ddl(_ASK))
+    asked = bl.map_batches(bare, lambda batches: _ask(batches, n), _ddl(_ASK))
     replies = asked.groupBy("bucket").applyInArrow(_shared, _ddl(_REPLY))
-    sent = stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, n), _ddl(_SEND))
+    sent = bare.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, n), _ddl(_SEND))
     answers = sent.groupBy("bucket").applyInArrow(_settle, _ddl(_ANSWER))
-    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _finish(a, b, with_bytes), RESULT)
+    result = RESULT + "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)
+    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _finish(a, b, with_text), result)
