@@ -32,6 +32,10 @@ LENGTH = 50
 SEED = 22
 #: Bytes of requests that a shard gets on average.
 SHARD_BYTES = 6 << 20
+#: Bytes of a shard that are sorted together; only the segments of one anchor can go beyond.
+PART_BYTES = 1 << 20
+#: Segments of a block whose windows are looked at together.
+AT_ONCE = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
 _POSITION = (1 << 21) - 1
 
@@ -195,6 +199,25 @@ def _send(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
     return pa.Table.from_batches([_table(rows, _SEND)])
 
 
+def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each entry, ``counts`` numbers each, in a row."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _classes(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, place: np.ndarray, by_window: np.ndarray) -> None:
+    """Give all windows with the same bytes, in the segments at ``begin``, the smallest document among them."""
+    lengths = windows + LENGTH - 1
+    shard = text[_spread(begin, lengths)]
+    slot_of = np.full(len(shard), -1, np.int64)
+    slot_of[_spread(np.cumsum(lengths) - lengths, windows)] = _spread(place, windows)
+    suffixes = induced.suffix_array(shard, LENGTH)
+    suffixes = suffixes[slot_of[suffixes] >= 0]
+    heads = np.flatnonzero(induced.common_prefixes(shard, suffixes, LENGTH) < LENGTH)
+    slots = slot_of[suffixes]
+    smallest = np.minimum.reduceat(by_window[slots], heads)
+    by_window[slots] = np.repeat(smallest, np.diff(np.append(heads, len(slots))))
+
+
 def _settle(table: pa.Table) -> pa.Table:
     """For each block: its segments of which some window starts in a smaller document, and the smallest one by window."""
     rows = table.to_pylist()
@@ -217,21 +240,19 @@ def _settle(table: pa.Table) -> pa.Table:
     mixed = np.repeat(sizes > 1, sizes)
     place = np.cumsum(windows[unique]) - windows[unique]
     by_window = np.repeat(mins, windows[unique])
-    chosen = np.flatnonzero(mixed)
-    if len(chosen):
-        lengths = windows[unique][chosen] + LENGTH - 1
-        shard = text[np.repeat(begin[unique][chosen] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
-        starts = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(windows[unique][chosen]) - windows[unique][chosen]), windows[unique][chosen]) + np.arange(windows[unique][chosen].sum())
-        slots = np.repeat(place[chosen] - (np.cumsum(windows[unique][chosen]) - windows[unique][chosen]), windows[unique][chosen]) + np.arange(len(starts))
-        slot_of = np.full(len(shard), -1, np.int64)
-        slot_of[starts] = slots
-        suffixes = induced.suffix_array(shard, LENGTH)
-        suffixes = suffixes[slot_of[suffixes] >= 0]
-        common = induced.common_prefixes(shard, suffixes, LENGTH)
-        heads = np.flatnonzero(common < LENGTH)
-        slots = slot_of[suffixes]
-        smallest = np.minimum.reduceat(by_window[slots], heads)
-        by_window[slots] = np.repeat(smallest, np.diff(np.append(heads, len(slots))))
+    lengths = windows[unique] + LENGTH - 1
+    heads = np.flatnonzero(first_of)
+    edges = np.append(heads, len(unique))
+    # Segments with different anchors share no window, so a shard is sorted in parts of whole anchors.
+    upto = np.cumsum(np.where(mixed, lengths, 0))
+    at = 0
+    while at < len(heads):
+        low = upto[edges[at] - 1] if edges[at] else 0
+        to = max(int(np.searchsorted(upto[edges[1:] - 1], low + PART_BYTES, "right")), at + 1)
+        chosen = edges[at] + np.flatnonzero(mixed[edges[at] : edges[to]])
+        at = to
+        if len(chosen):
+            _classes(text, begin[unique[chosen]], windows[unique[chosen]], place[chosen], by_window)
     lowest = np.minimum.reduceat(by_window, place)
     highest = np.maximum.reduceat(by_window, place)
     out = []
@@ -260,18 +281,29 @@ def removed_spans(ids: list, data: np.ndarray, offsets: np.ndarray, answers: lis
     segments = Segments(data, offsets)
     at = order[np.minimum(np.searchsorted(content[order], segments.content), len(order) - 1)]
     some = np.flatnonzero(content[at] == segments.content)
-    at, n = at[some], segments.count[some]
-    own = np.repeat(_ids(ids)[segments.doc[some]], n)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    smallest = least[np.repeat(place[at], n) + np.where(np.repeat(count[at], n) > 0, step, 0)]
-    starts = (np.repeat(segments.start[some], n) + step)[smallest < own]
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    gap = np.flatnonzero(np.diff(starts) > LENGTH)
-    # Neighbouring windows of two documents are further apart than this within the second one only.
-    border = np.flatnonzero(np.diff(np.searchsorted(offsets, starts, "right")) > 0)
-    cut = np.union1d(gap, border)
-    return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + LENGTH], 1)
+    own, start, n, at = _ids(ids)[segments.doc[some]], segments.start[some], segments.count[some], at[some]
+    # One smallest document for the whole segment: all of it goes, or nothing.
+    whole = (count[at] == 0) & (least[place[at]] < own)
+    found = [np.stack([start[whole], start[whole] + n[whole] - 1 + LENGTH], 1)]
+    for k in range(0, len(some), AT_ONCE):
+        few = k + np.flatnonzero(count[at[k : k + AT_ONCE]] > 0)
+        by_window = least[_spread(place[at[few]], n[few])] < np.repeat(own[few], n[few])
+        first = _spread(start[few], n[few])[by_window]
+        found.append(np.stack([first, first + LENGTH], 1))
+    return _merged(np.concatenate(found), offsets)
+
+
+def _merged(spans: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Maximal runs of spans that overlap or touch within a text."""
+    if not len(spans):
+        return spans
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    doc = np.searchsorted(offsets, spans[:, 0], "right")
+    new = np.ones(len(spans), bool)
+    new[1:] = (spans[1:, 0] > reach[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], 1)
 
 
 _RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
