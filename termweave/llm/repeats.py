@@ -30,7 +30,7 @@ from termweave.llm import textbytes as tb
 
 LENGTH = 50
 SEED = 22
-#: Bytes of requests that a shard gets on average.
+#: Bytes of documents for each shard.
 SHARD_BYTES = 6 << 20
 #: Bytes of a shard that are sorted together; only the segments of one anchor can go beyond.
 PART_BYTES = 1 << 20
@@ -238,8 +238,9 @@ def _settle(table: pa.Table) -> pa.Table:
     first_of[1:] = anchor[unique][1:] != anchor[unique][:-1]
     sizes = np.diff(np.append(np.flatnonzero(first_of), len(unique)))
     mixed = np.repeat(sizes > 1, sizes)
-    place = np.cumsum(windows[unique]) - windows[unique]
-    by_window = np.repeat(mins, windows[unique])
+    slots = np.where(mixed, windows[unique], 1)  # an anchor's only segment needs no windows
+    place = np.cumsum(slots) - slots
+    by_window = np.repeat(mins, slots)
     lengths = windows[unique] + LENGTH - 1
     heads = np.flatnonzero(first_of)
     edges = np.append(heads, len(unique))
@@ -342,7 +343,7 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     spark = documents.sparkSession
     stored = bl.blocks(documents, key, text, carry)
     bare = stored.drop("carried")
-    n = bl.bucket_count(spark, stored, "n_bytes", 4 * SHARD_BYTES)
+    n = bl.bucket_count(spark, stored, "n_bytes", SHARD_BYTES)
     asked = bl.map_batches(bare, lambda batches: _ask(batches, n), _ddl(_ASK))
     replies = asked.groupBy("bucket").applyInArrow(_shared, _ddl(_REPLY))
     sent = bare.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, n), _ddl(_SEND))
