@@ -21,7 +21,7 @@ from termweave.llm import textbytes as tb
 from termweave.runtime import staging_path
 
 #: Bytes of text in a block; only a single longer document goes beyond.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 
 _COLUMNS = "block long, ids array<long>, offsets binary, packed binary, n_bytes long"
 

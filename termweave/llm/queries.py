@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bin_slack, disclosure, language_ppm, odd_sketches, rare_features, repeats, url_rules, weak_rules
+from termweave.llm import bin_slack, disclosure, language_ppm, ngram_trie, odd_sketches, rare_features, repeats, sampled_pieces, url_rules, weak_rules
 from termweave.runtime import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,20 @@ def op8_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that also stand in an earlier one, in passages of 50 bytes or more."""
     return repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+@query("op1_ngram_trie")
+def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under the model of the documents that are not held out."""
+    return ngram_trie.score(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sampled_pieces")
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every conversation turn."""
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations")
+    found = sampled_pieces.encode_sampled(turns, public_tokenizers.path("piece_bpe_32k.model"), keep=("conv_id", "turn"))
+    digest = F.crc32(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"))
+    return found.select("conv_id", "turn", "sample", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), "log_probability", "perturbed", "log_inclusion")

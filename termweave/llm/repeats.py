@@ -37,7 +37,7 @@ PART_BYTES = 1 << 20
 #: Segments of a block whose windows are looked at together.
 AT_ONCE = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
-_POSITION = (1 << 21) - 1
+_POSITION = (1 << 20) - 1
 
 
 class Segments:
