@@ -35,6 +35,11 @@ from termweave.llm.blocks import map_batches
 SAMPLES = 3
 SHARPNESS = 0.0004
 MARK = "▁"
+#: Stands for a word mark of the text itself; no text can hold it.
+_HIDDEN = "\udfff"
+#: A branch whose probability is this many nats below the open nodes cannot beat them: its chance is below
+#: the resolution of the random numbers. From there on a path only draws its pieces.
+BEYOND = 45.0
 #: Chunks that a worker remembers; reaching it only empties the memory.
 MEMORY = 200_000
 LONGEST_REMEMBERED = 64
@@ -77,7 +82,7 @@ class Lattices:
                 if hit:
                     edges.append((j, (hit[0],), hit[1] + total[j]))
             if not edges or edges[0][0] != i + 1:
-                ids = tuple(self.byte[b] for b in chunk[i].replace("\0", MARK).encode())
+                ids = tuple(self.byte[b] for b in chunk[i].replace(_HIDDEN, MARK).encode())
                 edges.append((i + 1, ids, self.worst * len(ids) + total[i + 1]))
             top = max(e[2] for e in edges)
             total[i] = top + math.log(sum(math.exp(e[2] - top) for e in edges))
@@ -86,8 +91,8 @@ class Lattices:
 
 
 def marked(text: str) -> str:
-    """The text as the lattice reads it; a word mark of its own is hidden as NUL and told from it by bytes."""
-    return MARK + text.replace(MARK, "\0").replace(" ", MARK)
+    """The text as the lattice reads it; a word mark of its own is hidden, and coded as bytes."""
+    return MARK + text.replace(MARK, _HIDDEN).replace(" ", MARK)
 
 
 def _gumbel(rng: random.Random) -> float:
@@ -104,13 +109,21 @@ def samples(text: str, lattices: Lattices, k: int, rng: random.Random) -> list[t
         value, _, logp, c, i, chain = heapq.heappop(heap)
         value = -value
         wanted = k + 1 - len(done)
-        bound = None
+        bound, settled = None, False
         while c < len(chunks):
             lattice = chunks[c]
             edges = lattice[i]
+            if i == 0 and not settled and len(heap) >= wanted - 1 > 0:
+                heap = heapq.nsmallest(wanted - 1, heap)
+                bound = -heap[-1][0]
+                settled = logp - bound < -BEYOND
             if len(edges) == 1:
-                j, ids, step = edges[0]
                 best = edges[0]
+            elif settled:
+                r, at = rng.random(), 0
+                while at < len(edges) - 1 and (r := r - math.exp(edges[at][2])) > 0:
+                    at += 1
+                best = edges[at]
             else:
                 perturbed = [logp + e[2] + _gumbel(rng) for e in edges]
                 top = max(perturbed)
