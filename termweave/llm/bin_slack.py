@@ -28,7 +28,9 @@ from termweave.llm.blocks import map_batches, stored
 CAPACITY = 1024
 END = 2
 #: Segments that a worker remembers; reaching it only empties the memory.
-MEMORY = 400_000
+MEMORY = 1_000_000
+#: Segments encoded in one call, and the longest that are.
+PER_CALL, LONG = 4096, 200
 #: Bytes of text tokenised together.
 TOGETHER = 4 << 20
 
@@ -49,9 +51,15 @@ class Segments:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        # A space is the letter G with a dot above in this tokenizer's alphabet.
+        self.leading = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+
+    def _tokens(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokens(texts)]
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -65,15 +73,25 @@ class Segments:
                 out[-1] += " " + p
         return out
 
+    def _learn(self, segments: list[str]) -> None:
+        """Remember the ids of new segments, many to a call: a token with a leading space starts the next one."""
+        plain = [s for s in segments if len(s) <= LONG and s.isprintable() and " " not in s]
+        for k in range(0, len(plain), PER_CALL):
+            part = plain[k : k + PER_CALL]
+            ids = np.array(self._tokens(["".join([" " + s for s in part])])[0].ids, "<u4")
+            raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.leading[ids])).tolist()
+            if len(starts) == len(part):
+                self.spaced.update(zip(part, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
+        rest = [s for s in segments if s not in self.spaced]
+        self.spaced.update(zip(rest, self._encode([" " + s for s in rest])))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         cuts = [self.cut(t) for t in texts]
         if len(self.spaced) > MEMORY:
             self.spaced.clear()
         known = self.spaced
-        new = set().union(*(set(c[1:]).difference(known) for c in cuts))
-        new = list(new)
-        known.update(zip(new, self._encode([" " + s for s in new])))
+        self._learn(list(set().union(*(set(c[1:]).difference(known) for c in cuts))))
         heads = self._encode([c[0] for c in cuts])
         return [b"".join([head, *map(known.__getitem__, c[1:])]) for head, c in zip(heads, cuts)]
 

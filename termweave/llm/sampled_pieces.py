@@ -141,7 +141,7 @@ def samples(text: str, lattices: Lattices, k: int, rng: random.Random) -> list[t
                             if len(heap) > 4 * wanted:
                                 heap = heapq.nsmallest(wanted - 1, heap)
                                 bound = -heap[-1][0]
-                j, ids, step = best
+            j, ids, step = best
             chain = (chain, ids)
             logp += step
             i = j
