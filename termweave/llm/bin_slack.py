@@ -13,7 +13,10 @@ as often as they occur; an empty table packs nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +31,26 @@ from termweave.llm.blocks import map_batches, stored
 CAPACITY = 1024
 END = 2
 #: Segments that a worker remembers; reaching it only empties the memory.
-MEMORY = 1_000_000
-#: Segments encoded in one call, and the longest that are.
-PER_CALL, LONG = 4096, 200
+MEMORY = 600_000
 #: Bytes of text tokenised together.
 TOGETHER = 4 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 _workers: dict[str, Segments] = {}
+_ragged = re.compile(r" (?=\s|$)")
+_letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])")
+# The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on, in order.
+_plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _plain)}
+_SPACE = chr(_alphabet[32])
+
+
+def _four_bytes(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
 
 
 class Segments:
@@ -51,20 +66,22 @@ class Segments:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        # A space is the letter G with a dot above in this tokenizer's alphabet.
-        self.leading = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
     def _tokens(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokens(texts)]
+        return [_four_bytes(e.ids) for e in self._tokens(texts)]
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """First segment as it is, the others without their leading space."""
         parts = text.split(" ")
+        if not _ragged.search(text):
+            return parts
         out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace():
@@ -74,22 +91,25 @@ class Segments:
         return out
 
     def _learn(self, segments: list[str]) -> None:
-        """Remember the ids of new segments, many to a call: a token with a leading space starts the next one."""
-        plain = [s for s in segments if len(s) <= LONG and s.isprintable() and " " not in s]
-        for k in range(0, len(plain), PER_CALL):
-            part = plain[k : k + PER_CALL]
-            ids = np.array(self._tokens(["".join([" " + s for s in part])])[0].ids, "<u4")
-            raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.leading[ids])).tolist()
-            if len(starts) == len(part):
-                self.spaced.update(zip(part, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
-        rest = [s for s in segments if s not in self.spaced]
-        self.spaced.update(zip(rest, self._encode([" " + s for s in rest])))
+        """Remember the ids of new segments.
+
+        The letters that a segment starts with are a token group of their own, whatever follows; they and the
+        rest are encoded once for all segments that share them.
+        """
+        ends = [m.end() if (m := _letters.match(s)) else 0 for s in segments]
+        for head in {s[:e] for s, e in zip(segments, ends) if e}.difference(self.heads):
+            mapped = _SPACE + head if head.isascii() else (" " + head).encode().decode("latin-1").translate(_alphabet)
+            self.heads[head] = _four_bytes([t.id for t in self.model.tokenize(mapped)])
+        tails = list({s[e:] if e else " " + s for s, e in zip(segments, ends)}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails)))
+        self.spaced.update((s, self.heads[s[:e]] + self.tails[s[e:]] if e else self.tails[" " + s]) for s, e in zip(segments, ends))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         cuts = [self.cut(t) for t in texts]
         if len(self.spaced) > MEMORY:
-            self.spaced.clear()
+            for memory in (self.spaced, self.heads, self.tails):
+                memory.clear()
         known = self.spaced
         self._learn(list(set().union(*(set(c[1:]).difference(known) for c in cuts))))
         heads = self._encode([c[0] for c in cuts])
