@@ -114,6 +114,31 @@ class EliasFano:
             going = going[at[going] < end[going]]
         return at
 
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of each value, -1 where the sequence has none."""
+        high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
+        low = wanted & np.uint64((1 << self.low_bits) - 1)
+        at = self._below(high)
+        # Values with this high part are the ones that follow in unary, counted in a window of 64 bits.
+        bit = at + high
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        window = (self.high[word] >> shift) | np.where(shift > 0, after << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        run = np.bitwise_count((~window & (window + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        end = at + run
+        full = np.flatnonzero(run >= 64)
+        if len(full):
+            end[full] = self._below(high[full] + 1)
+        end = np.minimum(end, self.n)
+        going = np.flatnonzero(at < end)
+        while len(going):
+            going = going[self.low_of(at[going]) < low[going]]
+            at[going] += 1
+            going = going[at[going] < end[going]]
+        hit = at < end
+        hit[hit] = self.low_of(at[hit]) == low[hit]
+        return np.where(hit, at, -1)
+
     def get(self, index: np.ndarray) -> np.ndarray:
         """Values at ascending or any indexes."""
         ones = np.cumsum(64 - np.diff(self.zeros.astype(np.int64)))
@@ -148,23 +173,27 @@ class Trie:
             quantised(counts),
         )
 
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Code of each bigram, 0 where the trie has none."""
-        out = np.zeros(len(context), np.uint8)
-        if not len(self.codes):
+    def find(self, contexts: np.ndarray, sizes: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Codes of bigrams, 0 where the trie has none: distinct contexts with the number of successors that follow each."""
+        out = np.zeros(len(successor), np.uint8)
+        if not len(self.codes) or not len(successor):
             return out
-        at = self.contexts.successor(context)
-        known = np.flatnonzero(at < self.contexts.n)
-        known = known[self.contexts.get(at[known]) == context[known]]
-        number = at[known]
-        place = self.successors.successor((number.astype(np.uint64) << np.uint64(_SUCCESSOR_BITS)) | successor[known])
-        end = self.pointers.get(number + 1).astype(np.int64)
-        inside = place < end
-        known, place = known[inside], place[inside]
-        same = (self.successors.get(place) & np.uint64((1 << _SUCCESSOR_BITS) - 1)) == successor[known]
-        out[known[same]] = self.codes[place[same]]
+        number = np.repeat(self.contexts.find(contexts), sizes)
+        known = np.flatnonzero(number >= 0)
+        place = self.successors.find((number[known].astype(np.uint64) << np.uint64(_SUCCESSOR_BITS)) | successor[known])
+        hit = place >= 0
+        out[known[hit]] = self.codes[place[hit]]
         return out
 
+    def followers(self, context: int) -> tuple[np.ndarray, np.ndarray]:
+        """All successors of one context and their codes, between its two pointers."""
+        number = int(self.contexts.find(np.array([context], np.uint64))[0]) if len(self.codes) else -1
+        if number < 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        first, last = self.pointers.get(np.array([number, number + 1])).astype(np.int64)
+        index = np.arange(first, last)
+        return self.successors.get(index) & np.uint64((1 << _SUCCESSOR_BITS) - 1), self.codes[index]
+
     def write(self, path: str) -> None:
         parts = [*self.contexts.parts(), *self.pointers.parts(), *self.successors.parts(), self.codes]
         with open(path, "wb") as f:
@@ -272,7 +301,8 @@ def _answer(table: pa.Table) -> pa.Table:
     words, trained = read("words", np.uint64), np.concatenate(read("word_train", np.uint32))
     distinct, at = np.unique(np.concatenate(words), return_inverse=True)
     totals = np.bincount(at, trained, len(distinct)).astype(np.int64)
-    contexts = [np.repeat(_values_of(r["contexts"], 6), s) for r, s in zip(rows, read("sizes", np.uint32))]
+    asked, sizes = [_values_of(r["contexts"], 6) for r in rows], read("sizes", np.uint32)
+    contexts = [np.repeat(c, s) for c, s in zip(asked, sizes)]
     successors = [_values_of(r["successors"], 5) for r in rows]
     counts = np.concatenate(read("pair_train", np.uint32)).astype(np.int64)
     seen = np.flatnonzero(counts)
@@ -288,11 +318,11 @@ def _answer(table: pa.Table) -> pa.Table:
         path = os.path.join(folder, "levels")
         trie.write(path)
         trie = Trie.mapped(path)
-        for k, (r, w, c, s) in enumerate(zip(rows, words, contexts, successors)):
+        for k, (r, w, c, s) in enumerate(zip(rows, words, asked, successors)):
             mine = totals[at[done : done + len(w)]].astype(np.uint32)
             done += len(w)
             sums = (int(totals.sum()), int((totals > 0).sum())) if k == 0 else (0, 0)
-            out.append((r["block"], r["shard"], mine.tobytes(), trie.find(c, s).tobytes(), *sums))
+            out.append((r["block"], r["shard"], mine.tobytes(), trie.find(c, sizes[k], s).tobytes(), *sums))
     return pa.Table.from_batches([_table(out, _ANSWER)])
 
 
