@@ -13,23 +13,13 @@ from termweave.llm import bin_slack, blocks, disclosure, language_ppm, odd_sketc
 from termweave.llm.queries import tokenizer_path
 
 
-def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """The table with neutral column names, and the name of each original column there."""
-    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
-
-
-def _restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what is in no learned language: a null text or one without letters."""
-    rows, names = _renamed(docs)
+    rows, names = blocks.renamed(docs)
     hold = language_ppm.held_out(F.col(names["doc_id"]), 5, 0)
     trees = language_ppm.fit(rows.filter(~hold), text=names["text"], lang=names["lang"])
     found = language_ppm.predict(rows, trees, keep=tuple(rows.columns), text=names["text"])
-    return _restored(found.filter(F.col("lang_pred") != language_ppm.UNKNOWN), names)
+    return blocks.restored(found.filter(F.col("lang_pred") != language_ppm.UNKNOWN), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +27,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows with the same doc_id the one with the smallest text stays; rows without an id stay.
     """
-    rows, names = _renamed(docs)
+    rows, names = blocks.renamed(docs)
     key, text = names["doc_id"], names["text"]
     judged = odd_sketches.near_duplicates(rows, size=5, percent=80, key=key, text=text)
     kept = judged.filter("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
     place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c) for c in (text, *(c for c in rows.columns if c not in (key, text)))]))
     with_id = rows.join(kept, key, "left_semi").withColumn("place", place).filter("place = 1").drop("place")
-    return _restored(with_id.unionByName(rows.filter(F.col(key).isNull())), names)
+    return blocks.restored(with_id.unionByName(rows.filter(F.col(key).isNull())), names)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,18 +41,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Bytes of a character that is cut in two are dropped; a null text becomes empty.
     """
-    rows, names = _renamed(docs)
+    rows, names = blocks.renamed(docs)
     carry = tuple(n for c, n in names.items() if c not in ("text", "n_chars"))
     found = repeats.without_repeats(rows, names["doc_id"], names["text"], carry=carry)
     found = found.withColumn(names["text"], F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", ""))
-    return _restored(found.withColumn(names["n_chars"], F.length(names["text"]).cast(docs.schema["n_chars"].dataType)), names)
+    return blocks.restored(found.withColumn(names["n_chars"], F.length(names["text"]).cast(docs.schema["n_chars"].dataType)), names)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and the terms that disclose it."""
-    rows, names = _renamed(docs)
-    found = disclosure.sanitised(rows, names["text"])
-    return _restored(found.withColumn(names["n_chars"], F.length(names["text"]).cast(docs.schema["n_chars"].dataType)), names)
+    return disclosure.sanitised(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,16 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with neutral column names, and the name of each original column there."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write below the shared folder and read again: cuts the lineage, survives lost executors."""
     path = staging_path(df.sparkSession, name)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm import textbytes as tb
-from termweave.llm.blocks import map_batches, stored
+from termweave.llm.blocks import map_batches, renamed, restored, stored
 
 KINDS = ("email", "ip", "card", "phone", "term", "general")
 SUPPORT = 3
@@ -252,8 +252,9 @@ def _replace(batches: Iterator[pa.RecordBatch], text: int, found: int) -> Iterat
 
 def sanitised(documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span replaced: by its kind, or a generalised term by its class. A null text stays null."""
-    columns = documents.columns
-    found = find(documents, keep=tuple(columns), text=text).select(*columns, "found")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    place, last = columns.index(text), len(columns)
-    return map_batches(found, lambda batches: _replace(batches, place, last), schema)
+    rows, names = renamed(documents)
+    columns = rows.columns
+    found = find(rows, keep=tuple(columns), text=names[text]).select(*columns, "found")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    place, last = columns.index(names[text]), len(columns)
+    return restored(map_batches(found, lambda batches: _replace(batches, place, last), schema), names)
