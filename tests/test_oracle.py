@@ -16,7 +16,7 @@ def db():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, db, name):
     result = entry.queries()[name](spark, SF_DIR).toArrow()
     expected = db.sql(entry.oracle_sql()[name]).to_arrow_table()
