@@ -31,9 +31,9 @@ from termweave.llm import textbytes as tb
 LENGTH = 50
 SEED = 22
 #: Bytes of documents for each shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: Bytes of a shard that are sorted together; only the segments of one anchor can go beyond.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 #: Segments of a block whose windows are looked at together.
 AT_ONCE = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
