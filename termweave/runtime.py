@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -37,7 +36,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session falls back to a
-    temporary folder: on a cluster the executors could not read each other's local files.
+    folder in its warehouse: on a cluster that might be a local one, which executors cannot share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -50,7 +49,7 @@ def shared_root(spark: SparkSession) -> str:
         return current
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="termweave-"))
+    context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/termweave-checkpoints")
     return context.getCheckpointDir()
 
 
