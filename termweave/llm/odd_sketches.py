@@ -6,9 +6,13 @@ threshold meets in none with a chance below one in a million. The samples, folde
 of 512 bits, form the odd sketch: the number of differing bits between two bitmaps estimates how many samples differ, and
 candidates far beyond what the threshold allows are dropped. The rest are confirmed on the full sets.
 
-Not all pairs in a bucket are tried. First every member is tried with the bucket's smallest class; the links form
+Not all pairs in a bucket are tried. First every member is tried with the bucket's smallest class, its hub; the links form
 components; then only pairs in different components are tried, since a link inside a component cannot change it.
-This loses no link that matters to the components and keeps a bucket of many near copies linear.
+Such a pair (a, b) has a member, say a, that is not linked to the hub h. It can only be linked if the differences
+a xor h and b xor h have enough shingles in common: more than (|b xor h| + c (|h| - |b|)) / 2 and at least
+|a xor h| - c |a| (1 + 1 / t), with c = (1 - t) / (1 + t) at the threshold t. So pairs are looked up by the rarest
+shingles of the differences, as few as these bounds allow. Near copies differ from the hub in shingles of their own, so
+this loses no link that matters to the components and keeps a bucket of many near copies linear.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing, also not with its
 like; fewer words than a shingle form one shingle; a null doc_id is its own component; rows that
@@ -180,6 +184,47 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _difference_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each (hub, id, component, shingles, hub's shingles): what differs, and how many of it ask and answer."""
+    t = percent / 100
+    c, safe = (1 - t) / (1 + t), 1e-6
+    for batch in batches:
+        asks, answers, differ = [], [], []
+        for a, h in zip(batch.column(3), batch.column(4)):
+            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64)
+            d = np.setxor1d(x, y, assume_unique=True)
+            common = (len(x) + len(y) - len(d)) // 2
+            linked = 100 * common >= percent * (len(x) + len(y) - common)
+            least = max(1, math.ceil(len(d) - c * len(x) * (1 + 1 / t) - safe))
+            asks.append(0 if linked else len(d) - least + 1)
+            answers.append(len(d) - math.floor((len(d) + c * (len(y) - len(x))) / 2 - safe))
+            differ.append(d.view(np.int64))
+        ends = np.cumsum([0, *(len(d) for d in differ)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(differ) if differ else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(asks, pa.int32()), pa.array(answers, pa.int32()), lists], names=["hub", "id", "component", "asks", "answers", "differ"])
+
+
+def pairs_by_difference(spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one hub and different components that may be linked. ``spokes``: hub, id, component, distinct."""
+    joined = spokes.join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("y")), "hub")
+    fields = "hub long, id long, component long, asks int, answers int, differ array<long>"
+    differences = map_batches(joined.select("hub", "id", "component", "x", "y"), lambda batches: _difference_rows(batches, percent), fields)
+    differences = materialise(differences.filter("asks > 0 or answers > 0"))
+    tokens = differences.select("hub", "id", F.explode("differ").alias("token"))
+    common = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Shingles of one member only come first in the order and meet nobody.
+    ranked = tokens.join(common, ["hub", "token"]).groupBy("hub", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    sizes = differences.select("hub", "id", "component", "asks", "answers", F.size("differ").alias("size"))
+    placed = ranked.join(sizes, ["hub", "id"]).select("*", F.posexplode("shared").alias("pos", "one"))
+    place = F.col("size") - F.size("shared") + F.col("pos")
+    placed = placed.select("hub", F.col("one.token").alias("token"), "id", "component", (place < F.col("asks")).alias("asks"), (place < F.col("answers")).alias("answers"))
+    placed = materialise(placed.filter("asks or answers"))
+    left = placed.filter("asks").select("hub", "token", F.col("id").alias("i"), F.col("component").alias("p"))
+    right = placed.filter("answers").select("hub", "token", F.col("id").alias("j"), F.col("component").alias("q"))
+    found = left.join(right, ["hub", "token"]).filter("p <> q")
+    return found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def _different_bits(a: str, b: str):
     return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(WORDS)))
 
@@ -203,13 +248,14 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85, key:
     sets = _candidate_sets(rows, star, size)
     links = materialise(confirmed(star, sets, percent))
     joined = components(links)
-    labelled = members.select("bucket", "id", "sketch").join(joined, "id", "left")
-    labelled = materialise(labelled.select("bucket", "id", "sketch", F.coalesce("component", "id").alias("component")))
+    labelled = members.select("bucket", "id", F.col("first.id").alias("hub")).join(joined, "id", "left")
+    labelled = materialise(labelled.select("bucket", "id", "hub", F.coalesce("component", "id").alias("component")))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    mixed = materialise(labelled.join(split, "bucket"))
-    left = mixed.select("bucket", F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("component").alias("p"))
-    right = mixed.select("bucket", F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("component").alias("q"))
-    across = left.join(right, "bucket").filter("a < b and p <> q").filter(_different_bits("x", "y") <= allowed).select("a", "b").distinct()
+    spokes = materialise(labelled.join(split, "bucket").select("hub", "id", "component").distinct())
+    across = materialise(pairs_by_difference(spokes, _candidate_sets(rows, spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")), size), percent))
+    left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
+    right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+    across = across.join(left, "a").join(right, "b").filter(_different_bits("x", "y") <= allowed).select("a", "b")
     across = materialise(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = confirmed(across, _candidate_sets(rows, across, size), percent)
     same = some.join(classes.select("n_shingles", "class_hash", "id"), ["n_shingles", "class_hash"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))

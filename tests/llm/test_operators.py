@@ -271,6 +271,23 @@ def test_many_near_copies_make_one_component(spark):
     assert got == components_of(texts, 3, 85)
 
 
+def test_near_copies_far_from_the_smallest_id(spark):
+    rng = random.Random(9)
+    base = [str(rng.random()) for _ in range(150)]
+    lines, texts = [base], []
+    for k in range(90):
+        copy = list(rng.choice(lines))
+        for _ in range(rng.randint(0, 7)):
+            copy[rng.randrange(150)] = f"x{k}"
+        lines.append(copy)
+    rng.shuffle(lines)
+    texts = [(k, " ".join(line)) for k, line in enumerate(lines)]
+    want = components_of(texts, 3, 85)
+    assert len({c for _, c in want.values()}) > 2
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in odd_sketches.near_duplicates(small_table(spark, texts, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_odd_sketch_estimates_the_difference():
     rng = np.random.default_rng(4)
     common, own = rng.integers(1, 2**63, 900, dtype=np.uint64), rng.integers(1, 2**63, 200, dtype=np.uint64)
