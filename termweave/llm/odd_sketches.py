@@ -6,8 +6,8 @@ threshold meets in none with a chance below one in a million. The samples, folde
 of 512 bits, form the odd sketch: the number of differing bits between two bitmaps estimates how many samples differ, and
 candidates far beyond what the threshold allows are dropped. The rest are confirmed on the full sets.
 
-Not all pairs in a bucket are tried. First every member is tried with the bucket's smallest class, its hub; the links form
-components; then only pairs in different components are tried, since a link inside a component cannot change it.
+Not all pairs in a bucket are tried. First every member is tried with the bucket's hub, the class that meets the most
+others in all its buckets; the links form components; then only pairs in different components are tried, since a link inside a component cannot change it.
 Such a pair (a, b) has a member, say a, that is not linked to the hub h. It can only be linked if the differences
 a xor h and b xor h have enough shingles in common: more than (|b xor h| + c (|h| - |b|)) / 2 and at least
 |a xor h| - c |a| (1 + 1 / t), with c = (1 - t) / (1 + t) at the threshold t. So pairs are looked up by the rarest
@@ -239,23 +239,27 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85, key:
     some = signatures.filter("n_shingles > 0 and doc_id is not null")
     # One class for equal sets; a row that repeats a doc_id ties its classes together below.
     classes = stored(some.groupBy("n_shingles", "class_hash").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
-    filed = materialise(classes.select("id", "sketch", F.posexplode("bands").alias("band", "bucket")).select("id", "sketch", "bucket"))
-    crowded = filed.groupBy("bucket").agg(F.min(F.struct("id", "sketch")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowded = materialise(crowded.select("bucket", "first"))
-    members = materialise(filed.join(crowded, "bucket").select("bucket", "id", "sketch", "first"))
-    star = members.filter("id <> first.id").filter(_different_bits("sketch", "first.sketch") <= allowed)
-    star = materialise(star.select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+    filed = classes.select("id", F.explode("bands").alias("bucket"))
+    crowded = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    filed = materialise(filed.join(crowded, "bucket").select("bucket", "id", "n"))
+    # The text that a group was copied from meets the most others; as hub it links most of the group at once.
+    met = filed.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = filed.join(met, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
+    members = materialise(filed.join(hubs, "bucket").select("bucket", "id", "hub"))
+    left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
+    right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+    alike = _different_bits("x", "y") <= allowed
+    star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    star = materialise(star.join(left, "a").join(right, "b").filter(alike).select("a", "b"))
     sets = _candidate_sets(rows, star, size)
     links = materialise(confirmed(star, sets, percent))
     joined = components(links)
-    labelled = members.select("bucket", "id", F.col("first.id").alias("hub")).join(joined, "id", "left")
+    labelled = members.join(joined, "id", "left")
     labelled = materialise(labelled.select("bucket", "id", "hub", F.coalesce("component", "id").alias("component")))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     spokes = materialise(labelled.join(split, "bucket").select("hub", "id", "component").distinct())
     across = materialise(pairs_by_difference(spokes, _candidate_sets(rows, spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")), size), percent))
-    left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
-    right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
-    across = across.join(left, "a").join(right, "b").filter(_different_bits("x", "y") <= allowed).select("a", "b")
+    across = across.join(left, "a").join(right, "b").filter(alike).select("a", "b")
     across = materialise(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = confirmed(across, _candidate_sets(rows, across, size), percent)
     same = some.join(classes.select("n_shingles", "class_hash", "id"), ["n_shingles", "class_hash"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
