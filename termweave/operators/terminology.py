@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
 from termweave.operators.tableops import page
-from termweave.runtime import materialise, ranked
+from termweave.runtime import ranked
 from termweave.schemas import ACCEPTABLE, DOSE_FORM, IS_A, PREFERRED, PRODUCT_PARTS
 
-# Definitions with more pieces than this stay in piece form (definition_pieces).
-TEXT_PIECES = 10_000
+# Pieces in one part of a definition text.
+PART_PIECES = 1_000
 
 
 # --- descriptions ---------------------------------------------------------------------------
@@ -275,17 +275,24 @@ def definition_pieces(concepts: DataFrame, relationship: DataFrame) -> DataFrame
     return head.unionByName(body)
 
 
-def definition_expression(concepts: DataFrame, relationship: DataFrame, max_pieces: int = TEXT_PIECES) -> DataFrame:
-    """Definition text per concept. Longer ones than ``max_pieces`` are left to ``definition_pieces``."""
-    sizes = relationship.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_pieces)
-    long = materialise(sizes.select(F.col("source").alias("concept_id")))
-    if not long.isEmpty():
-        concepts = concepts.join(long, "concept_id", "left_anti")
-        relationship = relationship.join(long.withColumnRenamed("concept_id", "source"), "source", "left_anti")
-    pieces = definition_pieces(concepts, relationship)
-    ordered = F.array_sort(F.collect_list(F.struct("place", "piece")))
-    return pieces.groupBy("concept_id").agg(ordered.alias("pieces")).select(
-        "concept_id", F.concat_ws("", F.transform("pieces", lambda p: p["piece"])).alias("expression")
+def numbered_pieces(concepts: DataFrame, relationship: DataFrame) -> DataFrame:
+    """(concept_id, position, piece): the pieces numbered from 1 per concept, by one distributed sort."""
+    rows = ranked(definition_pieces(concepts, relationship), F.col("concept_id"), F.col("place"), name="row")
+    begins = rows.groupBy("concept_id").agg(F.min("row").alias("begin"))
+    position = F.col("row") - F.col("begin") + 1
+    return rows.join(begins, "concept_id").select("concept_id", position.alias("position"), "piece")
+
+
+def definition_expression(concepts: DataFrame, relationship: DataFrame, part_pieces: int = PART_PIECES) -> DataFrame:
+    """Definition text of each concept as (concept_id, part, text); the parts from 0 on, joined, make the text.
+
+    Every part but the last holds ``part_pieces`` pieces, so no concept is left out and none is gathered in one row.
+    """
+    pieces = numbered_pieces(concepts, relationship)
+    part = F.floor((F.col("position") - 1) / part_pieces).alias("part")
+    ordered = F.array_sort(F.collect_list(F.struct("position", "piece")))
+    return pieces.groupBy("concept_id", part).agg(ordered.alias("pieces")).select(
+        "concept_id", "part", F.concat_ws("", F.transform("pieces", lambda p: p["piece"])).alias("text")
     )
 
 

@@ -287,19 +287,22 @@ def product_forms(spark, sf_dir):
     return term.product_forms(fx.relationships(spark, sf_dir), fx.product_names(spark, sf_dir))
 
 
-DEFINITION_SQL = f"""WITH rel AS (
-    SELECT DISTINCT source, type, type_name, target, target_name, CASE WHEN type = '{IS_A}' THEN 0 ELSE group_id END AS group_id
+PIECES_SQL = f"""WITH rel AS (
+    SELECT DISTINCT source, type, type_name, target, target_name, type <> '{IS_A}' AS attribute,
+           CASE WHEN type = '{IS_A}' THEN 0 ELSE group_id END AS group_id
       FROM relationship WHERE active AND view = 'inferred'),
-  parent AS (SELECT source, string_agg(target || ' |' || target_name || '|', ' + ' ORDER BY target_name, target, type) AS text
-    FROM rel WHERE type = '{IS_A}' GROUP BY source),
-  grp AS (SELECT source, group_id,
-      string_agg(type || ' |' || type_name || '| = ' || target || ' |' || target_name || '|', ', ' ORDER BY target_name, target, type) AS text
-    FROM rel WHERE type <> '{IS_A}' GROUP BY source, group_id),
-  attribute AS (SELECT source, string_agg(CASE WHEN group_id = 0 THEN text ELSE '{{ ' || text || ' }}' END, ' ' ORDER BY group_id) AS text
-    FROM grp GROUP BY source)
-  SELECT concept_id, CASE WHEN fully_defined THEN '=== ' ELSE '<<< ' END || coalesce(p.text, '')
-         || CASE WHEN a.text IS NULL THEN '' WHEN p.text IS NULL THEN ': ' || a.text ELSE ' : ' || a.text END AS expression
-    FROM product_name LEFT JOIN parent p ON p.source = concept_id LEFT JOIN attribute a ON a.source = concept_id"""
+  marked AS (SELECT *, target || ' |' || target_name || '|' AS ref,
+      row_number() OVER (PARTITION BY source ORDER BY attribute, group_id, target_name, target, type) AS place,
+      row_number() OVER (PARTITION BY source, attribute, group_id ORDER BY target_name, target, type) AS up,
+      row_number() OVER (PARTITION BY source, attribute, group_id ORDER BY target_name DESC, target DESC, type DESC) AS down,
+      row_number() OVER (PARTITION BY source, attribute ORDER BY group_id, target_name, target, type) AS nth,
+      bool_or(NOT attribute) OVER (PARTITION BY source) AS has_parent FROM rel)
+  SELECT concept_id, CAST(1 AS BIGINT) AS position, CASE WHEN fully_defined THEN '=== ' ELSE '<<< ' END AS piece FROM product_name
+  UNION ALL SELECT source, place + 1, CASE
+      WHEN NOT attribute THEN CASE WHEN up = 1 THEN '' ELSE ' + ' END || ref
+      ELSE CASE WHEN up > 1 THEN ', ' WHEN nth > 1 THEN ' ' WHEN has_parent THEN ' : ' ELSE ': ' END
+           || CASE WHEN up = 1 AND group_id <> 0 THEN '{{ ' ELSE '' END || type || ' |' || type_name || '| = ' || ref
+           || CASE WHEN down = 1 AND group_id <> 0 THEN ' }}' ELSE '' END END FROM marked"""
 
 
 def _inferred(spark, sf_dir):
@@ -307,21 +310,26 @@ def _inferred(spark, sf_dir):
     return shown.select("source", "type", "type_name", "target", "target_name", "group_id").distinct()
 
 
-@query("definition_expression", "relationship", "product_name", sql=f"SELECT * FROM ({DEFINITION_SQL})")
+def _parts_sql(size: int) -> str:
+    return f"""SELECT concept_id, (position - 1) // {size} AS part, string_agg(piece, '' ORDER BY position) AS text
+  FROM ({PIECES_SQL}) GROUP BY ALL"""
+
+
+@query("definition_expression", "relationship", "product_name", sql=_parts_sql(term.PART_PIECES))
 def definition_expression(spark, sf_dir):
     return term.definition_expression(fx.product_names(spark, sf_dir), _inferred(spark, sf_dir))
 
 
-@query(
-    "definition_pieces",
-    "relationship",
-    "product_name",
-    sql=f"SELECT concept_id, CAST(length(expression) AS BIGINT) AS characters FROM ({DEFINITION_SQL})",
-)
+@query("definition_expression_in_parts", "relationship", "product_name", sql=_parts_sql(4))
+def definition_expression_in_parts(spark, sf_dir):
+    """The same texts in parts of four pieces."""
+    return term.definition_expression(fx.product_names(spark, sf_dir), _inferred(spark, sf_dir), part_pieces=4)
+
+
+@query("definition_pieces", "relationship", "product_name", sql=f"SELECT * FROM ({PIECES_SQL})")
 def definition_pieces(spark, sf_dir):
-    """Pieces of a definition add up to the length of its text."""
-    pieces = term.definition_pieces(fx.product_names(spark, sf_dir), _inferred(spark, sf_dir))
-    return pieces.groupBy("concept_id").agg(F.sum(F.length("piece")).alias("characters"))
+    """Every piece of every definition with its place."""
+    return term.numbered_pieces(fx.product_names(spark, sf_dir), _inferred(spark, sf_dir))
 
 
 # --- hierarchy ------------------------------------------------------------------------------

@@ -198,12 +198,26 @@ def test_definition_text(spark):
         ],
         "source string, type string, type_name string, target string, target_name string, group_id int",
     )
-    texts = {r.concept_id: r.expression for r in term.definition_expression(concepts, rel).collect()}
+    texts = {r.concept_id: r.text for r in term.definition_expression(concepts, rel).filter("part = 0").collect()}
     assert texts["1"] == "=== 10 |Alpha| + 11 |Beta| : 5 |site| = 22 |Lung| { 5 |site| = 20 |Heart|, 6 |kind| = 21 |Wall| }"
     assert texts["2"] == "<<< : { 5 |site| = 20 |Heart| }"
     assert texts["3"] == "<<< "
-    short = term.definition_expression(concepts, rel, max_pieces=3)
-    assert sorted(r.concept_id for r in short.collect()) == ["2", "3"]
+    parts = sorted(term.definition_expression(concepts, rel, part_pieces=2).collect())
+    assert [(r.concept_id, r.part) for r in parts] == [("1", 0), ("1", 1), ("1", 2), ("2", 0), ("3", 0)]
+    assert "".join(r.text for r in parts if r.concept_id == "1") == texts["1"]
+
+
+def test_very_long_definition_keeps_every_piece(spark):
+    concepts = spark.createDataFrame([("1", True)], "concept_id string, fully_defined boolean")
+    name = F.format_string("n%05d", "id")
+    rel = spark.range(10_500).select(
+        F.lit("1").alias("source"), F.lit("5").alias("type"), F.lit("site").alias("type_name"),
+        F.col("id").cast("string").alias("target"), name.alias("target_name"), F.lit(1).alias("group_id"),
+    )
+    parts = sorted(term.definition_expression(concepts, rel).collect())
+    assert [r.part for r in parts] == list(range(11))
+    want = ", ".join(f"5 |site| = {k} |n{k:05d}|" for k in range(10_500))
+    assert "".join(r.text for r in parts) == "=== : { " + want + " }"
 
 
 def test_phrases_under_three_characters_find_nothing(spark):
