@@ -189,7 +189,7 @@ def _difference_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
     t = percent / 100
     c, safe = (1 - t) / (1 + t), 1e-6
     for batch in batches:
-        asks, answers, differ = [], [], []
+        asks, answers, lengths, differ = [], [], [], []
         for a, h in zip(batch.column(3), batch.column(4)):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64)
             d = np.setxor1d(x, y, assume_unique=True)
@@ -198,30 +198,40 @@ def _difference_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
             least = max(1, math.ceil(len(d) - c * len(x) * (1 + 1 / t) - safe))
             asks.append(0 if linked else len(d) - least + 1)
             answers.append(len(d) - math.floor((len(d) + c * (len(y) - len(x))) / 2 - safe))
+            lengths.append(len(x))
             differ.append(d.view(np.int64))
         ends = np.cumsum([0, *(len(d) for d in differ)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(differ) if differ else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(asks, pa.int32()), pa.array(answers, pa.int32()), lists], names=["hub", "id", "component", "asks", "answers", "differ"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(asks, pa.int32()), pa.array(answers, pa.int32()), pa.array(lengths, pa.int32()), lists], names=["hub", "id", "component", "asks", "answers", "length", "differ"])
 
 
 def pairs_by_difference(spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one hub and different components that may be linked. ``spokes``: hub, id, component, distinct."""
     joined = spokes.join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("y")), "hub")
-    fields = "hub long, id long, component long, asks int, answers int, differ array<long>"
+    fields = "hub long, id long, component long, asks int, answers int, length int, differ array<long>"
     differences = map_batches(joined.select("hub", "id", "component", "x", "y"), lambda batches: _difference_rows(batches, percent), fields)
     differences = materialise(differences.filter("asks > 0 or answers > 0"))
     tokens = differences.select("hub", "id", F.explode("differ").alias("token"))
     common = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Shingles of one member only come first in the order and meet nobody.
     ranked = tokens.join(common, ["hub", "token"]).groupBy("hub", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    sizes = differences.select("hub", "id", "component", "asks", "answers", F.size("differ").alias("size"))
+    sizes = differences.select("hub", "id", "component", "asks", "answers", "length", F.size("differ").alias("size"))
     placed = ranked.join(sizes, ["hub", "id"]).select("*", F.posexplode("shared").alias("pos", "one"))
     place = F.col("size") - F.size("shared") + F.col("pos")
-    placed = placed.select("hub", F.col("one.token").alias("token"), "id", "component", (place < F.col("asks")).alias("asks"), (place < F.col("answers")).alias("answers"))
+    # ``left``: shingles from here to the end of the order, this one included.
+    placed = placed.select(
+        "hub", F.col("one.token").alias("token"), "id", "component", "size", "length", (F.col("size") - place).alias("left"), (place < F.col("asks")).alias("asks"), (place < F.col("answers")).alias("answers")
+    )
     placed = materialise(placed.filter("asks or answers"))
-    left = placed.filter("asks").select("hub", "token", F.col("id").alias("i"), F.col("component").alias("p"))
-    right = placed.filter("answers").select("hub", "token", F.col("id").alias("j"), F.col("component").alias("q"))
-    found = left.join(right, ["hub", "token"]).filter("p <> q")
+    names = ("id", "component", "size", "length", "left")
+    one = placed.filter("asks").select("hub", "token", *[F.col(n).alias(f"{n}_a") for n in names])
+    other = placed.filter("answers").select("hub", "token", *[F.col(n).alias(f"{n}_b") for n in names])
+    # At the first common shingle of a linked pair, enough shingles are left on both sides.
+    c = (100 - percent) / (100 + percent)
+    needed = (F.col("size_a") + F.col("size_b") - c * (F.col("length_a") + F.col("length_b"))) / 2 - 1e-6
+    enough = (F.col("component_a") != F.col("component_b")) & (F.least("left_a", "left_b") >= needed)
+    found = one.join(other, (one["hub"] == other["hub"]) & (one["token"] == other["token"]) & enough)
+    found = found.select(F.col("id_a").alias("i"), F.col("id_b").alias("j"))
     return found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
