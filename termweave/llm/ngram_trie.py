@@ -43,6 +43,9 @@ _START = np.uint64(0x57A2757A2757A271)
 
 _decoded = np.concatenate([np.arange(129), np.round(128 * 1.12 ** np.arange(1, 128))])
 
+#: Place of the k-th zero bit of each byte.
+_zero_places = np.argsort(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1, kind="stable")
+
 
 def quantised(counts: np.ndarray) -> np.ndarray:
     """One byte for each count."""
@@ -90,9 +93,13 @@ class EliasFano:
         for a in range(0, len(k), 1 << 15):
             part = k[a : a + (1 << 15)]
             word = np.searchsorted(self.zeros, part, "right") - 1
-            bits = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            nth = (np.cumsum(1 - bits, axis=1, dtype=np.uint8) == (part - self.zeros[word] + 1)[:, None]).argmax(1)
-            out[a : a + (1 << 15)] = word * 64 + nth
+            octets = np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8)
+            until = np.cumsum(8 - np.bitwise_count(octets), axis=1, dtype=np.uint8)
+            wanted = (part - self.zeros[word]).astype(np.uint8)
+            octet = (until > wanted[:, None]).argmax(1)
+            line = np.arange(len(part))
+            before = np.where(octet > 0, until[line, octet - 1], 0)
+            out[a : a + (1 << 15)] = word * 64 + octet * 8 + _zero_places[octets[line, octet], wanted - before]
         return out
 
     def _below(self, high: np.ndarray) -> np.ndarray:
@@ -102,18 +109,24 @@ class EliasFano:
         out[some] = self._select_zero(high[some] - 1) + 1 - high[some]
         return out
 
-    def successor(self, wanted: np.ndarray) -> np.ndarray:
-        """Index of the first value that is not smaller (n where there is none)."""
-        high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
-        low = wanted & np.uint64((1 << self.low_bits) - 1)
-        at, end = self._below(high), self._below(high + 1)
+    def _search(self, at: np.ndarray, end: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """First index in at..end whose low part is not smaller: low parts ascend where the high part is the same."""
+        end = end.copy()
         going = np.flatnonzero(at < end)
         while len(going):
-            going = going[self.low_of(at[going]) < low[going]]
-            at[going] += 1
+            middle = (at[going] + end[going]) >> 1
+            less = self.low_of(middle) < low[going]
+            at[going[less]] = middle[less] + 1
+            end[going[~less]] = middle[~less]
             going = going[at[going] < end[going]]
         return at
 
+    def successor(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of the first value that is not smaller (n where there is none)."""
+        high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
+        low = wanted & np.uint64((1 << self.low_bits) - 1)
+        return self._search(self._below(high), self._below(high + 1), low)
+
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where the sequence has none."""
         high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
@@ -130,11 +143,7 @@ class EliasFano:
         if len(full):
             end[full] = self._below(high[full] + 1)
         end = np.minimum(end, self.n)
-        going = np.flatnonzero(at < end)
-        while len(going):
-            going = going[self.low_of(at[going]) < low[going]]
-            at[going] += 1
-            going = going[at[going] < end[going]]
+        at = self._search(at, end, low)
         hit = at < end
         hit[hit] = self.low_of(at[hit]) == low[hit]
         return np.where(hit, at, -1)
@@ -209,7 +218,7 @@ class Trie:
         at, parts = 13 * 8, []
         for k, n in enumerate(sizes):
             kind = np.uint8 if k == 12 else (np.int64, np.uint64, np.uint64, np.uint32)[k % 4]
-            parts.append(np.memmap(path, kind, "r", at, (int(n),)) if n else np.zeros(0, kind))
+            parts.append(np.asarray(np.memmap(path, kind, "r", at, (int(n),))) if n else np.zeros(0, kind))
             at += -(-int(n) * np.dtype(kind).itemsize // 8) * 8
         levels = [EliasFano(int(parts[k][0]), int(parts[k][1]), *parts[k + 1 : k + 4]) for k in (0, 4, 8)]
         return cls(*levels, parts[12])
