@@ -235,26 +235,29 @@ class Tokens:
         inner = np.ones(len(word), bool)
         inner[ends] = False
         word[inner], word[ends] = hashes, _END
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[np.append(0, ends[:-1] + 1)] = _START
         self.held = np.array([k is not None and zlib.crc32(str(k).encode()) % FOLDS == HELD_OUT for k in ids], bool)
         train = np.repeat(~self.held, self.counts)
         self.words, self.word_at = np.unique(word, return_inverse=True)
         self.word_train = np.bincount(self.word_at, train, len(self.words)).astype(np.uint32)
-        self.context_at = np.where(before == _START, np.searchsorted(self.words, _END), np.searchsorted(self.words, before))
-        context = before >> np.uint64(64 - _CONTEXT_BITS)
-        successor = tb.mix(word) >> np.uint64(64 - _SUCCESSOR_BITS)
+        start = np.append(0, ends[:-1] + 1)
+        context_at = np.roll(self.word_at, 1)
+        # As a context, the start of a text counts as often as its end, and is the rank after the last word.
+        self.context_at = context_at.copy()
+        self.context_at[start] = np.searchsorted(self.words, _END)
+        context_at[start] = len(self.words)
+        contexts = np.append(self.words, _START) >> np.uint64(64 - _CONTEXT_BITS)
+        successors = tb.mix(self.words) >> np.uint64(64 - _SUCCESSOR_BITS)
+        width = len(self.words) + 1
+        pairs, self.pair_at = np.unique(context_at * width + self.word_at, return_inverse=True)
+        context, successor = contexts[pairs // width], successors[pairs % width]
         shard = _shard(context ^ (successor % np.uint64(SALTS)) << np.uint64(40), shards)
-        order = np.lexsort([successor, context, shard])
-        context, successor, shard = context[order], successor[order], shard[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (successor[1:] != successor[:-1]) | (context[1:] != context[:-1])
-        self.pair_at = np.empty(len(order), np.int64)
-        self.pair_at[order] = np.cumsum(new) - 1
-        self.context, self.successor = context[new], successor[new]
-        self.pair_train = np.bincount(self.pair_at, train, int(new.sum())).astype(np.uint32)
-        self.pair_cuts = np.searchsorted(shard[new], np.arange(shards + 1))
+        order = np.argsort(shard, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.pair_at = place[self.pair_at]
+        self.context, self.successor = context[order], successor[order]
+        self.pair_train = np.bincount(self.pair_at, train, len(pairs)).astype(np.uint32)
+        self.pair_cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         self.word_cuts = np.searchsorted(_ascending_shard(self.words, shards), np.arange(shards + 1))
 
 
