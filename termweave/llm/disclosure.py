@@ -33,7 +33,8 @@ SUPPORT = 3
 REMOVE, GENERALISE = 0.95, 0.8
 #: Code points on either side of an entity in which terms stand near it.
 NEAR = 80
-#: Bits of the filter that spares counting terms nobody asks about; a full filter costs time, not results.
+#: Bits of the filters that spare counting terms nobody asks about and naming texts without copies; a full filter costs
+#: time, not results.
 FILTER_BITS = 1 << 22
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -163,21 +164,29 @@ def _filter_of(terms: DataFrame) -> np.ndarray:
     return out
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    known = np.unpackbits(wanted.value).astype(bool)
+def _hits(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([known[p] for p in _positions(hashes)]) if len(hashes) else np.zeros(0, bool)
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch], wanted, repeated) -> Iterator[pa.RecordBatch]:
+    """Counts of terms in texts that stand in one row only, and (term, text) for texts that may stand in several."""
+    known, several = (np.unpackbits(b.value).astype(bool) for b in (wanted, repeated))
     for batch in batches:
         data, offsets = tb.columns(batch.column(0))
         for i, j in tb.pieces(offsets, 4 * tb.SLICE):
             part = offsets[i : j + 1] - offsets[i]
             hashes, _, _, counts = tb.word_hashes(data[offsets[i] : offsets[j]], part)
-            hit = np.logical_and.reduce([known[p] for p in _positions(hashes)]) if len(hashes) else np.zeros(0, bool)
+            hit = _hits(hashes, known)
             owner = np.repeat(np.arange(j - i), counts)[hit]
             pairs = np.unique(np.stack([owner.astype(np.int64), hashes[hit].view(np.int64)], 1), axis=0) if hit.any() else np.zeros((0, 2), np.int64)
-            needed = np.unique(pairs[:, 0])
             texts = np.zeros(j - i, np.int64)
-            for k in needed:
+            for k in np.unique(pairs[:, 0]):
                 texts[k] = _text_hash(batch.column(0)[i + int(k)].as_py() or "")
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(texts[pairs[:, 0]])], names=["term", "text_hash"])
+            shared = _hits(texts.view(np.uint64), several)[pairs[:, 0]]
+            terms, n = np.unique(pairs[~shared, 1], return_counts=True)
+            named = pa.concat_arrays([pa.nulls(len(terms), pa.int64()), pa.array(texts[pairs[shared, 0]])])
+            numbers = np.concatenate([n, np.ones(int(shared.sum()), np.int64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([terms, pairs[shared, 1]])), named, pa.array(numbers)], names=["term", "text_hash", "n"])
 
 
 def disclosing(scanned: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
@@ -188,9 +197,14 @@ def disclosing(scanned: DataFrame, texts: DataFrame, text: str = "text") -> Data
     entities = scanned.filter(F.size("entities") > 0).select("text_hash", F.explode("entities").alias("entity")).distinct()
     entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     all_texts = scanned.select("text_hash").distinct().count()
-    wanted = scanned.sparkSession.sparkContext.broadcast(np.packbits(_filter_of(together.select("term").distinct())))
-    seen = map_batches(texts.select(F.col(text).cast("string")), lambda batches: _count_terms(batches, wanted), "term long, text_hash long")
-    terms = seen.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    broadcast = scanned.sparkSession.sparkContext.broadcast
+    wanted = broadcast(np.packbits(_filter_of(together.select("term").distinct())))
+    copied = scanned.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = broadcast(np.packbits(_filter_of(copied.select(F.col("text_hash").alias("term")))))
+    seen = map_batches(texts.select(F.col(text).cast("string")), lambda batches: _count_terms(batches, wanted, repeated), "term long, text_hash long, n long")
+    # The rows without a text add up before the shuffle; a copied text counts once.
+    seen = seen.groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
+    terms = seen.groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
     information = F.log2(F.lit(float(max(all_texts, 1))) / F.col("n_e"))
     mutual = F.log2(F.col("n_te") * F.lit(float(max(all_texts, 1))) / (F.col("n_t") * F.col("n_e")))
     scored = together.join(terms, "term").join(entities, "entity").withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(0.0))
