@@ -44,7 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows, names = blocks.renamed(docs)
     carry = tuple(n for c, n in names.items() if c not in ("text", "n_chars"))
     found = repeats.without_repeats(rows, names["doc_id"], names["text"], carry=carry)
-    found = found.withColumn(names["text"], F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", ""))
+    found = found.withColumn(names["text"], F.col("kept"))
     return blocks.restored(found.withColumn(names["n_chars"], F.length(names["text"]).cast(docs.schema["n_chars"].dataType)), names)
 
 

@@ -407,6 +407,25 @@ def test_pipeline(spark, docs, empty, rows):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_repeated_passages_leave_all_other_characters(spark):
+    """Each remaining text is the input without its repeated bytes; replacement characters of the input stay."""
+    passage = "a passage that stands in two documents, with an é, and is longer than fifty bytes"
+    texts = ["clean \ufffd text \ufffd\ufffd", "one \ufffd " + passage, passage + "\ufffd two", "漢" + passage[:-1] + "\ufffd", None, "", "é" * 40 + "x", "é" * 40 + "y"]
+    table = small_table(spark, [(k, t, "en", "s", len(t or ""), "c", "c", 1) for k, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, table, "").collect()}
+    least = {}
+    for k, t in enumerate(texts):
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            least.setdefault(b[p : p + 50], k)
+    for k, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = {q for p in range(len(b) - 49) if least[b[p : p + 50]] < k for q in range(p, p + 50)}
+        kept = bytes(x for q, x in enumerate(b) if q not in gone).decode(errors="ignore")
+        assert found[k] == (kept, len(kept))
+    assert found[0][0] == texts[0] and found[2][0] == "\ufffd two"
+
+
 def test_registered_query_with_sql(spark):
     folder = "/root/testdata/sf0.001"
     db = oracle.connect(folder)
