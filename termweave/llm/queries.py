@@ -123,12 +123,21 @@ def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(table(spark, sf_dir, "documents"))
 
 
-@query("op7_sampled_pieces")
-def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three distinct sampled segmentations of every conversation turn."""
+def sampled(texts: DataFrame, *keep: str) -> DataFrame:
     import public_tokenizers
 
-    turns = table(spark, sf_dir, "conversations")
-    found = sampled_pieces.encode_sampled(turns, public_tokenizers.path("piece_bpe_32k.model"), keep=("conv_id", "turn"))
+    found = sampled_pieces.encode_sampled(texts, public_tokenizers.path("piece_bpe_32k.model"), keep=keep)
     digest = F.crc32(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"))
-    return found.select("conv_id", "turn", "sample", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), "log_probability", "perturbed", "log_inclusion")
+    return found.select(*keep, "sample", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), "log_probability", "perturbed", "log_inclusion")
+
+
+@query("op7_sampled_pieces")
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every document."""
+    return sampled(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("op7_sampled_turns")
+def op7_sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every conversation turn."""
+    return sampled(table(spark, sf_dir, "conversations"), "conv_id", "turn")

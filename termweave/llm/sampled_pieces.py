@@ -42,6 +42,8 @@ _HIDDEN = "\udfff"
 BEYOND = 45.0
 #: Chunks that a worker remembers; reaching it only empties the memory.
 MEMORY = 200_000
+#: Edges of all remembered chunks, about 150 bytes each.
+MEMORY_EDGES = 1_500_000
 LONGEST_REMEMBERED = 64
 _chunk = re.compile(f"{MARK}+[^{MARK}]*")
 _workers: dict[tuple, Lattices] = {}
@@ -61,15 +63,18 @@ class Lattices:
         self.longest = max(map(len, self.piece))
         self.worst = sharpness * min(model.get_score(i) for i in range(model.vocab_size()))
         self.known: dict[str, list] = {}
+        self.known_edges = 0
 
     def of(self, chunk: str) -> list:
         found = self.known.get(chunk)
         if found is None:
             found = self._build(chunk)
             if len(chunk) <= LONGEST_REMEMBERED:
-                if len(self.known) >= MEMORY:
+                if len(self.known) >= MEMORY or self.known_edges >= MEMORY_EDGES:
                     self.known.clear()
+                    self.known_edges = 0
                 self.known[chunk] = found
+                self.known_edges += sum(map(len, found))
         return found
 
     def _build(self, chunk: str) -> list:

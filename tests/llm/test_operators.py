@@ -387,6 +387,32 @@ def test_sampled_segmentations(docs, empty):
     assert sampled_pieces.encode_sampled(empty, path, keep=("doc_id",)).count() == 0
 
 
+def test_sampled_segmentations_are_of_whole_documents(spark):
+    import public_tokenizers
+
+    folder = "/root/testdata/sf0.001"
+    lattices = sampled_pieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model"))
+    found = {(r["doc_id"], r["sample"]): (r["n_pieces"], r["ids_crc32"]) for r in queries.QUERIES["op7_sampled_pieces"](spark, folder).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {k for k, _ in found} == set(texts)
+    longest = max(texts, key=lambda k: len(texts[k]))
+    for s, (ids, *_) in enumerate(sampled_pieces.samples(texts[longest], lattices, 3, sampled_pieces.row_random((longest,), texts[longest]))):
+        assert found[longest, s] == (len(ids), zlib.crc32(" ".join(map(str, ids)).encode()))
+        assert sampled_pieces.decode(ids, lattices) == texts[longest]
+
+
+def test_remembered_chunks_are_bounded_and_change_nothing(monkeypatch):
+    import public_tokenizers
+
+    texts = [f"some words {k} and others-{k * k}" for k in range(60)]
+    run = lambda lattices: [sampled_pieces.samples(t, lattices, 3, random.Random(1)) for t in texts]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    want = run(sampled_pieces.Lattices(path, sampled_pieces.SHARPNESS))
+    monkeypatch.setattr(sampled_pieces, "MEMORY_EDGES", 100)
+    small = sampled_pieces.Lattices(path, sampled_pieces.SHARPNESS)
+    assert run(small) == want and sum(sum(map(len, v)) for v in small.known.values()) == small.known_edges < 300
+
+
 def test_pipeline(spark, docs, empty, rows):
     table = docs
     for name, stage in corpus_pipeline.STAGES:
