@@ -2,13 +2,14 @@
 
 The corpus is counted in shards. A shard holds the bigrams of some contexts as a trie: contexts ascending,
 monotone pointers to their successors, and the successors relative to their context (context number, then successor), which
-makes them one ascending sequence; all three are Elias-Fano coded, with one byte for each count (exact to 128, then in
-steps of 12 %). A shard is written to a file and memory-mapped; a bigram is found by a successor search
-within its context. Frequent contexts are salted by the successor, so no shard holds a whole hot context.
+makes them one ascending sequence; all three are Elias-Fano coded, with two bytes for each smoothed log probability (in
+steps of 1/4096 of log10, rounded down: no probability is above 1, nor is the sum of a context's successors). A shard is written to a file
+and memory-mapped; a bigram is found by a successor search within its context. Contexts are salted by the successor, with one salt
+for each ``SALT_COUNT`` sightings, so no shard holds a whole hot context.
 
-Blocks of documents ask the shards for their distinct words and bigrams (sending their own training counts along)
-and get the corpus counts back, so that a document's score needs no table of the whole vocabulary. A word's
-probability is (c + 1) / (N + V + 1); after a context seen n times it is (c2 + weight * that) / (n + weight).
+Blocks of documents first ask for the corpus counts of their distinct words. Then they send their distinct bigrams with their own training
+counts and the corpus counts of both words, and get the probabilities back, so that a document's score needs no table of the whole
+vocabulary. A word's probability is (c + 1) / (N + V + 1); after a context seen n times it is (c2 + weight * that) / (n + weight).
 
 Words and contexts stand as 64- and 48-bit hashes, successors as 40 bits within a context.
 
@@ -34,22 +35,28 @@ from termweave.llm import textbytes as tb
 
 #: How many sightings of a context the word's own probability weighs.
 WEIGHT = 200.0
-SALTS = 16
+#: Sightings of a context for each of its salts; a context has no more distinct successors than sightings.
+SALT_COUNT = 1 << 16
 SHARD_BYTES = 6 << 20
 FOLDS, HELD_OUT = 7, 2
 _CONTEXT_BITS, _SUCCESSOR_BITS = 48, 40
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _START = np.uint64(0x57A2757A2757A271)
 
-_decoded = np.concatenate([np.arange(129), np.round(128 * 1.12 ** np.arange(1, 128))])
+#: Codes for each unit of log10; code 0 stands for a bigram that was not seen.
+_CODES = 4096
 
 #: Place of the k-th zero bit of each byte.
 _zero_places = np.argsort(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1, kind="stable")
 
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    """One byte for each count."""
-    return np.where(counts <= 128, counts, np.minimum(128 + np.round(np.log(np.maximum(counts, 1) / 128) / np.log(1.12)), 255)).astype(np.uint8)
+def quantised(probabilities: np.ndarray) -> np.ndarray:
+    """Two bytes for each log probability, rounded down."""
+    return np.clip(np.ceil(-_CODES * np.log10(probabilities)) + 1, 1, 65535).astype(np.uint16)
+
+
+def probabilities(codes: np.ndarray) -> np.ndarray:
+    return 10 ** ((1.0 - codes) / _CODES)
 
 
 class EliasFano:
@@ -162,13 +169,13 @@ class EliasFano:
 
 
 class Trie:
-    """Levels of contexts, pointers and context-relative successors with their quantised counts."""
+    """Levels of contexts, pointers and context-relative successors with their quantised log probabilities."""
 
     def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
         self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
 
     @classmethod
-    def of(cls, context: np.ndarray, successor: np.ndarray, counts: np.ndarray) -> Trie:
+    def of(cls, context: np.ndarray, successor: np.ndarray, codes: np.ndarray) -> Trie:
         """From distinct bigrams in ascending order."""
         new = np.ones(len(context), bool)
         new[1:] = context[1:] != context[:-1]
@@ -179,12 +186,12 @@ class Trie:
             EliasFano.of(context[new], 1 << _CONTEXT_BITS),
             EliasFano.of(first, len(context) + 1),
             EliasFano.of(relative, max(int(new.sum()), 1) << _SUCCESSOR_BITS),
-            quantised(counts),
+            codes,
         )
 
     def find(self, contexts: np.ndarray, sizes: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Codes of bigrams, 0 where the trie has none: distinct contexts with the number of successors that follow each."""
-        out = np.zeros(len(successor), np.uint8)
+        out = np.zeros(len(successor), np.uint16)
         if not len(self.codes) or not len(successor):
             return out
         number = np.repeat(self.contexts.find(contexts), sizes)
@@ -198,7 +205,7 @@ class Trie:
         """All successors of one context and their codes, between its two pointers."""
         number = int(self.contexts.find(np.array([context], np.uint64))[0]) if len(self.codes) else -1
         if number < 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
         first, last = self.pointers.get(np.array([number, number + 1])).astype(np.int64)
         index = np.arange(first, last)
         return self.successors.get(index) & np.uint64((1 << _SUCCESSOR_BITS) - 1), self.codes[index]
@@ -217,7 +224,7 @@ class Trie:
         sizes = np.fromfile(path, np.int64, 13)
         at, parts = 13 * 8, []
         for k, n in enumerate(sizes):
-            kind = np.uint8 if k == 12 else (np.int64, np.uint64, np.uint64, np.uint32)[k % 4]
+            kind = np.uint16 if k == 12 else (np.int64, np.uint64, np.uint64, np.uint32)[k % 4]
             parts.append(np.asarray(np.memmap(path, kind, "r", at, (int(n),))) if n else np.zeros(0, kind))
             at += -(-int(n) * np.dtype(kind).itemsize // 8) * 8
         levels = [EliasFano(int(parts[k][0]), int(parts[k][1]), *parts[k + 1 : k + 4]) for k in (0, 4, 8)]
@@ -225,21 +232,25 @@ class Trie:
 
 
 class Tokens:
-    """Words and ends of a block in order, and its distinct words and bigrams with their training counts."""
+    """Words and ends of a block in order, and its distinct words with their training counts."""
 
     def __init__(self, ids: list, data: np.ndarray, offsets: np.ndarray, shards: int):
         hashes, _, _, counts = tb.word_hashes(data, offsets)
-        self.counts = counts + 1
+        self.counts, self.shards = counts + 1, shards
         ends = np.cumsum(self.counts) - 1
         word = np.empty(len(hashes) + len(counts), np.uint64)
         inner = np.ones(len(word), bool)
         inner[ends] = False
         word[inner], word[ends] = hashes, _END
         self.held = np.array([k is not None and zlib.crc32(str(k).encode()) % FOLDS == HELD_OUT for k in ids], bool)
-        train = np.repeat(~self.held, self.counts)
+        self.train = np.repeat(~self.held, self.counts)
         self.words, self.word_at = np.unique(word, return_inverse=True)
-        self.word_train = np.bincount(self.word_at, train, len(self.words)).astype(np.uint32)
-        start = np.append(0, ends[:-1] + 1)
+        self.word_train = np.bincount(self.word_at, self.train, len(self.words)).astype(np.uint32)
+        self.word_cuts = np.searchsorted(_ascending_shard(self.words, shards), np.arange(shards + 1))
+
+    def pairs(self, counts: np.ndarray) -> None:
+        """Adds the distinct bigrams by shard; ``counts`` are the corpus counts of the words, from which the salts follow."""
+        start = np.cumsum(self.counts) - self.counts
         context_at = np.roll(self.word_at, 1)
         # As a context, the start of a text counts as often as its end, and is the rank after the last word.
         self.context_at = context_at.copy()
@@ -247,18 +258,20 @@ class Tokens:
         context_at[start] = len(self.words)
         contexts = np.append(self.words, _START) >> np.uint64(64 - _CONTEXT_BITS)
         successors = tb.mix(self.words) >> np.uint64(64 - _SUCCESSOR_BITS)
+        totals = np.append(counts, counts[np.searchsorted(self.words, _END)] if len(counts) else 0)
         width = len(self.words) + 1
         pairs, self.pair_at = np.unique(context_at * width + self.word_at, return_inverse=True)
-        context, successor = contexts[pairs // width], successors[pairs % width]
-        shard = _shard(context ^ (successor % np.uint64(SALTS)) << np.uint64(40), shards)
+        context, successor, total = contexts[pairs // width], successors[pairs % width], totals[pairs // width]
+        salts = np.clip(-(-total // SALT_COUNT), 1, 65535).astype(np.uint64)
+        shard = _shard(context | (successor % salts) << np.uint64(_CONTEXT_BITS), self.shards)
         order = np.argsort(shard, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.pair_at = place[self.pair_at]
-        self.context, self.successor = context[order], successor[order]
-        self.pair_train = np.bincount(self.pair_at, train, len(pairs)).astype(np.uint32)
-        self.pair_cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        self.word_cuts = np.searchsorted(_ascending_shard(self.words, shards), np.arange(shards + 1))
+        self.context, self.successor, self.context_count = context[order], successor[order], total[order]
+        self.successor_count = counts[pairs % width][order]
+        self.pair_train = np.bincount(self.pair_at, self.train, len(pairs)).astype(np.uint32)
+        self.pair_cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
 
 
 def _ascending_shard(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -279,8 +292,19 @@ def _values_of(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_ASK = "shard long, block long, words binary, word_train binary, contexts binary, sizes binary, successors binary, pair_train binary"
-_ANSWER = "block long, shard long, word_counts binary, codes binary, train_tokens long, train_words long"
+def _planes(values: np.ndarray) -> bytes:
+    """Four bytes for each number, first bytes first, which compresses better."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+_ASK = "shard long, block long, words binary, word_train binary"
+_COUNTS = "block long, shard long, word_counts binary, train_tokens long, train_words long"
+_SEND = "shard long, block long, contexts binary, sizes binary, context_counts binary, successors binary, successor_counts binary, pair_train binary"
+_ANSWER = "block long, shard long, codes binary"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _ARROW = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
@@ -294,67 +318,96 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for row in bl.each(batches):
         t = Tokens(*bl.opened(row), shards)
-        rows = []
+        cuts = zip(t.word_cuts, t.word_cuts[1:])
+        yield _table([(k, row["block"], _bytes_of(t.words[a:b], 8), _planes(t.word_train[a:b])) for k, (a, b) in enumerate(cuts) if b > a], _ASK)
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """For each block: the corpus counts of its words."""
+    rows = table.to_pylist()
+    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    distinct, at = np.unique(np.concatenate(words), return_inverse=True)
+    totals = np.bincount(at, np.concatenate([_of_planes(r["word_train"]) for r in rows]), len(distinct)).astype(np.int64)
+    out, done = [], 0
+    for k, (r, w) in enumerate(zip(rows, words)):
+        sums = (int(totals.sum()), int((totals > 0).sum())) if k == 0 else (0, 0)
+        out.append((r["block"], r["shard"], _planes(totals[at[done : done + len(w)]]), *sums))
+        done += len(w)
+    return pa.Table.from_batches([_table(out, _COUNTS)])
+
+
+def _counted(row: dict, answers: list[dict], shards: int) -> tuple[Tokens, np.ndarray]:
+    """The tokens of a block with their bigrams, and the corpus counts of its words."""
+    t = Tokens(*bl.opened(row), shards)
+    counts = np.zeros(len(t.words), np.int64)
+    for r in answers:
+        if r["word_counts"] is not None:
+            counts[slice(*t.word_cuts[r["shard"] : r["shard"] + 2])] = _of_planes(r["word_counts"])
+    t.pairs(counts)
+    return t, counts
+
+
+def _send(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
+    rows = []
+    for row in left.to_pylist():
+        t, _ = _counted(row, right.select(["shard", "word_counts"]).to_pylist(), shards)
         for k in range(shards):
-            w, p = slice(*t.word_cuts[k : k + 2]), slice(*t.pair_cuts[k : k + 2])
-            if w.stop == w.start and p.stop == p.start:
+            p = slice(*t.pair_cuts[k : k + 2])
+            if p.stop == p.start:
                 continue
             context = t.context[p]
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
-            sizes = np.diff(np.append(first, len(context))).astype(np.uint32)
-            packed = [_bytes_of(t.words[w], 8), t.word_train[w].tobytes(), _bytes_of(context[first], 6), sizes.tobytes(), _bytes_of(t.successor[p], 5), t.pair_train[p].tobytes()]
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            sizes = np.diff(np.append(first, len(context)))
+            packed = [_bytes_of(context[first], 6), _planes(sizes), _planes(t.context_count[p][first]), _bytes_of(t.successor[p], 5), _planes(t.successor_count[p]), _planes(t.pair_train[p])]
             rows.append((k, row["block"], *packed))
-        yield _table(rows, _ASK)
+    return pa.Table.from_batches([_table(rows, _SEND)])
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table, n: int, v: int, weight: float) -> pa.Table:
     rows = table.to_pylist()
-    read = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-    words, trained = read("words", np.uint64), np.concatenate(read("word_train", np.uint32))
-    distinct, at = np.unique(np.concatenate(words), return_inverse=True)
-    totals = np.bincount(at, trained, len(distinct)).astype(np.int64)
-    asked, sizes = [_values_of(r["contexts"], 6) for r in rows], read("sizes", np.uint32)
-    contexts = [np.repeat(c, s) for c, s in zip(asked, sizes)]
+    read = lambda name: [_of_planes(r[name]) for r in rows]
+    asked, sizes, totals = [_values_of(r["contexts"], 6) for r in rows], read("sizes"), read("context_counts")
     successors = [_values_of(r["successors"], 5) for r in rows]
-    counts = np.concatenate(read("pair_train", np.uint32)).astype(np.int64)
+    counts = np.concatenate(read("pair_train"))
     seen = np.flatnonzero(counts)
-    context, successor, counts = np.concatenate(contexts)[seen], np.concatenate(successors)[seen], counts[seen]
+    spread = lambda values: np.concatenate([np.repeat(x, m) for x, m in zip(values, sizes)])[seen]
+    context, total, successor = spread(asked), spread(totals), np.concatenate(successors)[seen]
+    counts, alone = counts[seen].astype(np.int64), np.concatenate(read("successor_counts"))[seen]
     order = np.lexsort([successor, context])
-    context, successor, counts = context[order], successor[order], counts[order]
+    context, successor = context[order], successor[order]
     new = np.ones(len(order), bool)
     new[1:] = (successor[1:] != successor[:-1]) | (context[1:] != context[:-1])
     first = np.flatnonzero(new)
-    trie = Trie.of(context[first], successor[first], np.add.reduceat(counts, first) if len(first) else counts)
-    out, done = [], 0
+    counts = np.add.reduceat(counts[order], first) if len(first) else counts
+    base = (alone[order[first]] + 1.0) / (n + v + 1)
+    trie = Trie.of(context[first], successor[first], quantised((counts + weight * base) / (total[order[first]] + weight)))
+    out = []
     with tempfile.TemporaryDirectory(prefix="trie-") as folder:
         path = os.path.join(folder, "levels")
         trie.write(path)
         trie = Trie.mapped(path)
-        for k, (r, w, c, s) in enumerate(zip(rows, words, asked, successors)):
-            mine = totals[at[done : done + len(w)]].astype(np.uint32)
-            done += len(w)
-            sums = (int(totals.sum()), int((totals > 0).sum())) if k == 0 else (0, 0)
-            out.append((r["block"], r["shard"], mine.tobytes(), trie.find(c, sizes[k], s).tobytes(), *sums))
+        for r, c, m, s in zip(rows, asked, sizes, successors):
+            out.append((r["block"], r["shard"], trie.find(c, m, s).tobytes()))
     return pa.Table.from_batches([_table(out, _ANSWER)])
 
 
 def _score(left: pa.Table, right: pa.Table, shards: int, n: int, v: int, weight: float) -> pa.Table:
     out = []
     for row in left.to_pylist():
-        ids, data, offsets = bl.opened(row)
-        t = Tokens(ids, data, offsets, shards)
-        counts, codes = np.zeros(len(t.words), np.int64), np.zeros(len(t.context), np.uint8)
-        for r in right.select(["shard", "word_counts", "codes"]).to_pylist():
-            counts[slice(*t.word_cuts[r["shard"] : r["shard"] + 2])] = np.frombuffer(r["word_counts"], np.uint32)
-            codes[slice(*t.pair_cuts[r["shard"] : r["shard"] + 2])] = np.frombuffer(r["codes"], np.uint8)
+        answers = right.select(["shard", "word_counts", "codes"]).to_pylist()
+        t, counts = _counted(row, answers, shards)
+        codes = np.zeros(len(t.context), np.uint16)
+        for r in answers:
+            if r["codes"] is not None:
+                codes[slice(*t.pair_cuts[r["shard"] : r["shard"] + 2])] = np.frombuffer(r["codes"], np.uint16)
         c = counts[t.word_at]
         base = (c + 1) / (n + v + 1)
-        after = counts[t.context_at]
-        p = (_decoded[codes[t.pair_at]] + weight * base) / (after + weight)
+        code = codes[t.pair_at]
+        p = np.where(code > 0, probabilities(code), weight * base / (counts[t.context_at] + weight))
         first = np.cumsum(t.counts) - t.counts
         sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10(base), np.log10(p))]
         known, base_score, score = (x.tolist() for x in sums)
-        out += [(k, bool(h), int(m), a, n, b, s) for k, h, m, a, b, s in zip(ids, t.held, t.counts, known, base_score, score)]
+        out += [(k, bool(h), int(m), a, n, b, s) for k, h, m, a, b, s in zip(row["ids"], t.held, t.counts, known, base_score, score)]
     return pa.Table.from_batches([_table(out, _SCORE)])
 
 
@@ -364,6 +417,10 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", weight:
     stored = bl.blocks(documents, key, text)
     shards = bl.bucket_count(spark, stored, "n_bytes", SHARD_BYTES)
     asked = bl.map_batches(stored, lambda batches: _ask(batches, shards), _ASK)
-    answers = bl.stored(asked.groupBy("shard").applyInArrow(_answer, _ANSWER), "answers")
-    n, v = answers.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_words"), F.lit(0))).first()
+    words = bl.stored(asked.groupBy("shard").applyInArrow(_count, _COUNTS), "words")
+    n, v = words.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_words"), F.lit(0))).first()
+    counts = words.select("block", "shard", "word_counts")
+    sent = stored.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, shards), _SEND)
+    codes = sent.groupBy("shard").applyInArrow(lambda table: _answer(table, n, v, weight), _ANSWER)
+    answers = counts.unionByName(codes, allowMissingColumns=True)
     return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, shards, n, v, weight), _SCORE)

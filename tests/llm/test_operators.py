@@ -355,6 +355,34 @@ def test_language_model(docs, empty, rows):
     assert ngram_trie.score(empty).count() == 0
 
 
+def test_language_model_of_frequent_bigrams(spark, monkeypatch):
+    """Contexts seen 5000 times and more: no probability above 1, and scores as exact as the codes."""
+    monkeypatch.setattr(ngram_trie, "SALT_COUNT", 1000)
+    texts = ["alpha beta gamma delta"] * 5300 + ["alpha beta " * 4600, "alpha one", "beta two three", "unseen gamma words"]
+    table = small_table(spark, [(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    c, c2 = collections.Counter(), collections.Counter()
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            t = [*t.split(), None]
+            c.update(t)
+            c2.update(zip([None, *t], t))
+    n, v, weight = c.total(), len(c), ngram_trie.WEIGHT
+    assert min(x for _, x in c2.most_common(5)) >= 4500
+    found = {r["doc_id"]: r for r in ngram_trie.score(table).collect()}
+    for k in (0, *range(5299, len(texts))):
+        t = [*texts[k].split(), None]
+        exact = sum(math.log10((c2[a, w] + weight * (c[w] + 1) / (n + v + 1)) / (c[a] + weight)) for a, w in zip([None, *t], t))
+        assert exact - len(t) / 4096 - 1e-6 <= found[k]["score"] <= exact + 1e-6 <= 0
+
+
+def test_codes_round_down():
+    counts = np.array([1_000_003, 5000, 4999, 4600, 129, 7, 1])
+    exact = counts / counts.sum()
+    p = ngram_trie.probabilities(ngram_trie.quantised(exact))
+    assert (p <= exact * (1 + 1e-9)).all() and (p > exact * 0.999).all() and p.sum() <= 1
+    assert ngram_trie.probabilities(ngram_trie.quantised(np.array([1.0])))[0] == 1
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, universe in ((0, 10), (1, 10), (50, 60), (1000, 1 << 48), (5000, 5001), (300, 1 << 20)):
