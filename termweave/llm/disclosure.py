@@ -1,12 +1,14 @@
 """Personal data, and the terms that give it away.
 
-Patterns find emails, ip addresses, card and phone numbers. Each found value is a protected entity. From the
-corpus it is counted, over distinct texts, how often a term stands near an entity (n_te), and how often each occurs
-at all (n_t, n_e; N texts). A term discloses an entity by their pointwise mutual information
-log2(n_te N / (n_t n_e)), as a share of the entity's own information log2(N / n_e): 1 means the term occurs only with it.
-Near that entity, terms are removed (kind ``term``) from ``REMOVE`` upwards, generalised to their class (kind
-``general``) from ``GENERALISE`` upwards. Terms seen with an entity in fewer than ``SUPPORT`` texts are left alone, since
-a single meeting proves nothing.
+Patterns find emails, ip addresses, card and phone numbers. Each found value is a protected entity; it belongs to a class (a
+domain, a subnet of 256, a number range) and a kind. From the corpus it is counted, over distinct whole texts, how often a term stands in
+a text with an entity, its class and its kind (n_te), and how often each occurs at all (n_t, n_e; N texts). At each level
+the pointwise mutual information log2(n_te N / (n_t n_e)) is taken as a share of the level's own information log2(N / n_e): 1 means
+the term occurs only there. Most values stand in one text, which proves nothing, so a share is shrunk towards that of
+the next wider level: n texts of evidence leave ``DOUBT`` ** n of its weight to the wider level, which counts only what it has seen
+beyond the narrower one, and beyond the kind there is 0. A term discloses an entity by that shrunken share. In all texts with that
+entity, terms are removed (kind ``term``) from ``REMOVE`` upwards, generalised to their class (kind ``general``)
+from ``GENERALISE`` upwards.
 
 Defined results: a null text is empty and has no spans; repeated rows count as one text and are all treated;
 several marks on one word leave the stronger one; an empty table gives no rows; columns not named in ``keep``
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,8 @@ from termweave.llm import textbytes as tb
 from termweave.llm.blocks import map_batches, renamed, restored, stored
 
 KINDS = ("email", "ip", "card", "phone", "term", "general")
-SUPPORT = 3
+DOUBT = 1 / 3
 REMOVE, GENERALISE = 0.95, 0.8
-#: Code points on either side of an entity in which terms stand near it.
-NEAR = 80
 #: Bits of the filters that spare counting terms nobody asks about and naming texts without copies; a full filter costs
 #: time, not results.
 FILTER_BITS = 1 << 22
@@ -87,18 +86,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _near_words(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Whole words within NEAR code points of a span."""
-    low, high = max(start - NEAR, 0), min(end + NEAR, len(text))
-    for m in _word.finditer(text, low, high):
-        cut = (m.start() == low and low and not text[low - 1].isspace()) or (m.end() == high and high < len(text) and not text[high].isspace())
-        if not cut and any(map(str.isalpha, m[0])):
-            yield m.span()
+def class_of(kind: int, value: str) -> str:
+    """Domain of an email, subnet of an ip address, issuer of a card, number range of a phone."""
+    if kind < 2:
+        return value.partition("@")[2] if kind == 0 else value.rpartition(".")[0]
+    digits = _not_digit.sub("", value)
+    return digits[:6] if kind == 2 else digits[:-4]
 
 
-_SCAN = "uid long, text_hash long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<string>, near array<struct<entity:string,term:long,start:int,end:int>>"
+_SCAN = "text_hash long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<struct<value:long,class:long,kind:int>>, words array<struct<term:long,start:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_ENTITY = pa.list_(pa.struct([("value", pa.int64()), ("class", pa.int64()), ("kind", pa.int32())]))
+_WORDS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -110,30 +109,29 @@ def _text_hash(text: str) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """``width`` carried columns, then the text; adds what the patterns and their surroundings hold."""
-    uid = TaskContext.get().partitionId() << 40
+    """``width`` carried columns, then the text; adds what the patterns hold, and the other words of texts with an entity."""
     for batch in batches:
         rows, words = [], []
         for text in batch.column(width).to_pylist():
             text = text or ""
             spans = base_spans(text)
-            entities, near = [], []
-            for a, k, b in spans:
-                entity = f"{KINDS[k]}:{text[a:b].lower()}"
-                entities.append(entity)
-                for x, y in _near_words(text, a, b):
-                    if not any(p < y and x < q for p, _, q in _around(spans, x, y)):
-                        near.append((entity, len(words), x, y))
-                        words.append(text[x:y])
-            rows.append((uid, _text_hash(text), hashlib.sha256(written(spans).encode()).hexdigest(), spans, sorted(set(entities)), near))
-            uid += 1
+            found = {(k, text[a:b].lower()) for a, k, b in spans}
+            entities = sorted((_text_hash(f"{KINDS[k]}:{v}"), _text_hash(f"{KINDS[k]}/{class_of(k, v)}"), k) for k, v in found)
+            others = []
+            for m in _word.finditer(text) if spans else ():
+                x, y = m.span()
+                if any(map(str.isalpha, m[0])) and not any(p < y and x < q for p, _, q in _around(spans, x, y)):
+                    others.append((len(words), x, y))
+                    words.append(m[0])
+            rows.append((_text_hash(text), hashlib.sha256(written(spans).encode()).hexdigest(), spans, entities, others))
         raw = " ".join(words).encode()
         hashes = tb.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].view(np.int64)
-        columns = list(zip(*rows)) if rows else [()] * 6
-        spans = [[{"start": a, "kind": k, "end": b} for a, k, b in r] for r in columns[3]]
-        near = [[{"entity": e, "term": int(hashes[i]), "start": a, "end": b} for e, i, a, b in r] for r in columns[5]]
-        arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(spans, _SPAN), pa.array(columns[4], pa.list_(pa.string())), pa.array(near, _NEAR)]
-        names = ["uid", "text_hash", "base_sha256", "base", "entities", "near"]
+        columns = list(zip(*rows)) if rows else [()] * 5
+        spans = [[{"start": a, "kind": k, "end": b} for a, k, b in r] for r in columns[2]]
+        entities = [[{"value": v, "class": c, "kind": k} for v, c, k in r] for r in columns[3]]
+        others = [[{"term": int(hashes[i]), "start": a, "end": b} for i, a, b in r] for r in columns[4]]
+        arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(spans, _SPAN), pa.array(entities, _ENTITY), pa.array(others, _WORDS)]
+        names = ["text_hash", "base_sha256", "base", "entities", "words"]
         yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=[*batch.schema.names[:width], *names])
 
 
@@ -189,46 +187,81 @@ def _count_terms(batches: Iterator[pa.RecordBatch], wanted, repeated) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([terms, pairs[shared, 1]])), named, pa.array(numbers)], names=["term", "text_hash", "n"])
 
 
+def _only(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """Leaves the terms in the last column that the filter may hold."""
+    known = np.unpackbits(wanted.value).astype(bool)
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        terms = np.asarray(lists.flatten()).astype(np.int64)
+        hit = _hits(terms.view(np.uint64), known)
+        until = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)]
+        left = pa.ListArray.from_arrays(pa.array(until.astype(np.int32)), pa.array(terms[hit]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], left], names=batch.schema.names)
+
+
+def _share(n_te: str, n_e: str, n: float):
+    """Mutual information of a term and a level as a share of the level's information."""
+    information = F.log2(F.lit(n) / F.col(n_e))
+    return F.when(information > 0, F.log2(F.col(n_te) * F.lit(n) / (F.col("n_t") * F.col(n_e))) / information).otherwise(0.0)
+
+
+def _trust(evidence):
+    return 1 - F.pow(F.lit(DOUBT), evidence)
+
+
 def disclosing(scanned: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs (entity, term) with the term's ``disclosure`` of the entity, from ``GENERALISE`` upwards."""
-    near = scanned.filter(F.size("near") > 0).select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.term")
-    together = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    together = stored(together, "together")
-    entities = scanned.filter(F.size("entities") > 0).select("text_hash", F.explode("entities").alias("entity")).distinct()
-    entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    all_texts = scanned.select("text_hash").distinct().count()
+    """(text_hash, term) with the largest ``disclosure`` of the term about an entity of the text, from ``GENERALISE`` upwards."""
+    n = float(max(scanned.select("text_hash").distinct().count(), 1))
+    one = scanned.filter(F.size("entities") > 0).select("text_hash", "entities", F.expr("array_distinct(words.term)").alias("terms"))
+    one = stored(one.dropDuplicates(["text_hash"]), "once")
+    level = lambda name: one.select(F.explode(F.array_distinct(F.col(f"entities.{name}"))).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    # One text of a kind alone reaches 1 - DOUBT at most, which marks nothing.
+    kinds = one.select(F.explode(F.array_distinct("entities.kind")).alias("kind"), "terms").select("kind", F.explode("terms").alias("term"))
+    kinds = stored(kinds.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("t_kind")).filter("t_kind > 1"), "kinds")
     broadcast = scanned.sparkSession.sparkContext.broadcast
-    wanted = broadcast(np.packbits(_filter_of(together.select("term").distinct())))
+    wanted = broadcast(np.packbits(_filter_of(kinds.select("term").distinct())))
     copied = scanned.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = broadcast(np.packbits(_filter_of(copied.select(F.col("text_hash").alias("term")))))
     seen = map_batches(texts.select(F.col(text).cast("string")), lambda batches: _count_terms(batches, wanted, repeated), "term long, text_hash long, n long")
     # The rows without a text add up before the shuffle; a copied text counts once.
     seen = seen.groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
     terms = seen.groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
-    information = F.log2(F.lit(float(max(all_texts, 1))) / F.col("n_e"))
-    mutual = F.log2(F.col("n_te") * F.lit(float(max(all_texts, 1))) / (F.col("n_t") * F.col("n_e")))
-    scored = together.join(terms, "term").join(entities, "entity").withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(0.0))
-    return scored.filter(F.col("disclosure") >= GENERALISE)
+    # No level's share is above log2(N / n_t) / log2(N / n_e), which is largest for the kind; the shrunken share lies between them and 0.
+    able = F.log2(F.lit(n) / F.col("n_t")) >= (GENERALISE - 1e-9) * F.log2(F.lit(n) / F.col("n_kind"))
+    able = stored(kinds.join(terms, "term").join(F.broadcast(level("kind")), "kind").filter(able), "able")
+    left = broadcast(np.packbits(_filter_of(able.select("term").distinct())))
+    few = map_batches(one, lambda batches: _only(batches, left), "text_hash long, entities array<struct<value:long,class:long,kind:int>>, terms array<long>")
+    few = stored(few.filter(F.size("terms") > 0), "few")
+    classes = few.select(F.explode(F.expr("array_distinct(transform(entities, e -> e.class))")).alias("class"), "terms").select("class", F.explode("terms").alias("term"))
+    classes = classes.groupBy("class", "term").agg(F.count(F.lit(1)).alias("t_class"))
+    pairs = few.select("text_hash", F.explode("entities").alias("e"), "terms").select("text_hash", "e.*", F.explode("terms").alias("term"))
+    values = pairs.groupBy("value", "class", "kind", "term").agg(F.count(F.lit(1)).alias("t_value"))
+    scored = values.join(able, ["kind", "term"]).join(classes, ["class", "term"]).join(level("value"), "value").join(level("class"), "class")
+    kind = _trust(F.col("t_kind") - F.col("t_class")) * _share("t_kind", "n_kind", n)
+    trust = _trust(F.col("t_class") - F.col("t_value"))
+    wider = trust * _share("t_class", "n_class", n) + (1 - trust) * kind
+    trust = _trust(F.col("t_value"))
+    scored = scored.withColumn("disclosure", trust * _share("t_value", "n_value", n) + (1 - trust) * wider)
+    scored = scored.filter(F.col("disclosure") >= GENERALISE).select("value", "term", "disclosure")
+    return pairs.join(scored, ["value", "term"]).groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns with ``base_sha256`` and ``found``, the spans (start, kind, end, mark) of each row in order.
 
-    ``kind`` is a place in ``KINDS``. Only rows in which an entity has words near it are joined with the marks.
+    ``kind`` is a place in ``KINDS``. Only rows with an entity are joined with the marks.
     """
     rows = documents.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     width = len(keep)
     scanned = stored(map_batches(rows, lambda batches: _scan(batches, width), f"{kept}, {_SCAN}"), "scanned")
-    marked = disclosing(scanned, documents, text)
-    near = scanned.filter(F.size("near") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.*")
     kind = F.when(F.col("disclosure") >= REMOVE, KINDS.index("term")).otherwise(KINDS.index("general"))
-    marks = near.join(marked, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.min(kind).alias("kind"))
-    marks = marks.groupBy("uid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("marks"))
+    marks = disclosing(scanned.select("text_hash", "entities", "words"), documents, text).groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", kind))).alias("marks"))
     names = [*keep, "base_sha256", "found"]
-    plain = scanned.filter(F.size("near") == 0).withColumn("found", F.col("base"))
-    joined = scanned.filter(F.size("near") > 0).join(marks, "uid", "left")
-    joined = joined.withColumn("found", F.sort_array(F.concat("base", F.coalesce("marks", F.array().cast("array<struct<start:int,kind:int,end:int>>")))))
+    plain = scanned.filter(F.size("entities") == 0).withColumn("found", F.col("base"))
+    joined = scanned.filter(F.size("entities") > 0).join(marks, "text_hash", "left")
+    marked = F.expr("transform(filter(words, w -> marks[w.term] is not null), w -> struct(w.start AS start, marks[w.term] AS kind, w.end AS end))")
+    joined = joined.withColumn("found", F.sort_array(F.when(F.col("marks").isNull(), F.col("base")).otherwise(F.concat("base", marked))))
     return plain.select(*names).unionByName(joined.select(*names))
 
 

@@ -154,6 +154,29 @@ def test_disclosure(docs, empty, rows):
     assert disclosure.find(empty).count() == 0
 
 
+def test_terms_of_rare_entities_are_found_in_the_whole_text(spark):
+    """Addresses that stand in one text each: what discloses them is told from their domain, anywhere in the text."""
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(n))
+    texts = [f"projectname {filler(60)} signed user{k}@acme.example" for k in range(5)] + [f"hapax{k} {filler(60)} user{k}@other{k}.example" for k in range(5)]
+    texts += [filler(40) + f" {k}" for k in range(300)]
+    texts += [texts[0]] * 3
+    table = small_table(spark, list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["found"] for r in disclosure.find(table).collect()}
+
+    def share(n_te, n_t, n_e, n=310):
+        return math.log2(n_te * n / (n_t * n_e)) / math.log2(n / n_e)
+
+    # The class has five texts, four of them beyond the value; the kind has none beyond the class.
+    d = disclosure.DOUBT
+    want = (1 - d) * share(1, 5, 1) + d * (1 - d**4) * share(5, 5, 5)
+    kind = disclosure.KINDS.index("term" if want >= disclosure.REMOVE else "general")
+    assert want >= disclosure.GENERALISE
+    for k in (0, 1, 2, 3, 4, 310, 312):
+        assert (0, kind, len("projectname")) in [tuple(x) for x in found[k]]
+    assert all(x["kind"] < 4 for k in range(5, 310) for x in found[k])
+
+
 def test_fingerprints(docs, empty, rows):
     found = rare_features.compare_with_next(docs).collect()
     line = sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
