@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bin_slack, disclosure, language_ppm, ngram_trie, odd_sketches, rare_features, repeats, sampled_pieces, url_rules, weak_rules
+from termweave.llm import (
+    bin_slack,
+    decontamination,
+    disclosure,
+    language_ppm,
+    ngram_trie,
+    odd_sketches,
+    rare_features,
+    repeats,
+    sampled_pieces,
+    spelling,
+    url_rules,
+    weak_rules,
+    whitening,
+)
 from termweave.runtime import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +155,61 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three distinct sampled segmentations of every conversation turn."""
     return sampled(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its more frequent variant, if it has one."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector in whitened coordinates, one row for each component."""
+    found, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    rows = found.select("vec_id", "deviation", F.posexplode("whitened").alias("component", "whitened"))
+    shares = [] if model is None else [float(v / model.trace) for v in model.variances]
+    explained = F.array(*map(F.lit, shares)).cast("array<double>")
+    return rows.select(
+        "vec_id",
+        (F.col("component") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("component")).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
+#: Windows of ten item words; an item of fewer words is one window.
+OP13_SQL = r"""
+WITH b AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), sized AS (SELECT item_id, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, len(w) - k + 1)) AS s FROM sized)
+), d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), shingles AS (
+  SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM d, (SELECT DISTINCT k FROM win))
+), hits AS (SELECT doc_id, item_id, s, k FROM shingles JOIN win USING (k, phrase)),
+words_hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS place FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op13_decontamination", sql=OP13_SQL)
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a ten-word window of a benchmark item."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
