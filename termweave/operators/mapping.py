@@ -8,20 +8,21 @@ is stored invalid. Otherwise the event becomes valid and replaces that one mappi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
 from termweave.operators.dimensions import upsert_concepts
-from termweave.runtime import materialise, ranked
+from termweave.runtime import import_in_tasks, materialise, ranked
 from termweave.schemas import BRIDGE_MAPPING, BRIDGE_SESSION
 
 _ROW = "struct<mapping_id:bigint,dialect:bigint,bridge:boolean>"
 _KEY = ["source_concept_id", "destination_dialect_id"]
 # Rows folded by one expression call; longer histories are cut into pieces of about this size.
 CHUNK_ROWS = 20_000
-# Very long histories get larger pieces, to keep the number of pieces near the first figure.
-MANY_CHUNKS, LARGEST_CHUNK = 500, 2_000_000
 
 
 def _row() -> Column:
@@ -73,78 +74,116 @@ def _chunked(events: DataFrame, chunk_rows: int) -> DataFrame:
     """Long histories cut at id boundaries: (source, chunk, events), at most two widths of events each.
 
     Ids come from one sequence, so a block of as many ids as the width holds at most that many events
-    of a concept. Thin neighbouring blocks are merged by their running size.
+    of a concept. Thin neighbouring blocks are merged by their running size, and chunks are numbered from 0.
     """
-    width = F.greatest(
-        F.lit(chunk_rows), F.least(F.ceil(F.col("n_new") / MANY_CHUNKS), F.lit(LARGEST_CHUNK))
-    )
-    blocks = events.withColumn("width", width).withColumn("block", F.floor(F.col("mapping_id") / F.col("width")))
-    sizes = blocks.groupBy("source_concept_id", "width", "block").agg(F.count(F.lit(1)).alias("n"))
+    blocks = events.withColumn("block", F.floor(F.col("mapping_id") / chunk_rows))
+    sizes = blocks.groupBy("source_concept_id", "block").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("source_concept_id").orderBy("block")
-    chunks = sizes.select(
-        "source_concept_id", "block", F.floor((F.sum("n").over(running) - 1) / F.col("width")).alias("chunk")
-    )
+    filled = sizes.withColumn("fill", F.floor((F.sum("n").over(running) - 1) / chunk_rows))
+    chunks = filled.select("source_concept_id", "block", (F.dense_rank().over(running.orderBy("fill")) - 1).cast("long").alias("chunk"))
     placed = blocks.join(chunks, ["source_concept_id", "block"])
     return placed.groupBy("source_concept_id", "chunk").agg(F.collect_list(_row()).alias("events"))
 
 
+def _outcomes(starts: list[tuple], events: list[tuple]) -> dict[tuple, tuple]:
+    """For each possible state before the events, the state after them.
+
+    A start is a tuple of (dialect, is_bridge) in id order; a row of an end also tells where it is from: a place in the
+    start, or the id of an event. Starts whose states have become equal are carried on as one, so soon there are few.
+    """
+    live = {tuple((*row, place, None) for place, row in enumerate(start)): [start] for start in starts}
+    for mapping_id, dialect, bridge in events:
+        after: dict[tuple, list] = {}
+        for state, owners in live.items():
+            old = next((r for r in state if dialect is None or r[0] is None or r[0] == dialect), None)
+            if old is None or not bridge or old[1]:
+                state = (*(r for r in state if r is not old), (dialect, bridge, None, mapping_id))
+            after.setdefault(state, []).extend(owners)
+        live = after
+    return {start: state for state, owners in live.items() for start in owners}
+
+
+_STATE = "array<struct<dialect:bigint,bridge:boolean>>"
+_END = "array<struct<dialect:bigint,bridge:boolean,place:int,mapping_id:bigint>>"
+_KIND_FIELDS = [("dialect", pa.int64()), ("bridge", pa.bool_())]
+_END_FIELDS = [*_KIND_FIELDS, ("place", pa.int32()), ("mapping_id", pa.int64())]
+_TABLE = pa.schema(
+    [
+        ("source_concept_id", pa.int64()),
+        ("node", pa.int64()),
+        ("start", pa.list_(pa.struct(_KIND_FIELDS))),
+        ("end", pa.list_(pa.struct(_END_FIELDS))),
+    ]
+)
+
+
+def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with the states to be tried, as one row for each chunk and state."""
+    names = [name for name, _ in _END_FIELDS]
+    for batch in batches:
+        for k in range(batch.num_rows):
+            chunk = batch.slice(k, 1).to_pylist()[0]
+            starts = [tuple((r["dialect"], r["bridge"]) for r in start) for start in chunk["starts"]]
+            events = sorted((r["mapping_id"], r["dialect"], r["bridge"]) for r in chunk["events"])
+            rows = [
+                {
+                    "source_concept_id": chunk["source_concept_id"],
+                    "node": chunk["node"],
+                    "start": [dict(zip(names, row)) for row in start],
+                    "end": [dict(zip(names, row)) for row in end],
+                }
+                for start, end in _outcomes(starts, events).items()
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=_TABLE)
+
+
+def _kinds(rows: Column) -> Column:
+    return F.transform(rows, lambda r: F.struct(r["dialect"].alias("dialect"), r["bridge"].alias("bridge")))
+
+
+def _merged(table: DataFrame) -> DataFrame:
+    """Two neighbours' tables as one: the right one is looked up with what the left one leaves."""
+    half = F.floor(F.col("node") / 2).alias("node")
+    left = table.filter("node % 2 = 0").select("source_concept_id", half, "start", "end", _kinds(F.col("end")).alias("between"))
+    right = table.filter("node % 2 = 1").select("source_concept_id", half, F.col("start").alias("between"), F.col("end").alias("last"), F.lit(True).alias("both"))
+    traced = F.transform("last", lambda r: F.when(r["place"].isNull(), r).otherwise(F.get("end", r["place"])))
+    paired = right.select("source_concept_id", "node", "both").distinct()
+    alone = left.join(paired, ["source_concept_id", "node"], "left_anti").select("source_concept_id", "node", "start", "end")
+    joined = left.join(right, ["source_concept_id", "node", "between"]).select("source_concept_id", "node", "start", traced.alias("end"))
+    return joined.unionByName(alone)
+
+
 def _fold_long(events: DataFrame, start: DataFrame, chunk_rows: int) -> DataFrame:
     """Fold histories that are too long for one task, chunk by chunk in parallel.
 
-    1. Fold every chunk from an empty state; the few survivors stand for the chunk.
-    2. Fold the survivors per concept, which predicts the state each chunk starts from.
-    3. Fold the chunks again from the prediction and compare each end with the next chunk's start.
-       Where they differ, repeat from the true start. When all agree the result is exact, because
-       the first chunk starts from the true state.
+    A chunk is summed up as a function: for each possible state before it (dialect and origin of the open rows in id
+    order) the state after it, whose rows are rows of the state before or events of the chunk. Possible are the state
+    before the first event, and what any chunk leaves of a possible state; a few rounds find them all. Two
+    neighbouring functions compose to one by a join, so a history of n chunks is settled in log2(n) steps, exactly.
     """
-    spark = events.sparkSession
-    chunks = materialise(_chunked(events, chunk_rows))
-    survivors = chunks.select(
-        "source_concept_id", F.struct("chunk", _fold(_nothing(), F.col("events")).alias("rows")).alias("piece")
+    import_in_tasks(events.sparkSession)
+    chunks = materialise(_chunked(events, chunk_rows).withColumnRenamed("chunk", "node"))
+    first = (
+        chunks.select("source_concept_id").distinct().join(start, "source_concept_id", "left")
+        .select("source_concept_id", F.coalesce("start", _nothing()).alias("rows"))
     )
-    history = survivors.groupBy("source_concept_id").agg(
-        F.array_sort(F.collect_list("piece")).alias("pieces")
-    )
-    empty_starts = F.array().cast(f"array<struct<chunk:bigint,start:array<{_ROW}>>>")
-    predicted = F.aggregate(
-        "pieces",
-        F.struct(F.coalesce("start", _nothing()).alias("state"), empty_starts.alias("starts")),
-        lambda acc, piece: F.struct(
-            F.aggregate(piece["rows"], acc["state"], _apply).alias("state"),
-            F.concat(
-                acc["starts"],
-                F.array(F.struct(piece["chunk"].alias("chunk"), acc["state"].alias("start"))),
-            ).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    starts = (
-        history.join(start, "source_concept_id", "left")
-        .select("source_concept_id", F.inline(predicted))
-        .select("source_concept_id", "chunk", "start")
-    )
-    folded = materialise(
-        chunks.join(starts, ["source_concept_id", "chunk"]).select(
-            "source_concept_id", "chunk", "start", _fold(F.col("start"), F.col("events")).alias("end")
-        )
-    )
-    in_order = Window.partitionBy("source_concept_id").orderBy("chunk")
-    while True:
-        linked = folded.withColumn("before", F.lag("end").over(in_order))
-        wrong = materialise(
-            linked.filter(F.col("before").isNotNull() & ~F.col("start").eqNullSafe(F.col("before"))).select(
-                "source_concept_id", "chunk", F.col("before").alias("start")
-            )
-        )
-        if wrong.isEmpty():
-            break
-        again = chunks.join(wrong, ["source_concept_id", "chunk"]).select(
-            "source_concept_id", "chunk", "start", _fold(F.col("start"), F.col("events")).alias("end")
-        )
-        settled = folded.join(wrong, ["source_concept_id", "chunk"], "left_anti")
-        folded = materialise(settled.unionByName(again))
-    last = folded.groupBy("source_concept_id").agg(F.max_by("end", "chunk").alias("state"))
-    return last
+    first = materialise(first)
+    possible = new = first.select("source_concept_id", _kinds(F.col("rows")).alias("state"))
+    table = None
+    while table is None or not new.isEmpty():
+        asked = new.groupBy("source_concept_id").agg(F.collect_list("state").alias("starts"))
+        found = chunks.join(asked, "source_concept_id").select("source_concept_id", "node", "events", "starts")
+        found = materialise(found.mapInArrow(_tabled, f"source_concept_id long, node long, start {_STATE}, end {_END}"))
+        table = found if table is None else table.unionByName(found)
+        left = found.select("source_concept_id", _kinds(F.col("end")).alias("state")).distinct()
+        new = materialise(left.join(possible, ["source_concept_id", "state"], "left_anti"))
+        possible = possible.unionByName(new)
+    longest = chunks.agg(F.max("node")).first()[0]
+    for _ in range(int(longest).bit_length()):
+        table = materialise(_merged(table))
+    whole = first.select("source_concept_id", "rows", _kinds(F.col("rows")).alias("start")).join(table, ["source_concept_id", "start"])
+    row = lambda r: F.struct(F.coalesce(r["mapping_id"], F.get("rows", r["place"])["mapping_id"]).alias("mapping_id"), r["dialect"].alias("dialect"), r["bridge"].alias("bridge"))
+    return whole.select("source_concept_id", F.transform("end", row).alias("state"))
 
 
 def _fold_mixed(mixed: DataFrame, kinds: DataFrame, chunk_rows: int) -> DataFrame:

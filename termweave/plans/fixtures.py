@@ -428,6 +428,19 @@ def mapping_events(spark: SparkSession, sf_dir: str, bridge_without_dialect: boo
     )
 
 
+@functools.cache
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in which users and the bridge may leave the dialect out; every third belongs to one source."""
+    key, user = F.col("mapping_id"), F.col("user_id")
+    own = user * 20 + F.col("source_concept_id") % 20
+    return mapping_events(spark, sf_dir, bridge_without_dialect=True).withColumns(
+        {
+            "source_concept_id": F.when(key % 3 == 0, 0).otherwise(own).cast("long"),
+            "destination_dialect_id": F.when(key % 5 != 0, user % 3),
+        }
+    )
+
+
 def _mapping_sql(step: int, dialect_sql: str) -> str:
     return f"""SELECT event_id AS mapping_id, user_id, CAST(-101 AS BIGINT) AS session_id,
        CAST(props->>'k' AS BIGINT) * {step} + user_id % {step} AS source_concept_id,
@@ -444,6 +457,22 @@ SQL["mapping"] = (
     """SELECT *, row_number() OVER (PARTITION BY source_concept_id, destination_dialect_id ORDER BY is_bridge, mapping_id DESC) = 1 AS valid
   FROM mapping_event""",
 )
+# The general variant: any event may lack a dialect, and one source holds a third of all events.
+SQL["mapping_event_mixed"] = (
+    ("mapping_event_null",),
+    """SELECT * REPLACE (CASE WHEN mapping_id % 3 = 0 THEN 0 ELSE user_id * 20 + source_concept_id % 20 END AS source_concept_id,
+       CASE WHEN mapping_id % 5 <> 0 THEN user_id % 3 END AS destination_dialect_id) FROM mapping_event_null""",
+)
+# Every source's events in id order, each applied to the rows left by the ones before.
+SQL["replay_mixed"] = (
+    ("mapping_event_mixed",),
+    """SELECT source_concept_id, list_reduce(
+         list([{'id': mapping_id, 'd': destination_dialect_id, 'b': is_bridge}] ORDER BY mapping_id),
+         lambda open, e: list_transform([list_filter(open, lambda x: e[1].d IS NULL OR x.d IS NULL OR x.d = e[1].d)[1]], lambda old:
+           CASE WHEN old IS NULL THEN open || e WHEN e[1].b AND NOT old.b THEN open
+                ELSE list_filter(open, lambda x: x.id <> old.id) || e END)[1]) AS state
+  FROM mapping_event_mixed GROUP BY source_concept_id""",
+)
 # Row-by-row replay: the n-th event of every source meets the state left by the ones before.
 SQL["replay_event"] = (
     ("mapping_event_null",),
@@ -504,15 +533,21 @@ SQL["v_mapping"] = (
 
 @functools.cache
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as mapping requests: the page concept and two selected ones; status P rejects."""
+    """Orders as mapping requests: the page concept and selected ones (none, some, or many); status P rejects."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     rejected = F.col("o_orderstatus") == "P"
+    selected = (
+        F.when(key % 11 == 0, F.lit(None).cast("array<bigint>"))
+        .when(key % 11 == 1, F.array().cast("array<bigint>"))
+        .when(key % 101 == 2, F.sequence(key, key + 99))
+        .otherwise(F.array(customer, key + customer))
+    )
     return given(spark, sf_dir, "orders").select(
         key.alias("request_id"),
-        (key % 997).alias("concept_id"),
-        F.array(customer % 1009, (key + customer) % 1013).alias("old_concepts"),
-        F.when(~rejected, F.concat(F.lit("C"), (customer % 40).cast("string"))).alias("new_code"),
-        F.when(~rejected, F.concat(F.lit("target "), (customer % 40).cast("string"))).alias("new_term"),
+        key.alias("concept_id"),
+        selected.alias("old_concepts"),
+        F.when(~rejected, F.concat(F.lit("C"), customer.cast("string"))).alias("new_code"),
+        F.when(~rejected, F.concat(F.lit("target "), customer.cast("string"))).alias("new_term"),
         F.col("o_orderpriority").alias("comment"),
         customer.alias("user_id"),
         (customer % 3).alias("target_dialect_id"),
@@ -521,9 +556,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["request"] = (
     (),
-    """SELECT o_orderkey AS request_id, o_orderkey % 997 AS concept_id, [o_custkey % 1009, (o_orderkey + o_custkey) % 1013] AS old_concepts,
-       CASE WHEN o_orderstatus <> 'P' THEN 'C' || (o_custkey % 40) END AS new_code,
-       CASE WHEN o_orderstatus <> 'P' THEN 'target ' || (o_custkey % 40) END AS new_term,
+    """SELECT o_orderkey AS request_id, o_orderkey AS concept_id,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 11 = 1 THEN []
+            WHEN o_orderkey % 101 = 2 THEN generate_series(o_orderkey, o_orderkey + 99) ELSE [o_custkey, o_orderkey + o_custkey] END AS old_concepts,
+       CASE WHEN o_orderstatus <> 'P' THEN 'C' || o_custkey END AS new_code,
+       CASE WHEN o_orderstatus <> 'P' THEN 'target ' || o_custkey END AS new_term,
        o_orderpriority AS comment, o_custkey AS user_id, o_custkey % 3 AS target_dialect_id FROM orders""",
 )
 

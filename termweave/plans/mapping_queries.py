@@ -152,6 +152,36 @@ def fold_mappings_in_steps(spark, sf_dir):
     return second.select("mapping_id", "source_concept_id", "valid")
 
 
+MIXED_SQL = """SELECT mapping_id, source_concept_id, destination_dialect_id, is_bridge,
+       mapping_id IN (SELECT unnest(list_transform(state, lambda x: x.id)) FROM replay_mixed) AS valid FROM mapping_event_mixed"""
+MIXED_COLUMNS = ["mapping_id", "source_concept_id", "destination_dialect_id", "is_bridge", "valid"]
+# Rows of a chunk where a query is to fold in chunks: one source holds a third of the events.
+SMALL_CHUNK = 1_000
+
+
+@query("fold_mappings_mixed", "replay_mixed", sql=MIXED_SQL)
+def fold_mappings_mixed(spark, sf_dir):
+    """Users and the bridge both may leave the dialect out, so only the order of the events decides."""
+    events = fx.mixed_events(spark, sf_dir)
+    return log.fold_mappings(_no_log(events), events).select(*MIXED_COLUMNS)
+
+
+@query("fold_mappings_mixed_in_chunks", "replay_mixed", sql=MIXED_SQL)
+def fold_mappings_mixed_in_chunks(spark, sf_dir):
+    """The same, with every longer history cut into chunks that are folded in parallel."""
+    events = fx.mixed_events(spark, sf_dir)
+    return log.fold_mappings(_no_log(events), events, chunk_rows=SMALL_CHUNK).select(*MIXED_COLUMNS)
+
+
+@query("fold_mappings_mixed_in_steps", "replay_mixed", sql=MIXED_SQL)
+def fold_mappings_mixed_in_steps(spark, sf_dir):
+    """The same in two loads: the second starts from the open rows of the settled first."""
+    events = fx.mixed_events(spark, sf_dir)
+    half = events.agg(F.max("mapping_id")).first()[0] // 2
+    first = materialise(log.fold_mappings(_no_log(events), events.filter(F.col("mapping_id") <= half), chunk_rows=SMALL_CHUNK))
+    return log.fold_mappings(first, events.filter(F.col("mapping_id") > half), chunk_rows=SMALL_CHUNK).select(*MIXED_COLUMNS)
+
+
 @query(
     "derive_event_type",
     "request",
@@ -164,7 +194,8 @@ def derive_event_type(spark, sf_dir):
 
 REQUEST_EVENT_SQL = """SELECT *, CASE WHEN new_code IS NULL AND new_term IS NULL THEN 'Incorrect concept' ELSE 'User mapping' END AS event_type_name,
        row_number() OVER (ORDER BY request_id, place) AS mapping_id FROM (
-    SELECT * EXCLUDE (concept_id, old_concepts), unnest(range(3)) AS place, unnest(list_prepend(concept_id, old_concepts)) AS source_concept_id FROM request)"""
+    SELECT * EXCLUDE (concept_id, old_concepts), unnest(range(1 + coalesce(len(old_concepts), 0))) AS place,
+           unnest(list_prepend(concept_id, coalesce(old_concepts, []))) AS source_concept_id FROM request)"""
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
 
@@ -53,6 +54,18 @@ def shared_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def import_in_tasks(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it.
+
+    Where the executors do not see that folder, the library has to be installed or sent with --py-files.
+    """
+    environment = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark)}/staging/{name}-{uuid.uuid4().hex}"

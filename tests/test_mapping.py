@@ -71,11 +71,25 @@ def test_mixed_dialects_equal_replay(spark, seed):
     assert valid_ids(fold(spark, rows)) == replay(rows)
 
 
-@pytest.mark.parametrize("seed,dialects", [(4, [1, 2, None]), (5, [1] * 200 + [2, None]), (6, [None, 1, 2, 3, 4, 5])])
-def test_long_history_is_folded_in_chunks(spark, seed, dialects):
+@pytest.mark.parametrize("seed,dialects,chunk_rows", [(5, [1] * 200 + [2, None], 200), (6, [None, 1, 2, 3, 4], 300)])
+def test_long_history_is_folded_in_chunks(spark, seed, dialects, chunk_rows):
     """One concept holds most events and is folded in parallel pieces."""
     rows = random_events(seed, 1500, [7] * 9 + [8], dialects)
-    assert valid_ids(fold(spark, rows, chunk_rows=40)) == replay(rows)
+    assert valid_ids(fold(spark, rows, chunk_rows=chunk_rows)) == replay(rows)
+
+
+@pytest.mark.parametrize("dialects", [[1, None], [1, 2, 3], [1, 2, None], [1, 2, 3, 4, None, None]])
+def test_summaries_of_chunks_compose(dialects):
+    """The state after two chunks is that of the second, looked up with what the first leaves."""
+    rng = random.Random(len(dialects))
+    events = [(k, rng.choice(dialects), rng.random() < 0.4) for k in range(60)]
+    state = ()
+    for at in range(0, 60, 15):
+        kinds = tuple((d, b) for d, b, _ in state)
+        others = [tuple((rng.choice(dialects), rng.random() < 0.5) for _ in range(n)) for n in (0, 1, 2, 3)]
+        end = log._outcomes([kinds, *others], events[at : at + 15])[kinds]
+        state = tuple((d, b, state[place][2] if mapping_id is None else mapping_id) for d, b, place, mapping_id in end)
+        assert {r[2] for r in state} == replay([(k, 1, d, b) for k, d, b in events[: at + 15]])
 
 
 def split_events(seed, n, sources):
@@ -109,7 +123,7 @@ def test_second_load_starts_from_the_settled_log(spark):
     rows = random_events(9, 1200, [7] * 5 + list(range(30)), [1, 2, None])
     first = fold(spark, rows[:600]).collect()
     existing = [(r.mapping_id, r.source_concept_id, r.destination_dialect_id, r.is_bridge, r.valid) for r in first]
-    for chunk_rows in (30, 20_000):
+    for chunk_rows in (200, 20_000):
         both = fold(spark, rows[600:], existing, chunk_rows=chunk_rows)
         assert both.count() == 1200
         assert valid_ids(both) == replay(rows)
