@@ -1,7 +1,7 @@
 """URL filter by hashed host-suffix and path-prefix expressions.
 
 A url's expressions are every host suffix (the whole host, and what follows each dot) with every path prefix that ends
-in a slash (and the empty one). A rule is filed under its host and its path up to the last slash, so it
+in a slash (and the empty one), as deep as the deepest rule goes: two numbers that the rule table gives. A rule is filed under its host and its path up to the last slash, so it
 can only fit a url one of whose expressions is that key. Distinct urls are expanded, joined with the rules on a
 short prefix of the key's SHA-256, confirmed by the full digest and the rest of the rule's path, and the
 longest fitting rule decides.
@@ -32,21 +32,31 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def host_suffixes(host: Column, labels: int) -> Column:
+    """The host and what follows each of its dots, of at most so many labels."""
+    parts = F.split(host, r"\.", -1)
+    first = F.greatest(F.size(parts) - (labels - 1), F.lit(1))
+    return F.transform(F.sequence(first, F.size(parts)), lambda i: F.array_join(F.slice(parts, i, labels), "."))
 
 
-def path_prefixes(path: Column) -> Column:
-    """The empty path and every prefix that ends in a slash."""
-    parts = F.split(path, "/", -1)
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+def path_prefixes(path: Column, slashes: int) -> Column:
+    """The empty path and every prefix that ends in a slash, of at most so many slashes."""
+    parts = F.split(path, "/", slashes + 1)
+    last = F.size(parts) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
 
 
-def expressions(host: Column, path: Column) -> Column:
+def expressions(host: Column, path: Column, labels: int, slashes: int) -> Column:
     """Keys ``host NUL path-prefix`` of a url."""
-    return F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(path_prefixes(path), lambda p: F.concat(h, F.lit("\0"), p))))
+    prefixes = path_prefixes(path, slashes)
+    return F.flatten(F.transform(host_suffixes(host, labels), lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\0"), p))))
+
+
+def depths(rules: DataFrame) -> tuple[int, int]:
+    """Labels of the deepest rule host and slashes of the deepest rule path."""
+    labels, slashes = F.size(F.split("host", r"\.", -1)), F.size(F.split("path", "/", -1)) - 1
+    row = rules.filter("host is not null and path is not null").agg(F.max(labels), F.max(slashes)).first()
+    return max(row[0] or 1, 1), row[1] or 0
 
 
 def keyed_rules(rules: DataFrame) -> DataFrame:
@@ -70,7 +80,8 @@ def keyed_rules(rules: DataFrame) -> DataFrame:
 def judged_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct urls that a rule fits, with that rule and its verdict."""
     split = urls.select("url").filter("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    asked = split.filter("host <> ''").select("url", "path", F.explode(expressions(F.col("host"), F.col("path"))).alias("key"))
+    keys = expressions(F.col("host"), F.col("path"), *depths(rules))
+    asked = split.filter("host <> ''").select("url", "path", F.explode(keys).alias("key"))
     asked = asked.select("url", "path", F.sha2("key", 256).alias("digest")).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     # The rules are joined by Spark's choice: broadcast below its size limit, else a shuffle join.
     found = asked.join(keyed_rules(rules), "short").filter("digest = rule_digest and startswith(path, rule_path)")
