@@ -57,14 +57,17 @@ class Segments:
     """Token ids by segment. A text is cut before each space that a non-space follows.
 
     The byte-level tokenizer never joins what lies on the two sides of such a cut, so a segment's ids do
-    not depend on its neighbours and each distinct segment is encoded once.
+    not depend on its neighbours and each distinct segment is encoded once. A special token that stands
+    literally in a text has its own id, and what is before and after it is encoded as texts of their own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {content: _four_bytes([i]) for content, i in special.items()}
+        self.borders = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         self.spaced: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -106,6 +109,21 @@ class Segments:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
+        marked = {k: self.borders.findall(t) for k, t in enumerate(texts) if self.borders.search(t)}
+        if not marked:
+            return self._plain_ids(texts)
+        parts = [self.borders.split(t) if k in marked else [t] for k, t in enumerate(texts)]
+        found = iter(self._plain_ids([p for row in parts for p in row]))
+        out = []
+        for k, row in enumerate(parts):
+            ids = [next(found)]
+            for content, _ in zip(marked.get(k, ()), row[1:]):
+                ids += [self.special[content], next(found)]
+            out.append(b"".join(ids))
+        return out
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """The same for texts without special tokens."""
         cuts = [self.cut(t) for t in texts]
         if len(self.spaced) > MEMORY:
             for memory in (self.spaced, self.heads, self.tails):
