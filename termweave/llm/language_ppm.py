@@ -4,10 +4,12 @@ Each language has a context tree of up to three bytes with the counts of what fo
 -log2 of its share among (n followers + d distinct ones); a byte not seen after a context costs the escape d / (n + d)
 and is coded in the next shorter one, down to 8 bits for any byte. The counts are frozen
 after fitting, so the code length of a text under each language is exact and independent of other texts.
-The language with the shortest code wins; the score is its posterior among the languages.
+The language with the shortest code wins, of equally short ones the first by name; the score is its posterior among
+the languages.
 
-Fitting takes a bounded sample: documents are chosen by a hash so that about ``TRAIN_BYTES`` of text of each
-language are read, which bounds the trees (at most one entry for each byte). Every text is scored whole.
+Fitting takes a bounded sample: the distinct texts of each language in the order of a hash, until ``TRAIN_BYTES`` are
+reached, which bounds the trees (at most one entry for each byte). A language has at least one text, and of a text
+longer than that the first ``TRAIN_BYTES`` characters are learned. Every text is scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if no
 language was learned; a null lang is not learned from; a null doc_id is never held out; repeated rows are
@@ -21,13 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from termweave.llm import textbytes as tb
 from termweave.llm.blocks import map_batches
 
 TRAIN_BYTES = 600_000
+#: Steps of the sample's size for each doubling.
+FINENESS = 16
+#: Bytes of text that a worker hands back together.
+TOGETHER = 4 << 20
 ORDER = 3
 UNKNOWN = "und"
 
@@ -75,12 +82,19 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, text: str = "text", lang: str = "lang") -> Trees:
     """Context trees of each value of ``lang``, from about ``train_bytes`` of text for each."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and text is not null and text <> ''")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not totals:
+    rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    # Steps in the logarithm of the hash: few of them, and the last one taken adds little at any size of the input.
+    rows = rows.withColumn("step", F.floor(F.log2(F.col("hash") + F.lit(1.0)) * FINENESS).cast("int"))
+    size = F.least(F.octet_length("text"), F.lit(train_bytes))
+    steps = rows.groupBy("lang", "hash", "step").agg(F.max(size).alias("n")).groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
+    taken = steps.withColumn("before", before).filter(F.col("before") < train_bytes).groupBy("lang").agg(F.max("step").alias("last"))
+    last = {r["lang"]: r["last"] for r in taken.collect()}
+    if not last:
         return Trees((), (), (), b"")
-    rate = F.create_map(*[x for name, n in totals.items() for x in (F.lit(name), F.lit(min(1.0, train_bytes / n)))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.filter(draw < rate[F.col("lang")])
+    limit = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    chosen = rows.filter(F.col("step") <= limit[F.col("lang")]).select("lang", "hash", F.substring("text", 1, train_bytes).alias("text"))
+    sample = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
     counted = map_batches(sample, _count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names, grams, counts = [], [], []
     for name, part in counted.groupby("lang"):
@@ -107,24 +121,23 @@ class Compiled:
         trained[0] = 1
         split = [[trained[(g >> s) & 255] for s in (24, 16, 8, 0)] for g in trees.grams]
         contexts = [np.unique(np.concatenate([self._code(x[ORDER - k : ORDER]) for x in split])) for k in range(ORDER + 1)]
-        tables = []
-        for parts, counts in zip(split, trees.counts):
+        first = np.cumsum([0, *(len(c) for c in contexts)])
+        self.costs = np.empty((int(first[-1]) * width, len(trees.grams)), np.float32)
+        for i, (parts, counts) in enumerate(zip(split, trees.counts)):
             below = np.full((1, width), 8.0)
             for k in range(ORDER + 1):
                 parent = self._row(contexts[k - 1], contexts[k] % width ** (k - 1)) if k else np.zeros(1, np.int64)
                 below = self._level(self._row(contexts[k], self._code(parts[ORDER - k : ORDER])), parts[ORDER], counts, below[parent])
-                tables.append(below)
-        n = len(trees.grams)
-        self.costs = np.empty((sum(len(c) for c in contexts) * width, n), np.float32)
-        for i in range(n):
-            self.costs[:, i] = np.concatenate(tables[i * (ORDER + 1) : (i + 1) * (ORDER + 1)]).ravel()
-        first = np.cumsum([0, *(len(c) for c in contexts)])
-        every = np.arange(width**ORDER)
+                self.costs[first[k] * width : first[k + 1] * width, i] = below.ravel()
         self.rows = np.zeros(width**ORDER, np.int32)
-        for k in range(1, ORDER + 1):
-            tail = every % width**k
-            at = np.minimum(np.searchsorted(contexts[k], tail), len(contexts[k]) - 1)
-            self.rows = np.where(contexts[k][at] == tail, (first[k] + at).astype(np.int32), self.rows)
+        for low in range(0, len(self.rows), tb.SLICE):
+            rows = self.rows[low : low + tb.SLICE]
+            every = np.arange(low, low + len(rows))
+            for k in range(1, ORDER + 1):
+                tail = every % width**k
+                at = np.minimum(np.searchsorted(contexts[k], tail), len(contexts[k]) - 1)
+                known = contexts[k][at] == tail
+                rows[known] = first[k] + at[known]
 
     def _code(self, parts: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(1, np.int64)
@@ -191,32 +204,38 @@ def has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model, column: int) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model, column: int, carried: bool) -> Iterator[pa.RecordBatch]:
+    """The batches with the prediction, in parts of some bytes; the column of texts goes back only if ``carried``."""
     trees = model.value
-    for batch in batches:
-        data, offsets = tb.columns(batch.column(column))
-        names = np.full(len(offsets) - 1, UNKNOWN, object)
-        score, per_byte = np.zeros(len(names)), np.zeros(len(names))
-        if trees.languages:
-            bits = compiled(trees).bits(data, offsets)
-            best = bits.argmin(1)
-            least = bits[np.arange(len(best)), best]
-            known = has_letter(batch.column(column), data, offsets)
-            names[known] = np.array(trees.languages, object)[best[known]]
-            score[known] = (1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1))[known]
-            per_byte[known] = (least / np.maximum(np.diff(offsets), 1))[known]
-        added = {"lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score), "bits_per_byte": pa.array(per_byte)}
-        kept = [i for i in range(batch.num_columns) if i != column or batch.schema.names[i] != "_text"]
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(added.values()), names=[batch.schema.names[i] for i in kept] + list(added))
+    for whole in batches:
+        for i, j in tb.pieces(tb.columns(whole.column(column))[1], TOGETHER):
+            batch = whole.slice(i, j - i)
+            data, offsets = tb.columns(batch.column(column))
+            names = np.full(len(offsets) - 1, UNKNOWN, object)
+            score, per_byte = np.zeros(len(names)), np.zeros(len(names))
+            if trees.languages:
+                bits = compiled(trees).bits(data, offsets)
+                best = bits.argmin(1)
+                least = bits[np.arange(len(best)), best]
+                known = has_letter(batch.column(column), data, offsets)
+                names[known] = np.array(trees.languages, object)[best[known]]
+                score[known] = (1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1))[known]
+                per_byte[known] = (least / np.maximum(np.diff(offsets), 1))[known]
+            added = {"lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score), "bits_per_byte": pa.array(per_byte)}
+            kept = [k for k in range(batch.num_columns) if k != column or carried]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + list(added.values()), names=[batch.schema.names[k] for k in kept] + list(added))
 
 
 def predict(documents: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns with ``lang_pred``, ``score`` and ``bits_per_byte`` of each row. Name ``text`` in ``keep`` to carry it on."""
     model = documents.sparkSession.sparkContext.broadcast(trees)
-    rows = documents.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double, bits_per_byte double"
-    column = len(keep)
-    return map_batches(rows, lambda batches: _predict(batches, model, column), schema)
+    rows = documents.select(*[F.col(c) for c in keep])
+    carried = text in keep and rows.schema[text].dataType == StringType()
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields) + "lang_pred string, score double, bits_per_byte double"
+    if not carried:
+        rows = documents.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text"))
+    column = keep.index(text) if carried else len(keep)
+    return map_batches(rows, lambda batches: _predict(batches, model, column, carried), schema)
 
 
 def held_out(key: Column, folds: int, remainder: int) -> Column:

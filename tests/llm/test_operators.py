@@ -65,6 +65,24 @@ def test_url_rules(spark):
     assert [r["page_id"] for r in url_rules.judge(pages.distinct(), odd).filter("verdict = 'block'").collect()] == [0]
 
 
+def test_long_urls_are_expanded_as_deep_as_the_rules(spark):
+    rules = small_table(spark, [("b.c", "/x/y/", "block"), ("c", "/", "allow"), ("b.c", "/x/yy", "block")], "host string, path string, verdict string")
+    deep = "a." * 100 + "b.c"
+    urls = [
+        (1, f"http://{deep}/x/y/" + "z/" * 5000),
+        (2, f"http://{deep}/x/yyy" + "/z" * 5000),
+        (3, "http://b.c" + "/x" * 5000),
+        (4, "http://" + "b.c." * 100 + "d/x/y/"),
+        (5, "http://c"),
+        (6, "http://B.C/x/y/"),
+    ]
+    pages = small_table(spark, urls, "page_id long, url string")
+    found = {r["page_id"]: r["rule"] for r in url_rules.judge(pages, rules).collect()}
+    assert found == {1: "b.c/x/y/", 2: "b.c/x/yy", 3: "c/", 4: None, 5: None, 6: "b.c/x/y/"}
+    assert url_rules.depths(rules) == (2, 3) and url_rules.depths(rules.limit(0)) == (1, 0)
+    assert {r["rule"] for r in url_rules.judge(pages, rules.limit(0)).collect()} == {None}
+
+
 def test_weak_rules(docs, empty, rows):
     def brute(t):
         t = t or ""
@@ -92,6 +110,31 @@ def test_language(docs, empty, rows):
     assert language_ppm.identify(empty).count() == 0
 
 
+def test_a_language_in_one_long_text_is_learned(spark, monkeypatch):
+    """Beside many short texts; of equal codes the first language by name wins."""
+    alphabets = {f"l{k}": "abcdefghijklmnopqrstuvwx"[3 * k : 3 * k + 3] for k in range(8)}
+    rng = random.Random(2)
+    long_texts = [(k, "".join(rng.choices(letters + " ", k=400_000)), lang) for k, (lang, letters) in enumerate(alphabets.items())]
+    short = [(100 + k, f"the cat number {k} sat on the mat", "en") for k in range(200)]
+    docs = small_table(spark, long_texts + short, "doc_id long, text string, lang string")
+    trees = language_ppm.fit(docs, train_bytes=20_000)
+    assert trees.languages == ("en", *alphabets)
+    assert all(19_000 < counts.sum() <= 20_000 for counts in trees.counts[1:])
+    asked = small_table(spark, [(lang, letters * 5) for lang, letters in alphabets.items()], "lang string, text string")
+    monkeypatch.setattr(language_ppm, "TOGETHER", 20)
+    found = language_ppm.predict(asked, trees, ("lang", "text")).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["text"] == alphabets[r["lang"]] * 5 for r in found) and len(found) == 8
+    twins = language_ppm.fit(small_table(spark, [("b", "same text"), ("a", "same text")], "lang string, text string"))
+    assert [r["lang_pred"] for r in language_ppm.predict(asked, twins, ("lang",)).collect()] == ["a"] * 8
+
+
+def test_training_takes_about_the_bytes_wanted(spark):
+    """Repeated texts count once."""
+    texts = [(f"text number {k % 5000} of {'x' * (k % 7)}",) for k in range(10_000)]
+    docs = small_table(spark, texts, "text string").selectExpr("text", "'en' AS lang")
+    assert 20_000 <= language_ppm.fit(docs, train_bytes=20_000).counts[0].sum() < 25_000
+
+
 def test_context_trees_give_exact_code_lengths(docs):
     trees = language_ppm.fit(docs)
     levels = [collections.defaultdict(collections.Counter) for _ in range(4)]
@@ -206,7 +249,6 @@ def pieces_are_right(found, texts, capacity):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     want = []
     for key, text in texts:
         ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -230,6 +272,13 @@ def test_packing(docs, empty, rows):
     assert bin_slack.pack(bin_slack.token_pieces(empty, path)).count() == 0
 
 
+def test_special_tokens_in_a_text_have_their_own_id(spark):
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "don't  <|endoftext|><|endoftext|>\n <|endoftext|>  x"), (4, "<|endoftext"), (5, None)]
+    docs = small_table(spark, texts, "doc_id long, text string")
+    found = bin_slack.pack(bin_slack.token_pieces(docs, queries.tokenizer_path())).collect()
+    pieces_are_right(found, texts, 1024)
+
+
 def test_fullest_combination_is_the_fullest():
     rng = random.Random(3)
     for _ in range(200):
