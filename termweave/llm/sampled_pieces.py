@@ -1,14 +1,17 @@
 """Distinct sampled segmentations of texts by Gumbel top-k over the SentencePiece lattice.
 
 A segmentation's probability is proportional to exp(sharpness * sum of its pieces' scores). Backward sums over the
-lattice give the probability of each next piece, so segmentations form a tree whose leaves are perturbed top-down:
-a node's children get Gumbel values under the condition that the largest equals the node's own. A best-first (A-star) search by
-perturbed value therefore emits segmentations in descending order, a sample without replacement. The value that comes after
-the last one is the threshold; a segmentation's inclusion score is the logarithm of its chance to exceed it,
+lattice give the chance of each next piece, so segmentations form a tree whose leaves are perturbed top-down: of a
+node's children one is drawn by its chance and has the node's own value; all others together have a Gumbel value at the logarithm of the
+sum of their chances, under the condition that it is smaller. A best-first (A-star) search by perturbed value opens such
+a rest only when its turn comes, and so emits segmentations in descending order, a sample without replacement. The
+value that comes after the last one is the threshold; a segmentation's inclusion score is the logarithm of its chance to exceed it,
 log(1 - exp(-exp(logp - threshold))), as importance weights need it.
 
-The heap keeps only as many open nodes as samples are still wanted, which is exact since every node leads to one value. A row's random
-numbers come from its key and text alone, so a repeated task gives the same samples.
+Only as many open nodes are kept as samples are still wanted, which is exact since every node leads to one value. No piece crosses
+the start of a word mark, so a text is a row of chunks, and the lattice of a chunk is built once for all texts of a batch. The chunks of
+all paths are drawn in step. A row's random numbers come from its key and text alone, one for each character, so neither a repeated
+task nor other rows of the batch change its samples.
 
 Texts are coded losslessly: spaces as the word mark after one leading mark, characters without a piece (and the word
 mark itself) as bytes.
@@ -26,6 +29,7 @@ import random
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,62 +41,137 @@ SHARPNESS = 0.0004
 MARK = "▁"
 #: Stands for a word mark of the text itself; no text can hold it.
 _HIDDEN = "\udfff"
-#: A branch whose probability is this many nats below the open nodes cannot beat them: its chance is below
-#: the resolution of the random numbers. From there on a path only draws its pieces.
-BEYOND = 45.0
-#: Chunks that a worker remembers; reaching it only empties the memory.
-MEMORY = 200_000
-#: Edges of all remembered chunks, about 150 bytes each.
-MEMORY_EDGES = 1_500_000
-LONGEST_REMEMBERED = 64
+#: Characters of texts that are sampled together; only a single longer text goes beyond.
+BATCH_CHARS = 1 << 20
+#: Characters of chunks whose lattices are built together; only a single longer chunk goes beyond.
+BUILD_CHARS = 1 << 15
+_SEPARATOR = (1 << 21) - 1
 _chunk = re.compile(f"{MARK}+[^{MARK}]*")
-_workers: dict[tuple, Lattices] = {}
+_workers: dict[tuple, Pieces] = {}
 
 
-class Lattices:
-    """For each position of a chunk the next pieces as (end, ids, log of their chance there)."""
+class Pieces:
+    """The vocabulary as a trie: the children of all states as sorted (state, character) keys."""
 
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.model, self.sharpness = model, sharpness
-        special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+        self.model = model
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
-        self.piece = {model.id_to_piece(i): (i, sharpness * model.get_score(i)) for i in range(model.vocab_size()) if not special(i) and not model.is_byte(i)}
-        self.longest = max(map(len, self.piece))
         self.worst = sharpness * min(model.get_score(i) for i in range(model.vocab_size()))
-        self.known: dict[str, list] = {}
-        self.known_edges = 0
-
-    def of(self, chunk: str) -> list:
-        found = self.known.get(chunk)
-        if found is None:
-            found = self._build(chunk)
-            if len(chunk) <= LONGEST_REMEMBERED:
-                if len(self.known) >= MEMORY or self.known_edges >= MEMORY_EDGES:
-                    self.known.clear()
-                    self.known_edges = 0
-                self.known[chunk] = found
-                self.known_edges += sum(map(len, found))
-        return found
-
-    def _build(self, chunk: str) -> list:
-        n = len(chunk)
-        total, out = [0.0] * (n + 1), [None] * n
-        for i in range(n - 1, -1, -1):
-            edges = []
-            for j in range(i + 1, min(i + self.longest, n) + 1):
-                hit = self.piece.get(chunk[i:j])
-                if hit:
-                    edges.append((j, (hit[0],), hit[1] + total[j]))
-            if not edges or edges[0][0] != i + 1:
-                ids = tuple(self.byte[b] for b in chunk[i].replace(_HIDDEN, MARK).encode())
-                edges.append((i + 1, ids, self.worst * len(ids) + total[i + 1]))
-            top = max(e[2] for e in edges)
-            total[i] = top + math.log(sum(math.exp(e[2] - top) for e in edges))
-            out[i] = [(j, ids, w - total[i]) for j, ids, w in edges]
-        return out
+        children: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for i in range(model.vocab_size()):
+            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i):
+                continue
+            state = 0
+            for c in model.id_to_piece(i):
+                state = children.setdefault((state, ord(c)), len(children) + 1)
+            ends[state] = i
+        keys = np.array([state << 21 | c for state, c in children], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array(list(children.values()), np.int64)[order], 0)
+        self.piece = np.full(len(children) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+        self.score = sharpness * np.array([model.get_score(i) for i in range(model.vocab_size())])
+
+    def bytes_of(self, code: int) -> list[int]:
+        """The ids of a character without a piece."""
+        return [self.byte[b] for b in chr(code).replace(_HIDDEN, MARK).encode()]
+
+
+class Lattices:
+    """The lattices of distinct chunks. Position p has the edges ``first[p]`` to ``first[p + 1]``, shorter pieces first.
+
+    An edge has its ``size`` in characters, its ``id`` (-1 - character for one that is coded as bytes), its log chance ``logp``, the
+    log of the others' chance ``rest``, and ``upto``, the chance of it and the edges before it (above 1 for the last).
+    """
+
+    def __init__(self, pieces: Pieces, chunks: list[str]):
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        self.end = self.start + sizes
+        parts, low, have = [], 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if have and have + n > BUILD_CHARS:
+                parts.append(self._build(pieces, chunks[low:i]))
+                low, have = i, 0
+            have += n + 1
+        parts.append(self._build(pieces, chunks[low:]))
+        counts, self.size, self.id, self.logp, self.rest, self.upto = map(np.concatenate, zip(*parts))
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+
+    @staticmethod
+    def _build(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        codes = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum([len(c) + 1 for c in chunks]) - 1
+        codes[ends] = _SEPARATOR
+        n = len(codes)
+        at, state, length, found = np.arange(n), np.zeros(n, np.int64), 0, []
+        while len(at):
+            key = state << 21 | codes[at + length]
+            place = np.searchsorted(pieces.keys, key)
+            hit = pieces.keys[place] == key
+            at, state, length = at[hit], pieces.child[place[hit]], length + 1
+            ids = pieces.piece[state]
+            known = ids >= 0
+            if length == 1:
+                bare = np.ones(n, bool)
+                bare[ends] = False
+                bare[at[known]] = False
+                bare = np.flatnonzero(bare)
+                found.append((bare, np.ones(len(bare), np.int64), -1 - codes[bare]))
+            found.append((at[known], np.full(int(known.sum()), length), ids[known]))
+            at, state = at[at + length < n], state[at + length < n]
+        pos, size, ids = map(np.concatenate, zip(*found))
+        order = np.argsort(pos, kind="stable")
+        pos, size, ids = pos[order], size[order], ids[order]
+        weight = np.empty(len(ids))
+        weight[ids >= 0] = pieces.score[ids[ids >= 0]]
+        bare, back = np.unique(-1 - ids[ids < 0], return_inverse=True)
+        weight[ids < 0] = pieces.worst * np.array([len(pieces.bytes_of(c)) for c in bare.tolist()], float)[back]
+        counts = np.bincount(pos, minlength=n)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        # Sums from the end of each chunk backwards, all chunks in step.
+        total, widest = np.zeros(n), int(counts.max())
+        distance = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+        by_distance = np.argsort(distance, kind="stable")
+        borders = np.searchsorted(distance[by_distance], np.arange(1, int(distance.max()) + 2))
+        row = np.arange(widest)[:, None]
+        padded, target = np.append(weight, -np.inf), np.append(pos + size, 0)
+        for low, high in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            p = by_distance[low:high]
+            edge = np.where(row < counts[p], first[p] + row, len(weight))
+            w = padded[edge] + total[target[edge]]
+            top = w.max(0)
+            total[p] = top + np.log(np.exp(w - top).sum(0))
+        logp = weight + total[pos + size] - total[pos]
+        # Sums inside a position, at most ``widest`` edges each.
+        rank = np.arange(len(pos)) - first[pos]
+        left = np.zeros((widest + 1, n))
+        left[rank + 1, pos] = np.exp(logp)
+        right = np.zeros((widest + 1, n))
+        right[:-1] = left[1:]
+        for x in range(widest):
+            left[x + 1] += left[x]
+        for x in range(widest - 1, -1, -1):
+            right[x] += right[x + 1]
+        others = left[rank, pos] + right[rank + 1, pos]
+        with np.errstate(divide="ignore"):
+            rest = np.log(others)
+        # Others whose chances are below the range of numbers add up as logarithms.
+        tiny = np.flatnonzero((others < 1e-290) & (counts[pos] > 1))
+        if len(tiny):
+            logs = np.full((widest, n), -np.inf)
+            logs[rank, pos] = logp
+            logs = logs[:, pos[tiny]]
+            logs[rank[tiny], np.arange(len(tiny))] = -np.inf
+            top = logs.max(0)
+            rest[tiny] = top + np.log(np.exp(logs - top).sum(0))
+        upto = left[rank + 1, pos]
+        upto[first[1:][counts > 0] - 1] = 2.0
+        return counts, size, ids, logp, rest, upto
 
 
 def marked(text: str) -> str:
@@ -100,67 +179,141 @@ def marked(text: str) -> str:
     return MARK + text.replace(MARK, _HIDDEN).replace(" ", MARK)
 
 
-def _gumbel(rng: random.Random) -> float:
-    return -math.log(-math.log(rng.random() or 1e-300))
-
-
-def samples(text: str, lattices: Lattices, k: int, rng: random.Random) -> list[tuple[list[int], float, float, float]]:
-    """Up to ``k`` distinct segmentations as (ids, log probability, perturbed value, inclusion score), best first."""
-    chunks = [lattices.of(c) for c in _chunk.findall(marked(text))]
-    # A node: -value, tie-breaker, log probability, chunk, position, ids as a chain of (earlier, ids).
-    heap, serial = [(-_gumbel(rng), 0, 0.0, 0, 0, None)], 0
-    done = []
-    while heap and len(done) < k:
-        value, _, logp, c, i, chain = heapq.heappop(heap)
-        value = -value
-        wanted = k + 1 - len(done)
-        bound, settled = None, False
-        while c < len(chunks):
-            lattice = chunks[c]
-            edges = lattice[i]
-            if i == 0 and not settled and len(heap) >= wanted - 1 > 0:
-                heap = heapq.nsmallest(wanted - 1, heap)
-                bound = -heap[-1][0]
-                settled = logp - bound < -BEYOND
-            if len(edges) == 1:
-                best = edges[0]
-            elif settled:
-                r, at = rng.random(), 0
-                while at < len(edges) - 1 and (r := r - math.exp(edges[at][2])) > 0:
-                    at += 1
-                best = edges[at]
-            else:
-                perturbed = [logp + e[2] + _gumbel(rng) for e in edges]
-                top = max(perturbed)
-                at = perturbed.index(top)
-                best = edges[at]
-                for x, e in enumerate(edges):
-                    if x != at:
-                        # Under the condition that the largest of the children is this node's value.
-                        v = value - perturbed[x] + math.log1p(-math.exp(perturbed[x] - top)) if perturbed[x] < top else math.inf
-                        mine = value - max(v, 0.0) - math.log1p(math.exp(-abs(v)))
-                        if bound is None or mine > bound:
-                            serial += 1
-                            j, ids, step = e
-                            heap.append((-mine, serial, logp + step, c, j, (chain, ids)))
-                            if len(heap) > 4 * wanted:
-                                heap = heapq.nsmallest(wanted - 1, heap)
-                                bound = -heap[-1][0]
-            j, ids, step = best
-            chain = (chain, ids)
-            logp += step
-            i = j
-            if i == len(lattice):
-                # The position after a chunk is the start of the next one.
-                c, i = c + 1, 0
-        done.append((_ids(chain), logp, value))
-        heap = heapq.nsmallest(k + 1 - len(done), _at_chunk_starts(heap, chunks))
-    threshold = -heap[0][0] if heap else -math.inf
-    return [(ids, logp, value, _inclusion(logp - threshold)) for ids, logp, value in done]
-
-
-def _at_chunk_starts(heap: list, chunks: list) -> list:
-    return [(v, s, p, c + 1, 0, h) if c < len(chunks) and i == len(chunks[c]) else (v, s, p, c, i, h) for v, s, p, c, i, h in heap]
+class _Text:
+    """The search of one text: its chunks as places in the batch, its open nodes and its paths.
+
+    An open node stands for all segmentations that share a path up to a position and differ there. It is (-value, tie-breaker,
+    the path's edges before, log probability before, chunk, position, excluded edges).
+    """
+
+    def __init__(self, low: int, high: int, begin: int, end: int, rng: random.Random):
+        self.low, self.high, self.begin, self.end = low, high, begin, end
+        self.rng = np.random.Generator(np.random.PCG64(rng.getrandbits(64)))
+        self.value = -math.log(self.rng.standard_exponential())
+        self.heap: list[tuple] = []
+        self.done: list[tuple[np.ndarray, float, float]] = []
+        self.serial = 0
+        # Where the next path leaves the known: edges before, log probability, chunk, position (None: the chunk's start).
+        self.at = (np.zeros(0, np.int64), 0.0, low, None)
+
+    def push(self, value: float, *node) -> None:
+        if value > -math.inf:
+            self.serial += 1
+            self.heap.append((-value, self.serial, *node))
+
+    def open(self, lattices: Lattices, chunk: np.ndarray) -> bool:
+        """Takes the best open node and draws its choice; false if none is left."""
+        if not self.heap:
+            return False
+        value, _, path, logp, c, p, excluded = heapq.heappop(self.heap)
+        self.value = -value
+        low, high = int(lattices.first[p]), int(lattices.first[p + 1])
+        logs = lattices.logp[low:high].copy()
+        logs[[e - low for e in excluded]] = -np.inf
+        chances = np.exp(logs - logs.max())
+        ends = np.cumsum(chances)
+        at = int(min(np.searchsorted(ends, self.rng.random() * ends[-1], "right"), np.flatnonzero(chances)[-1]))
+        logs[at] = -np.inf
+        top = float(logs.max())
+        if top > -math.inf:
+            others = top + math.log(np.exp(logs - top).sum())
+            self.push(float(truncated(logp + others, self.value, self.rng.standard_exponential())), path, logp, c, p, excluded | {low + at})
+        edge = low + at
+        p += int(lattices.size[edge])
+        c, p = (c + 1, None) if p == lattices.end[chunk[c]] else (c, p)
+        self.at = (np.append(path, edge), logp + float(lattices.logp[edge]), c, p)
+        return True
+
+    def walked(self, lattices: Lattices, edges: np.ndarray, owner: np.ndarray, places: np.ndarray, noise: np.ndarray, wanted: int) -> None:
+        """Notes the drawn rest of the path, and the ``wanted`` best open nodes."""
+        before, logp, _, _ = self.at
+        ahead = logp + np.cumsum(lattices.logp[edges])
+        here = np.concatenate([[logp], ahead[:-1]]) if len(edges) else ahead
+        values = truncated(here + lattices.rest[edges], self.value, noise)
+        path = np.concatenate([before, edges])
+        for x in (np.argpartition(-values, wanted)[:wanted] if len(values) > wanted else np.arange(len(values))).tolist():
+            self.push(float(values[x]), path[: len(before) + x], float(here[x]), int(owner[x]), int(places[x]), frozenset([int(edges[x])]))
+        self.heap = heapq.nsmallest(wanted, self.heap)
+        self.done.append((path, float(ahead[-1]) if len(edges) else logp, self.value))
+
+
+def truncated(location, value, noise):
+    """Gumbel values at the locations, below ``value``, from exponential noise."""
+    return -np.logaddexp(-value, np.log(noise) - location)
+
+
+def _walk(lattices: Lattices, chunk: np.ndarray, offset: np.ndarray, texts: list[_Text], n_chars: int, wanted: int) -> None:
+    """Draws one path for each of the texts from where it stands, all chunks in step."""
+    chance, noise = np.empty(n_chars), np.empty(n_chars)
+    c = np.concatenate([np.arange(t.at[2], t.high) for t in texts])
+    p = lattices.start[chunk[c]]
+    done = 0
+    for t in texts:
+        chance[t.begin : t.end], noise[t.begin : t.end] = t.rng.random(t.end - t.begin), t.rng.standard_exponential(t.end - t.begin)
+        if t.at[3] is not None:
+            p[done] = t.at[3]
+        done += t.high - t.at[2]
+    # An edge for each character at which a piece starts.
+    edge_at, owner_at = np.full(n_chars, -1, np.int64), np.empty(n_chars, np.int64)
+    while len(c):
+        k = chunk[c]
+        char = offset[c] + p - lattices.start[k]
+        draw, edge = chance[char], lattices.first[p]
+        more = np.flatnonzero(draw >= lattices.upto[edge])
+        while len(more):
+            edge[more] += 1
+            more = more[draw[more] >= lattices.upto[edge[more]]]
+        edge_at[char], owner_at[char] = edge, c
+        p = p + lattices.size[edge]
+        left = p < lattices.end[k]
+        c, p = c[left], p[left]
+    starts = np.flatnonzero(edge_at >= 0)
+    edges, owner = edge_at[starts], owner_at[starts]
+    places = lattices.start[chunk[owner]] + starts - offset[owner]
+    drawn = noise[starts]
+    for t, i, j in zip(texts, np.searchsorted(starts, [t.begin for t in texts]).tolist(), np.searchsorted(starts, [t.end for t in texts]).tolist()):
+        t.walked(lattices, edges[i:j], owner[i:j], places[i:j], drawn[i:j], wanted)
+
+
+def samples_of(texts: list[str], pieces: Pieces, k: int, rngs: list[random.Random]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text up to ``k`` distinct segmentations as (ids, log probability, perturbed value, inclusion score), best first."""
+    number: dict[str, int] = {}
+    chunk, found, low, begin = [], [], 0, 0
+    for text, rng in zip(texts, rngs):
+        own = [number.setdefault(c, len(number)) for c in _chunk.findall(marked(text))]
+        chunk.append(np.array(own, np.int64))
+        size = len(text) + 1
+        found.append(_Text(low, low + len(own), begin, begin + size, rng))
+        low, begin = low + len(own), begin + size
+    chunk = np.concatenate(chunk)
+    with np.errstate(divide="ignore"):
+        lattices = Lattices(pieces, list(number))
+        offset = np.concatenate([[0], np.cumsum((lattices.end - lattices.start)[chunk])])
+        going = found
+        for wanted in range(k, 0, -1):
+            _walk(lattices, chunk, offset, going, begin, wanted)
+            going = [t for t in going if wanted > 1 and t.open(lattices, chunk)]
+            if not going:
+                break
+    return [[(_ids(pieces, lattices.id[path]), logp, value, _inclusion(logp + t.heap[0][0] if t.heap else math.inf)) for path, logp, value in t.done] for t in found]
+
+
+def samples(text: str, pieces: Pieces, k: int, rng: random.Random) -> list[tuple[list[int], float, float, float]]:
+    """``samples_of`` one text, with the ids as a list."""
+    return [(ids.tolist(), *x) for ids, *x in samples_of([text], pieces, k, [rng])[0]]
+
+
+def _ids(pieces: Pieces, ids: np.ndarray) -> np.ndarray:
+    """Ids with characters without a piece as those of their bytes."""
+    bare = np.flatnonzero(ids < 0)
+    if not len(bare):
+        return ids.astype(np.int32)
+    coded = [pieces.bytes_of(-1 - i) for i in ids[bare].tolist()]
+    size = np.ones(len(ids), np.int64)
+    size[bare] = [len(x) for x in coded]
+    out = np.repeat(ids, size)
+    out[out < 0] = [i for x in coded for i in x]
+    return out.astype(np.int32)
 
 
 def _inclusion(x: float) -> float:
@@ -169,24 +322,16 @@ def _inclusion(x: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
-def _ids(chain) -> list[int]:
-    parts = []
-    while chain:
-        chain, ids = chain
-        parts.append(ids)
-    return [i for ids in reversed(parts) for i in ids]
-
-
-def decode(ids: list[int], lattices: Lattices) -> str:
+def decode(ids: list[int], pieces: Pieces) -> str:
     """The text that the ids code."""
-    back = {i: bytes([b]) for b, i in lattices.byte.items()}
-    raw = b"".join(back[i] if i in back else lattices.model.id_to_piece(i).replace(MARK, " ").encode() for i in ids)
+    back = {i: bytes([b]) for b, i in pieces.byte.items()}
+    raw = b"".join(back[i] if i in back else pieces.model.id_to_piece(i).replace(MARK, " ").encode() for i in ids)
     return raw.decode()[1:]
 
 
-def lattices_of(path: str, sharpness: float = SHARPNESS) -> Lattices:
+def pieces_of(path: str, sharpness: float = SHARPNESS) -> Pieces:
     if (path, sharpness) not in _workers:
-        _workers[path, sharpness] = Lattices(path, sharpness)
+        _workers[path, sharpness] = Pieces(path, sharpness)
     return _workers[path, sharpness]
 
 
@@ -194,25 +339,29 @@ def row_random(key: tuple, text: str) -> random.Random:
     return random.Random(hashlib.blake2b(repr(key).encode() + b"\0" + text.encode(), digest_size=8).digest())
 
 
-_ADDED = {"sample": pa.int32(), "ids": pa.list_(pa.int32()), "log_probability": pa.float64(), "perturbed": pa.float64(), "log_inclusion": pa.float64()}
+_ADDED = ("sample", "ids", "log_probability", "perturbed", "log_inclusion")
 
 
 def _sample(batches: Iterator[pa.RecordBatch], path: str, k: int, sharpness: float) -> Iterator[pa.RecordBatch]:
-    lattices = lattices_of(path, sharpness)
+    pieces = pieces_of(path, sharpness)
     for batch in batches:
         last = batch.num_columns - 1
-        for low in range(0, batch.num_rows, 256):
-            part = batch.slice(low, 256)
+        sizes = np.cumsum([0, *(len(t.as_py() or "") for t in batch.column(last))])
+        low = 0
+        while low < batch.num_rows:
+            high = max(int(np.searchsorted(sizes, sizes[low] + BATCH_CHARS, "right")) - 1, low + 1)
+            part = batch.slice(low, high - low)
             keys = list(zip(*(part.column(i).to_pylist() for i in range(last))))
-            rows, source = [], []
-            for n, text in enumerate(part.column(last).to_pylist()):
-                text = text or ""
-                for s, (ids, logp, value, inclusion) in enumerate(samples(text, lattices, k, row_random(keys[n], text))):
-                    rows.append((s, ids, logp, value, inclusion))
-                    source.append(n)
-            kept = [part.column(i).take(pa.array(source, pa.int64())) for i in range(last)]
-            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), _ADDED.values())]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*part.schema.names[:last], *_ADDED])
+            texts = [t or "" for t in part.column(last).to_pylist()]
+            found = samples_of(texts, pieces, k, [row_random(key, text) for key, text in zip(keys, texts)])
+            source = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            kept = [part.column(i).take(pa.array(source)) for i in range(last)]
+            ids, *numbers = zip(*(x for one in found for x in one))
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            sample = pa.array([s for one in found for s in range(len(one))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*kept, sample, lists, *[pa.array(c, pa.float64()) for c in numbers]], names=[*part.schema.names[:last], *_ADDED])
+            low = high
 
 
 def encode_sampled(texts: DataFrame, model: str, keep: tuple[str, ...], text: str = "text", k: int = SAMPLES, sharpness: float = SHARPNESS) -> DataFrame:

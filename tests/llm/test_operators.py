@@ -471,18 +471,18 @@ def test_sampled_segmentations(docs, empty):
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    lattices = sampled_pieces.lattices_of(path)
+    pieces = sampled_pieces.pieces_of(path)
     found = sampled_pieces.encode_sampled(docs.filter("doc_id <> 9"), path, keep=("doc_id",)).collect()
     again = sampled_pieces.encode_sampled(docs.filter("doc_id <> 9").repartition(2), path, keep=("doc_id",)).collect()
     assert sorted(map(repr, found)) == sorted(map(repr, again))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     seen = set()
     for r in found:
-        assert sampled_pieces.decode(r["ids"], lattices) == texts[r["doc_id"]] and r["log_inclusion"] <= 0
+        assert sampled_pieces.decode(r["ids"], pieces) == texts[r["doc_id"]] and r["log_inclusion"] <= 0
         assert (r["doc_id"], tuple(r["ids"])) not in seen
         seen.add((r["doc_id"], tuple(r["ids"])))
     # Inverse inclusion chances make the probabilities add up to one.
-    total = [sum(math.exp(p - i) for _, p, _, i in sampled_pieces.samples("thing", lattices, 3, random.Random(s))) for s in range(1500)]
+    total = [sum(math.exp(p - i) for _, p, _, i in sampled_pieces.samples("thing", pieces, 3, random.Random(s))) for s in range(1500)]
     assert abs(sum(total) / len(total) - 1) < 0.03
     assert sampled_pieces.encode_sampled(empty, path, keep=("doc_id",)).count() == 0
 
@@ -491,26 +491,102 @@ def test_sampled_segmentations_are_of_whole_documents(spark):
     import public_tokenizers
 
     folder = "/root/testdata/sf0.001"
-    lattices = sampled_pieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = sampled_pieces.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
     found = {(r["doc_id"], r["sample"]): (r["n_pieces"], r["ids_crc32"]) for r in queries.QUERIES["op7_sampled_pieces"](spark, folder).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert {k for k, _ in found} == set(texts)
     longest = max(texts, key=lambda k: len(texts[k]))
-    for s, (ids, *_) in enumerate(sampled_pieces.samples(texts[longest], lattices, 3, sampled_pieces.row_random((longest,), texts[longest]))):
+    for s, (ids, *_) in enumerate(sampled_pieces.samples(texts[longest], pieces, 3, sampled_pieces.row_random((longest,), texts[longest]))):
         assert found[longest, s] == (len(ids), zlib.crc32(" ".join(map(str, ids)).encode()))
-        assert sampled_pieces.decode(ids, lattices) == texts[longest]
+        assert sampled_pieces.decode(ids, pieces) == texts[longest]
 
 
-def test_remembered_chunks_are_bounded_and_change_nothing(monkeypatch):
+def segmentations_of(text, model, sharpness):
+    """Every segmentation as ids with its log probability, by recursion over the text."""
+    ids = {model.id_to_piece(i): i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))}
+    byte = {model.id_to_piece(i): i for i in range(model.vocab_size()) if model.is_byte(i)}
+    worst = min(model.get_score(i) for i in range(model.vocab_size()))
+    whole = "▁" + text.replace("▁", "\ufffe").replace(" ", "▁")
+
+    def ways(at):
+        if at == len(whole):
+            return [((), 0.0)]
+        out = []
+        for to in range(at + 1, len(whole) + 1):
+            piece = whole[at:to]
+            if piece in ids and "▁" not in piece.lstrip("▁"):
+                out += [((ids[piece], *more), sharpness * model.get_score(ids[piece]) + w) for more, w in ways(to)]
+            elif to == at + 1:
+                raw = piece.replace("\ufffe", "▁").encode()
+                out += [((*(byte[f"<0x{b:02X}>"] for b in raw), *more), sharpness * worst * len(raw) + w) for more, w in ways(to)]
+        return out
+
+    found = ways(0)
+    top = max(w for _, w in found)
+    total = top + math.log(sum(math.exp(w - top) for _, w in found))
+    return {x: w - total for x, w in found}
+
+
+@pytest.mark.parametrize("sharpness", [0.0004, 0.0])
+def test_samples_against_all_segmentations(sharpness):
     import public_tokenizers
 
-    texts = [f"some words {k} and others-{k * k}" for k in range(60)]
-    run = lambda lattices: [sampled_pieces.samples(t, lattices, 3, random.Random(1)) for t in texts]
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    want = run(sampled_pieces.Lattices(path, sampled_pieces.SHARPNESS))
-    monkeypatch.setattr(sampled_pieces, "MEMORY_EDGES", 100)
-    small = sampled_pieces.Lattices(path, sampled_pieces.SHARPNESS)
-    assert run(small) == want and sum(sum(map(len, v)) for v in small.known.values()) == small.known_edges < 300
+    pieces = sampled_pieces.pieces_of(public_tokenizers.path("piece_bpe_32k.model"), sharpness)
+    for text in ("the", "a  b", "é▁漢", "on it"):
+        want = segmentations_of(text, pieces.model, sharpness)
+        for k in (1, 3, len(want) + 2):
+            found = sampled_pieces.samples(text, pieces, k, random.Random(k))
+            assert len({tuple(ids) for ids, *_ in found}) == len(found) == min(k, len(want))
+            assert all(math.isclose(want[tuple(ids)], p, rel_tol=1e-9, abs_tol=1e-9) for ids, p, _, _ in found)
+            assert [v for _, _, v, _ in found] == sorted((v for _, _, v, _ in found), reverse=True)
+            assert k < len(want) or all(x == 0 for *_, x in found)
+    # Without replacement: first and second draws have the chances of drawing one after the other.
+    want, n = segmentations_of("thing", pieces.model, sharpness), 4000
+    first, second = {}, {}
+    for seed in range(n):
+        found = sampled_pieces.samples("thing", pieces, 2, random.Random(seed))
+        for seen, (ids, *_) in zip((first, second), found):
+            seen[tuple(ids)] = seen.get(tuple(ids), 0) + 1
+    for x, p in want.items():
+        p = math.exp(p)
+        later = sum(math.exp(q) * p / (1 - math.exp(q)) for y, q in want.items() if y != x) if len(want) > 1 else 0.0
+        assert abs(first.get(x, 0) / n - p) <= 4 * math.sqrt(p * (1 - p) / n) + 1e-9
+        assert abs(second.get(x, 0) / n - later) <= 4 * math.sqrt(later * (1 - later) / n) + 1e-9
+
+
+def test_inclusion_scores_are_chances_to_exceed_the_next_value():
+    import public_tokenizers
+
+    pieces = sampled_pieces.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    for seed in range(20):
+        most = sampled_pieces.samples("other thing", pieces, 4, random.Random(seed))
+        less = sampled_pieces.samples("other thing", pieces, 1, random.Random(seed))
+        assert less[0][:3] == most[0][:3]
+        threshold = most[1][2]
+        assert abs(math.exp(less[0][3]) - (1 - math.exp(-math.exp(less[0][1] - threshold)))) < 1e-9
+
+
+def test_samples_do_not_depend_on_the_batch(monkeypatch):
+    import public_tokenizers
+
+    pieces = sampled_pieces.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [None, "", *(f"some words {k} and others-{k * k}, 漢字 " * (k % 4) for k in range(40)), "a" * 3000, "word " * 60_000]
+    seeds = lambda: [random.Random(7) for _ in texts]
+    together = sampled_pieces.samples_of([t or "" for t in texts], pieces, 3, seeds())
+    monkeypatch.setattr(sampled_pieces, "BUILD_CHARS", 50)
+    again = sampled_pieces.samples_of([t or "" for t in texts], pieces, 3, seeds())
+    for text, a, b in zip(texts, together, again):
+        alone = sampled_pieces.samples(text or "", pieces, 3, random.Random(7))
+        assert alone == [(x.tolist(), *y) for x, *y in a] == [(x.tolist(), *y) for x, *y in b]
+        assert all(sampled_pieces.decode(ids, pieces) == (text or "") for ids, *_ in alone)
+
+
+def test_sampled_turns_with_nulls_and_repeated_rows(spark, tmp_path):
+    rows = [(1, 0, "user", None), (1, 1, "user", "hello there"), (1, 1, "user", "hello there"), (None, 2, "user", ""), (2, None, None, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = [tuple(r) for r in queries.QUERIES["op7_sampled_turns"](spark, str(tmp_path)).collect()]
+    assert len([r for r in found if r[:2] == (1, 1)]) == 6 and len({r for r in found if r[:2] == (1, 1)}) == 3
+    assert {r[:2] for r in found} == {(1, 0), (1, 1), (None, 2), (2, None)}
 
 
 def test_pipeline(spark, docs, empty, rows):
