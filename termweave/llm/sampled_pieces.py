@@ -10,7 +10,7 @@ log(1 - exp(-exp(logp - threshold))), as importance weights need it.
 
 Only as many open nodes are kept as samples are still wanted, which is exact since every node leads to one value. No piece crosses
 the start of a word mark, so a text is a row of chunks, and the lattice of a chunk is built once for all texts of a batch. The chunks of
-all paths are drawn in step. A row's random numbers come from its key and text alone, one for each character, so neither a repeated
+all paths are drawn in step. A row's random numbers come from its key and text alone, so neither a repeated
 task nor other rows of the batch change its samples.
 
 Texts are coded losslessly: spaces as the word mark after one leading mark, characters without a piece (and the word
@@ -41,6 +41,9 @@ SHARPNESS = 0.0004
 MARK = "▁"
 #: Stands for a word mark of the text itself; no text can hold it.
 _HIDDEN = "\udfff"
+#: What branches off a path whose probability is this many nats below the open nodes cannot beat them: its chance is
+#: below the resolution of the random numbers.
+BEYOND = 45.0
 #: Characters of texts that are sampled together; only a single longer text goes beyond.
 BATCH_CHARS = 1 << 20
 #: Characters of chunks whose lattices are built together; only a single longer chunk goes beyond.
@@ -72,10 +75,27 @@ class Pieces:
         keys = np.array([state << 21 | c for state, c in children], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array(list(children.values()), np.int64)[order], 0)
+        # The state after a first character, -1 for none, unless one is beyond the table.
+        self.root = np.full(1 << 16, -1, np.int64)
+        self.narrow = all(c < len(self.root) - 1 for state, c in children if state == 0)
+        for (state, c), to in children.items():
+            if state == 0 and self.narrow:
+                self.root[c] = to
         self.piece = np.full(len(children) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
         self.score = sharpness * np.array([model.get_score(i) for i in range(model.vocab_size())])
 
+    def step(self, state: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``at`` whose state has a child by the character, and the child."""
+        if self.narrow and len(state) and not state[0]:  # all stand at the root
+            child = self.root[np.minimum(codes, len(self.root) - 1)]
+            hit = child >= 0
+            return at[hit], child[hit]
+        key = state << 21 | codes
+        place = np.searchsorted(self.keys, key)
+        hit = self.keys[place] == key
+        return at[hit], self.child[place[hit]]
+
     def bytes_of(self, code: int) -> list[int]:
         """The ids of a character without a piece."""
         return [self.byte[b] for b in chr(code).replace(_HIDDEN, MARK).encode()]
@@ -84,8 +104,8 @@ class Pieces:
 class Lattices:
     """The lattices of distinct chunks. Position p has the edges ``first[p]`` to ``first[p + 1]``, shorter pieces first.
 
-    An edge has its ``size`` in characters, its ``id`` (-1 - character for one that is coded as bytes), its log chance ``logp``, the
-    log of the others' chance ``rest``, and ``upto``, the chance of it and the edges before it (above 1 for the last).
+    An edge has its position ``place``, its ``size`` in characters, its ``id`` (-1 - character for one that is coded as bytes), its log chance ``logp``
+    and ``upto``, the chance of it and the edges before it (above 1 for the last).
     """
 
     def __init__(self, pieces: Pieces, chunks: list[str]):
@@ -99,8 +119,9 @@ class Lattices:
                 low, have = i, 0
             have += n + 1
         parts.append(self._build(pieces, chunks[low:]))
-        counts, self.size, self.id, self.logp, self.rest, self.upto = map(np.concatenate, zip(*parts))
+        counts, self.size, self.id, self.logp, self.upto = map(np.concatenate, zip(*parts))
         self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.place = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
 
     @staticmethod
     def _build(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, ...]:
@@ -110,10 +131,8 @@ class Lattices:
         n = len(codes)
         at, state, length, found = np.arange(n), np.zeros(n, np.int64), 0, []
         while len(at):
-            key = state << 21 | codes[at + length]
-            place = np.searchsorted(pieces.keys, key)
-            hit = pieces.keys[place] == key
-            at, state, length = at[hit], pieces.child[place[hit]], length + 1
+            at, state = pieces.step(state, codes[at + length], at)
+            length += 1
             ids = pieces.piece[state]
             known = ids >= 0
             if length == 1:
@@ -149,29 +168,24 @@ class Lattices:
         logp = weight + total[pos + size] - total[pos]
         # Sums inside a position, at most ``widest`` edges each.
         rank = np.arange(len(pos)) - first[pos]
-        left = np.zeros((widest + 1, n))
-        left[rank + 1, pos] = np.exp(logp)
-        right = np.zeros((widest + 1, n))
-        right[:-1] = left[1:]
-        for x in range(widest):
-            left[x + 1] += left[x]
-        for x in range(widest - 1, -1, -1):
-            right[x] += right[x + 1]
-        others = left[rank, pos] + right[rank + 1, pos]
-        with np.errstate(divide="ignore"):
-            rest = np.log(others)
-        # Others whose chances are below the range of numbers add up as logarithms.
-        tiny = np.flatnonzero((others < 1e-290) & (counts[pos] > 1))
-        if len(tiny):
-            logs = np.full((widest, n), -np.inf)
-            logs[rank, pos] = logp
-            logs = logs[:, pos[tiny]]
-            logs[rank[tiny], np.arange(len(tiny))] = -np.inf
-            top = logs.max(0)
-            rest[tiny] = top + np.log(np.exp(logs - top).sum(0))
-        upto = left[rank + 1, pos]
+        table = np.zeros((widest, n))
+        table[rank, pos] = np.exp(logp)
+        for x in range(1, widest):
+            table[x] += table[x - 1]
+        upto = table[rank, pos]
         upto[first[1:][counts > 0] - 1] = 2.0
-        return counts, size, ids, logp, rest, upto
+        return counts, size, ids, logp, upto
+
+    def rest(self, places: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The log of the chance of the other edges at each place, as a sum of logarithms: none is too small."""
+        count = self.first[places + 1] - self.first[places]
+        row = np.arange(int(count.max()))[:, None]
+        other = self.first[places] + row
+        logs = np.where((row < count) & (other != edges), self.logp[np.minimum(other, len(self.logp) - 1)], -np.inf)
+        top = logs.max(0)
+        base = np.where(top > -np.inf, top, 0.0)
+        with np.errstate(divide="ignore"):
+            return base + np.log(np.exp(logs - base).sum(0))
 
 
 def marked(text: str) -> str:
@@ -194,7 +208,7 @@ class _Text:
         self.done: list[tuple[np.ndarray, float, float]] = []
         self.serial = 0
         # Where the next path leaves the known: edges before, log probability, chunk, position (None: the chunk's start).
-        self.at = (np.zeros(0, np.int64), 0.0, low, None)
+        self.at = (np.zeros(0, np.int32), 0.0, low, None)
 
     def push(self, value: float, *node) -> None:
         if value > -math.inf:
@@ -221,19 +235,29 @@ class _Text:
         edge = low + at
         p += int(lattices.size[edge])
         c, p = (c + 1, None) if p == lattices.end[chunk[c]] else (c, p)
-        self.at = (np.append(path, edge), logp + float(lattices.logp[edge]), c, p)
+        self.at = (np.append(path, np.int32(edge)), logp + float(lattices.logp[edge]), c, p)
         return True
 
-    def walked(self, lattices: Lattices, edges: np.ndarray, owner: np.ndarray, places: np.ndarray, noise: np.ndarray, wanted: int) -> None:
-        """Notes the drawn rest of the path, and the ``wanted`` best open nodes."""
+    def walked(self, lattices: Lattices, offset: np.ndarray, starts: np.ndarray, edges: np.ndarray, wanted: int) -> None:
+        """Notes the drawn rest of the path, and the ``wanted`` best open nodes: what branches off where a piece starts."""
         before, logp, _, _ = self.at
         ahead = logp + np.cumsum(lattices.logp[edges])
         here = np.concatenate([[logp], ahead[:-1]]) if len(edges) else ahead
-        values = truncated(here + lattices.rest[edges], self.value, noise)
         path = np.concatenate([before, edges])
-        for x in (np.argpartition(-values, wanted)[:wanted] if len(values) > wanted else np.arange(len(values))).tolist():
-            self.push(float(values[x]), path[: len(before) + x], float(here[x]), int(owner[x]), int(places[x]), frozenset([int(edges[x])]))
         self.heap = heapq.nsmallest(wanted, self.heap)
+        low, high = 0, 512
+        while low < len(edges):
+            part = slice(low, high)
+            places = lattices.place[edges[part]]
+            location = here[part] + lattices.rest(places, edges[part])
+            values = truncated(location, self.value, self.rng.standard_exponential(len(places)))
+            for x in (np.argpartition(-values, wanted)[:wanted] if len(values) > wanted else np.arange(len(values))).tolist():
+                c = int(np.searchsorted(offset, starts[low + x], "right")) - 1
+                self.push(float(values[x]), path[: len(before) + low + x], float(here[low + x]), c, int(places[x]), frozenset([int(edges[low + x])]))
+            self.heap = heapq.nsmallest(wanted, self.heap)
+            if len(self.heap) == wanted and here[part][-1] < -self.heap[-1][0] - BEYOND:
+                break
+            low, high = high, 2 * high
         self.done.append((path, float(ahead[-1]) if len(edges) else logp, self.value))
 
 
@@ -244,35 +268,33 @@ def truncated(location, value, noise):
 
 def _walk(lattices: Lattices, chunk: np.ndarray, offset: np.ndarray, texts: list[_Text], n_chars: int, wanted: int) -> None:
     """Draws one path for each of the texts from where it stands, all chunks in step."""
-    chance, noise = np.empty(n_chars), np.empty(n_chars)
+    chance = np.empty(n_chars)
     c = np.concatenate([np.arange(t.at[2], t.high) for t in texts])
     p = lattices.start[chunk[c]]
     done = 0
     for t in texts:
-        chance[t.begin : t.end], noise[t.begin : t.end] = t.rng.random(t.end - t.begin), t.rng.standard_exponential(t.end - t.begin)
+        chance[t.begin : t.end] = t.rng.random(t.end - t.begin)
         if t.at[3] is not None:
             p[done] = t.at[3]
         done += t.high - t.at[2]
     # An edge for each character at which a piece starts.
-    edge_at, owner_at = np.full(n_chars, -1, np.int64), np.empty(n_chars, np.int64)
-    while len(c):
-        k = chunk[c]
-        char = offset[c] + p - lattices.start[k]
+    edge_at = np.full(n_chars, -1, np.int32)
+    last, shift = lattices.end[chunk[c]], offset[c] - lattices.start[chunk[c]]
+    while len(p):
+        char = p + shift
         draw, edge = chance[char], lattices.first[p]
         more = np.flatnonzero(draw >= lattices.upto[edge])
         while len(more):
             edge[more] += 1
             more = more[draw[more] >= lattices.upto[edge[more]]]
-        edge_at[char], owner_at[char] = edge, c
+        edge_at[char] = edge
         p = p + lattices.size[edge]
-        left = p < lattices.end[k]
-        c, p = c[left], p[left]
+        left = p < last
+        p, last, shift = p[left], last[left], shift[left]
     starts = np.flatnonzero(edge_at >= 0)
-    edges, owner = edge_at[starts], owner_at[starts]
-    places = lattices.start[chunk[owner]] + starts - offset[owner]
-    drawn = noise[starts]
+    edges = edge_at[starts]
     for t, i, j in zip(texts, np.searchsorted(starts, [t.begin for t in texts]).tolist(), np.searchsorted(starts, [t.end for t in texts]).tolist()):
-        t.walked(lattices, edges[i:j], owner[i:j], places[i:j], drawn[i:j], wanted)
+        t.walked(lattices, offset, starts[i:j], edges[i:j], wanted)
 
 
 def samples_of(texts: list[str], pieces: Pieces, k: int, rngs: list[random.Random]) -> list[list[tuple[np.ndarray, float, float, float]]]:
