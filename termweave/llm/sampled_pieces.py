@@ -75,19 +75,17 @@ class Pieces:
         keys = np.array([state << 21 | c for state, c in children], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array(list(children.values()), np.int64)[order], 0)
-        # The state after a first character, -1 for none, unless one is beyond the table.
-        self.root = np.full(1 << 16, -1, np.int64)
-        self.narrow = all(c < len(self.root) - 1 for state, c in children if state == 0)
-        for (state, c), to in children.items():
-            if state == 0 and self.narrow:
-                self.root[c] = to
+        # The state after a first character, -1 for none and for all beyond.
+        first = {c: to for (state, c), to in children.items() if state == 0}
+        self.root = np.full(max(first) + 2, -1, np.int64)
+        self.root[list(first)] = list(first.values())
         self.piece = np.full(len(children) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
         self.score = sharpness * np.array([model.get_score(i) for i in range(model.vocab_size())])
 
     def step(self, state: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of ``at`` whose state has a child by the character, and the child."""
-        if self.narrow and len(state) and not state[0]:  # all stand at the root
+        if len(state) and not state[0]:  # all stand at the root
             child = self.root[np.minimum(codes, len(self.root) - 1)]
             hit = child >= 0
             return at[hit], child[hit]
