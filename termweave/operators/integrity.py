@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.runtime import small_table
+
 # Foreign keys (table, column, parent table, parent column).
 FOREIGN_KEYS = (
     ("mapping", "event_type_id", "event_type", "event_type_id"),
@@ -75,52 +77,64 @@ REQUIRED = {
 }
 
 
-def _line(rule: str, table: str, columns: str):
-    return [F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), F.lit(columns).alias("columns")]
+def _key(*columns: str):
+    """The values as text, NULL if one of them is NULL."""
+    parts = [F.col(c).cast("string") for c in columns]
+    known = [F.col(c).isNotNull() for c in columns]
+    return F.when(reduce(lambda a, b: a & b, known), F.array(*parts))
 
 
-def missing_parents(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    """Number of child rows without parent. Counting per value first keeps a frequent value to one row."""
-    used = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return used.join(parent.select(F.col(key).alias("k")), "k", "left_anti").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("violations")
-    )
+def _lines(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """The rules (rule, table_name, columns) on the tables given."""
+    lines = [("foreign_key", child, column) for child, column, parent, _ in FOREIGN_KEYS if child in tables and parent in tables]
+    lines += [("unique", table, ",".join(columns)) for table, columns in UNIQUE_KEYS if table in tables]
+    return lines + [("not_null", table, column) for table, columns in REQUIRED.items() if table in tables for column in columns]
 
 
-def repeated_keys(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Number of keys held by more than one row; keys with a NULL part never collide."""
-    return (
-        df.dropna(subset=list(columns))
-        .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .agg(F.count(F.lit(1)).alias("violations"))
-    )
+def _uses(name: str, table: DataFrame, lines: list[tuple[str, str, str]], parents: Mapping[tuple[str, str], tuple[str, str]]) -> DataFrame:
+    """What one scan of a table has to say: (space, key, line).
 
-
-def missing_values(df: DataFrame, table: str, columns: tuple[str, ...]) -> DataFrame:
-    """NULL count of each required column, all in one pass over the table."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    return counts.unpivot([], list(columns), "columns", "violations").select(
-        F.lit("not_null").alias("rule"), F.lit(table).alias("table_name"), "columns", "violations"
-    )
+    A space is what keys must agree in: a table's key columns. ``line`` is the rule's place for a foreign key's use of
+    a parent's key, -1 for a key that the table itself holds, and -1 for each NULL in the space of its rule.
+    """
+    said = []
+    for place, (rule, owner, columns) in enumerate(lines):
+        if owner != name:
+            continue
+        parts = columns.split(",")
+        if rule == "foreign_key":
+            said.append(("/".join(parents[owner, columns]), _key(*parts), place))
+        elif rule == "unique":
+            said.append((f"{owner}/{columns}", _key(*parts), -1))
+        else:
+            null = F.when(F.col(columns).isNull(), F.array().cast("array<string>"))
+            said.append((f"{owner}/{columns}/NULL", null, -1))
+    rows = [F.struct(F.lit(space).alias("space"), key.alias("key"), F.lit(line).alias("line")) for space, key, line in said]
+    return table.select(F.explode(F.array(*rows)).alias("x")).select("x.*").filter("key IS NOT NULL")
 
 
 def audit(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Violations per rule for the tables given; rules on other tables are left out."""
-    report = [
-        missing_parents(tables[child], column, tables[parent], key).select(
-            *_line("foreign_key", child, column), "violations"
-        )
-        for child, column, parent, key in FOREIGN_KEYS
-        if child in tables and parent in tables
-    ]
-    report += [
-        repeated_keys(tables[table], columns).select(*_line("unique", table, ",".join(columns)), "violations")
-        for table, columns in UNIQUE_KEYS
-        if table in tables
-    ]
-    report += [
-        missing_values(tables[table], table, columns) for table, columns in REQUIRED.items() if table in tables
-    ]
-    return reduce(lambda a, b: a.unionByName(b), report)
+    """Violations per rule for the tables given; rules on other tables are left out.
+
+    foreign_key counts rows whose value no parent row has, unique the keys that more than one row holds (a key with a NULL part never
+    collides), not_null the NULLs. Each table is scanned once: all its keys, uses of other tables' keys and NULLs go into one
+    column and are counted per value in one shuffle, where a frequent value is one row of each task.
+    """
+    if not tables:
+        raise ValueError("no tables to audit")
+    lines = _lines(tables)
+    spark = next(iter(tables.values())).sparkSession
+    parents = {(child, column): (parent, key) for child, column, parent, key in FOREIGN_KEYS}
+    said = reduce(lambda a, b: a.unionByName(b), [_uses(name, table, lines, parents) for name, table in tables.items() if any(o == name for _, o, _ in lines)])
+    foreign = [place for place, (rule, *_) in enumerate(lines) if rule == "foreign_key"]
+    counts = said.groupBy("space", "key").agg(
+        F.count_if(F.col("line") == -1).alias("own"), *[F.count_if(F.col("line") == place).alias(f"use{place}") for place in foreign]
+    )
+    named = {f"{owner}/{columns}" + ("/NULL" if rule == "not_null" else ""): place for place, (rule, owner, columns) in enumerate(lines) if rule != "foreign_key"}
+    place_of = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])[F.col("space")]
+    own = F.when(F.col("space").endswith("/NULL"), F.col("own")).otherwise((F.col("own") > 1).cast("long"))
+    found = [F.struct(place_of.alias("line"), own.alias("n"))]
+    found += [F.struct(F.lit(place).alias("line"), F.when(F.col("own") == 0, F.col(f"use{place}")).otherwise(0).alias("n")) for place in foreign]
+    violations = counts.select(F.explode(F.array(*found)).alias("x")).select("x.*").filter("n > 0").groupBy("line").agg(F.sum("n").alias("violations"))
+    report = small_table(spark, [(place, *line) for place, line in enumerate(lines)], "line int, rule string, table_name string, columns string")
+    return report.join(violations, "line", "left").select("rule", "table_name", "columns", F.coalesce("violations", F.lit(0).cast("long")).alias("violations"))

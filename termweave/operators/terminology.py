@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
 from termweave.operators.tableops import page
-from termweave.runtime import ranked
+from termweave.runtime import ranked, staging_path
 from termweave.schemas import ACCEPTABLE, DOSE_FORM, IS_A, PREFERRED, PRODUCT_PARTS
 
 # Pieces in one part of a definition text.
@@ -84,6 +85,47 @@ def order_by_name(df: DataFrame, *keys: str, name: str = "default_term", tiebrea
 # --- search ---------------------------------------------------------------------------------
 
 
+class TermIndex(NamedTuple):
+    """Tokens with their number of descriptions, and (token, description_id)."""
+
+    vocabulary: DataFrame
+    postings: DataFrame
+
+
+def term_index(descriptions: DataFrame) -> TermIndex:
+    """An inverted index of the terms, written once below the shared folder.
+
+    Tokens are the lower-cased parts between blanks and line breaks; a null term has none. The postings lie in
+    ranges of (token, description_id), so a token's rows are few row groups, and a frequent token fills several files.
+    """
+    spark = descriptions.sparkSession
+    parts = F.explode(F.array_distinct(F.split(F.lower("term"), "[ \\t\\n\\r]+")))
+    pairs = descriptions.select("description_id", parts.alias("token")).filter("token <> ''").select("token", "description_id")
+    path = staging_path(spark, "term-index")
+    pairs.repartitionByRange("token", "description_id").sortWithinPartitions("token", "description_id").write.parquet(f"{path}/postings")
+    postings = spark.read.schema(pairs.schema).parquet(f"{path}/postings")
+    counted = postings.groupBy("token").agg(F.count(F.lit(1)).alias("descriptions"))
+    counted.write.parquet(f"{path}/vocabulary")
+    return TermIndex(spark.read.schema(counted.schema).parquet(f"{path}/vocabulary"), postings)
+
+
+def indexed_matches(index: TermIndex, words: Sequence[str]) -> DataFrame:
+    """``description_id`` of the terms that hold every word, from the rarest word on.
+
+    A word without blanks lies in a text exactly if it lies in one of its tokens, so the vocabulary is searched instead of
+    the texts. Only one number for each word comes to the driver.
+    """
+    words = sorted(set(words))
+    holds = {word: F.col("token").contains(word) for word in words}
+    sizes = index.vocabulary.agg(*[F.sum(F.when(holds[w], F.col("descriptions"))) for w in words]).first()
+    found = None
+    for _, word in sorted((size or 0, word) for size, word in zip(sizes, words)):
+        tokens = index.vocabulary.filter(holds[word]).select("token")
+        owners = index.postings.join(tokens, "token", "left_semi").select("description_id")
+        found = owners.distinct() if found is None else found.join(owners, "description_id", "left_semi")
+    return found
+
+
 def search_descriptions(
     descriptions: DataFrame,
     phrase: str,
@@ -92,9 +134,14 @@ def search_descriptions(
     skip: int = 0,
     limit: int | None = None,
     group_by_concept: bool = False,
+    index: TermIndex | None = None,
+    refset: DataFrame | None = None,
 ) -> DataFrame:
     """Descriptions that match a phrase, with facet filters, in display order.
 
+    ``refset`` holds the concept_id of a reference set's members (``members_of``): only their descriptions are found.
+    With an ``index`` of the same descriptions, partial mode looks the words up there instead of in every term.
+
     Partial mode looks for every word of the normalised phrase; regex mode for the pattern. Phrases
     under three characters match nothing. Both modes put short terms first. With
     ``group_by_concept`` the first match of each concept stands for it. Without ``limit`` all matches
@@ -107,7 +154,13 @@ def search_descriptions(
         hit = term.rlike(phrase.strip())
     else:
         hit = fn.contains_all_words(term, phrase.strip().replace("(", "", 1).replace(")", "", 1).lower())
-    found = descriptions.filter(hit)
+    words = phrase.strip().replace("(", "", 1).replace(")", "", 1).lower().split()
+    if index is not None and mode != "regex" and len(phrase) >= 3 and words:
+        found = descriptions.join(indexed_matches(index, words), "description_id", "left_semi")
+    else:
+        found = descriptions.filter(hit)
+    if refset is not None:
+        found = found.join(refset.select("concept_id"), "concept_id", "left_semi").select(*descriptions.columns)
     for column, value in (filters or {}).items():
         found = found.filter(F.col(column) == value)
     if group_by_concept:
@@ -157,6 +210,15 @@ def facets(found: DataFrame, refsets: DataFrame | None = None) -> DataFrame:
     return counted if refsets is None else counted.unionByName(members)
 
 
+def name_facets(counts: DataFrame, names: DataFrame) -> DataFrame:
+    """Facet values with the ``default_term`` that ``names`` (facet, value, default_term) gives them, NULL when unknown.
+
+    Of several names of a value the first in order is shown.
+    """
+    one = names.groupBy("facet", "value").agg(F.min("default_term").alias("default_term"))
+    return counts.join(one, ["facet", "value"], "left")
+
+
 def order_facets(counts: DataFrame) -> DataFrame:
     """Facet values by count, highest first, numbered over the whole result."""
     return ranked(counts, F.col("facet"), F.col("matches").desc(), F.col("value"))

@@ -111,7 +111,9 @@ def v_mapping(
 ) -> DataFrame:
     """Mappings with both concepts, mapper and event name; ``concepts`` is ``v_concept``.
 
-    The destination is outer-joined. Without one, the dialect stored on the mapping is shown.
+    The destination is outer-joined. Without one, the dialect stored on the mapping is shown. Mappings without a
+    destination meet nothing, whatever their key, so each has a key of its own below zero: NULL would send all of
+    them to one task. Ids of concepts are positive.
     """
 
     def side(prefix: str) -> DataFrame:
@@ -120,8 +122,9 @@ def v_mapping(
 
     source, destination = side("source"), side("destination")
     resolved = destination.withColumnsRenamed(
-        {"destination_dialect_id": "own_dialect_id", "destination_dialect_name": "own_dialect_name"}
+        {"destination_concept_id": "_key", "destination_dialect_id": "own_dialect_id", "destination_dialect_name": "own_dialect_name"}
     )
+    key = F.coalesce(F.col("destination_concept_id").cast("long"), -1 - F.col("mapping_id").cast("long"))
     stored = dialect.select(
         F.col("dialect_id").alias("stored_dialect_id"), F.col("dialect_name").alias("stored_dialect_name")
     )
@@ -132,7 +135,8 @@ def v_mapping(
         .join(users, "user_id")
         .join(stored, "stored_dialect_id", "left")
         .join(source, "source_concept_id")
-        .join(resolved, "destination_concept_id", "left")
+        .withColumn("_key", key)
+        .join(resolved.withColumn("_key", F.col("_key").cast("long")), "_key", "left")
     )
     found = F.col("destination_code_id").isNotNull()
     return joined.select(
@@ -147,7 +151,7 @@ def v_mapping(
         "session_id",
         *source.columns,
         "destination_concept_id",
-        *[c for c in resolved.columns if c not in ("destination_concept_id", "own_dialect_id", "own_dialect_name")],
+        *[c for c in resolved.columns if c not in ("_key", "own_dialect_id", "own_dialect_name")],
         # stored_dialect_name is NULL when the dialect does not exist, and then so is the id shown
         F.when(found, F.col("own_dialect_id"))
         .when(F.col("stored_dialect_name").isNotNull(), F.col("stored_dialect_id"))

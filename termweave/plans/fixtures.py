@@ -899,6 +899,23 @@ def concept_refsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["concept_refset"] = ((), "SELECT DISTINCT 'q' || quality || 't' || toxic AS refset_id, doc_id // 3 AS concept_id FROM labels")
 
 
+@functools.cache
+def facet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the reference sets of good descriptions, and of modules with English texts."""
+    labels, documents = given(spark, sf_dir, "labels"), given(spark, sf_dir, "documents")
+    key = F.concat(F.lit("q1t"), F.col("toxic").cast("string"))
+    sets = labels.filter("quality = 1").select(F.lit("refset").alias("facet"), key.alias("value"), F.concat(F.lit("Good, toxic "), F.col("toxic").cast("string")).alias("default_term"))
+    modules = documents.filter("lang = 'en' AND source IS NOT NULL").select(F.lit("module").alias("facet"), F.col("source").alias("value"), F.upper("source").alias("default_term"))
+    return sets.unionByName(modules).distinct()
+
+
+SQL["facet_name"] = (
+    (),
+    """SELECT DISTINCT 'refset' AS facet, 'q1t' || toxic AS value, 'Good, toxic ' || toxic AS default_term FROM labels WHERE quality = 1
+  UNION SELECT DISTINCT 'module', source, upper(source) FROM documents WHERE lang = 'en' AND source IS NOT NULL""",
+)
+
+
 @functools.cache
 def customer_refsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given(spark, sf_dir, "customer").select(

@@ -10,8 +10,9 @@ from termweave.operators import hierarchy as hier
 from termweave.operators import terminology as term
 from termweave.plans import fixtures as fx
 from termweave.plans.registry import query
-from termweave.runtime import small_table
+from termweave.runtime import ranked, small_table, staging_path
 from termweave.schemas import EXTRA_ATTRIBUTES, IS_A, PRODUCT_PARTS
+from termweave.sources import sinks
 
 # --- text -----------------------------------------------------------------------------------
 
@@ -169,6 +170,37 @@ def search_by_concept(spark, sf_dir):
     return found.select(*FOUND.split(", "))
 
 
+@query(
+    "term_index",
+    "description",
+    sql=r"""SELECT token, count(*) AS descriptions FROM (
+    SELECT DISTINCT description_id, unnest(regexp_split_to_array(lower(term), '[ \t\n\r]+')) AS token FROM description) WHERE token <> '' GROUP BY token""",
+)
+def term_index(spark, sf_dir):
+    return term.term_index(fx.descriptions(spark, sf_dir)).vocabulary
+
+
+@query("search_indexed", "description", sql=f"SELECT {FOUND} FROM description WHERE {HIT_SQL}")
+def search_indexed(spark, sf_dir):
+    """All words of the phrase, looked up in the inverted index."""
+    every = fx.descriptions(spark, sf_dir)
+    return term.search_descriptions(every, WORDS, index=term.term_index(every)).select(*FOUND.split(", "))
+
+
+@query(
+    "search_in_refset",
+    "description",
+    "concept_refset",
+    sql=f"""SELECT {FOUND}, row_number() OVER (ORDER BY description_id) AS position FROM description
+  WHERE {HIT_SQL} AND lang = 'en' AND concept_id IN (SELECT concept_id FROM concept_refset WHERE refset_id = 'q1t0')""",
+)
+def search_in_refset(spark, sf_dir):
+    """Matches in one language whose concept belongs to one reference set, numbered by id."""
+    members = con.members_of(fx.concept_refsets(spark, sf_dir), "q1t0")
+    found = term.search_descriptions(fx.descriptions(spark, sf_dir), WORDS, filters={"lang": "en"}, refset=members)
+    return ranked(found.select(*FOUND.split(", ")), F.col("description_id"))
+
+
 @query(
     "search_identifier",
     "description",
@@ -216,6 +248,19 @@ def order_facets(spark, sf_dir):
     return term.order_facets(_facets(spark, sf_dir))
 
 
+@query(
+    "facets_named",
+    "description",
+    "concept_refset",
+    "facet_name",
+    sql=f"""SELECT facet, value, matches, default_term, row_number() OVER (ORDER BY facet, matches DESC, value) AS position
+  FROM ({FACET_SQL}) LEFT JOIN facet_name USING (facet, value)""",
+)
+def facets_named(spark, sf_dir):
+    """Facet values with display names, most frequent first."""
+    return term.order_facets(term.name_facets(_facets(spark, sf_dir), fx.facet_names(spark, sf_dir)))
+
+
 # --- relationships --------------------------------------------------------------------------
 
 
@@ -463,12 +508,15 @@ CONDITION_SQL = {
 }
 
 
+COMBINE_SQL = f"""(({CONDITION_SQL["below R1"]} INTERSECT {CONDITION_SQL["machinery"]}) UNION ({CONDITION_SQL["furniture"]}))
+  EXCEPT (({CONDITION_SQL["below N3"]}) UNION ({CONDITION_SQL["household"]} INTERSECT {CONDITION_SQL["below R1"]}))"""
+
+
 @query(
     "combine",
     "closure",
     "member",
-    sql=f"""(({CONDITION_SQL["below R1"]} INTERSECT {CONDITION_SQL["machinery"]}) UNION ({CONDITION_SQL["furniture"]}))
-  EXCEPT (({CONDITION_SQL["below N3"]}) UNION ({CONDITION_SQL["household"]} INTERSECT {CONDITION_SQL["below R1"]}))""",
+    sql=COMBINE_SQL,
 )
 def combine(spark, sf_dir):
     """(below R1 AND machinery OR furniture) MINUS (below N3 OR household AND below R1)."""
@@ -478,6 +526,14 @@ def combine(spark, sf_dir):
     )
 
 
+@query("export_constraint", "closure", "member", "node", sql=f"SELECT concept_id, default_term FROM node JOIN ({COMBINE_SQL}) USING (concept_id)")
+def export_constraint(spark, sf_dir):
+    """The complete result of ``combine`` with names as CSV, read back."""
+    named = combine(spark, sf_dir).join(fx.node_names(spark, sf_dir), "concept_id").select("concept_id", "default_term")
+    path = sinks.export(named, staging_path(spark, "constraint"))
+    return spark.read.option("header", True).schema("concept_id string, default_term string").csv(path)
+
+
 @query(
     "condition_counts",
     "closure",

@@ -227,6 +227,34 @@ def test_phrases_under_three_characters_find_nothing(spark):
     assert term.search_descriptions(df, "^on.*rt$", mode="regex").count() == 1
 
 
+def test_index_finds_what_the_scan_finds(spark):
+    terms = ["On the Heart", "heart", "the  the\nhearty", None, "", "art of the (heart)", "ÉTÉ heart\u00a0the", "x"]
+    df = spark.createDataFrame([(k, k // 2, t) for k, t in enumerate(terms)], "description_id long, concept_id long, term string")
+    index = term.term_index(df)
+    assert {r.token: r.descriptions for r in index.vocabulary.collect()}["heart"] == 2
+    for phrase in ("heart", "(heart) THE", "the the", "été", "   ", "he", "", "none of it", "\u00a0the"):
+        for grouped in (False, True):
+            want = ids(term.search_descriptions(df, phrase, group_by_concept=grouped).select("description_id"))
+            assert ids(term.search_descriptions(df, phrase, group_by_concept=grouped, index=index).select("description_id")) == want, phrase
+    empty = term.term_index(df.limit(0))
+    assert term.search_descriptions(df.limit(0), "heart", index=empty).count() == 0
+
+
+def test_search_in_a_reference_set(spark):
+    df = spark.createDataFrame([(1, 1, "the heart"), (2, 2, "the heart"), (3, None, "the heart")], "description_id long, concept_id long, term string")
+    refsets = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "refset_id string, concept_id long")
+    for index in (None, term.term_index(df)):
+        found = term.search_descriptions(df, "heart", index=index, refset=con.members_of(refsets, "a"))
+        assert [tuple(r) for r in found.select(*df.columns).collect()] == [(1, 1, "the heart")]
+        assert term.search_descriptions(df, "heart", index=index, refset=con.members_of(refsets, "c")).count() == 0
+
+
+def test_facets_have_names_where_known(spark):
+    counts = spark.createDataFrame([("refset", "a", 2), ("refset", "b", 1), ("lang", "a", 3)], "facet string, value string, matches long")
+    names = spark.createDataFrame([("refset", "a", "Z"), ("refset", "a", "A"), ("lang", "b", "B")], "facet string, value string, default_term string")
+    assert sorted(tuple(r) for r in term.name_facets(counts, names).collect()) == [("lang", "a", 3, None), ("refset", "a", 2, "A"), ("refset", "b", 1, None)]
+
+
 def test_members_page_past_the_end(spark):
     members = spark.createDataFrame([("r", i) for i in range(5)], "refset_id string, concept_id long")
     rows = term.members_page(members, "r", 3, 10).collect()
@@ -249,3 +277,23 @@ def test_audit_counts_each_kind_of_violation(spark):
     assert report[("foreign_key", "synonym", "code_id")] == 2
     assert report[("unique", "synonym", "code_id,synonym")] == 1
     assert report[("unique", "code", "code_text")] == 0
+
+
+def test_audit_takes_empty_tables_and_dangling_parents(spark):
+    tables = {
+        "code": spark.createDataFrame([], "code_id long, code_text string"),
+        "synonym": spark.createDataFrame([(1, 9, "s", None), (1, None, None, 2)], "synonym_id int, code_id int, synonym string, dialect_id long"),
+    }
+    report = {(r.rule, r.table_name, r.columns): r.violations for r in integrity.audit(tables).collect()}
+    assert report[("foreign_key", "synonym", "code_id")] == 1 and ("foreign_key", "synonym", "dialect_id") not in report
+    assert report[("unique", "synonym", "synonym_id")] == 1 and report[("unique", "synonym", "code_id,synonym")] == 0
+    assert [report[("not_null", "synonym", c)] for c in ("synonym_id", "code_id", "synonym", "dialect_id")] == [0, 1, 1, 1]
+    assert report[("not_null", "code", "code_text")] == report[("unique", "code", "code_text")] == 0
+
+
+def test_each_table_is_scanned_once_for_the_audit(spark, tmp_path):
+    for name, schema in (("code", "code_id long, code_text string"), ("synonym", "synonym_id long, code_id long, synonym string, dialect_id long")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
+    tables = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in ("code", "synonym")}
+    plan = integrity.audit(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2
