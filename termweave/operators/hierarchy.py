@@ -91,13 +91,40 @@ def closure(edges: DataFrame) -> DataFrame:
     return pairs.filter("ancestor <> descendant")
 
 
+def fold_leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contract a graph: leaves with one parent go into it, round by round, as weight.
+
+    Returns the edges left, the nodes left with their ``weight`` (themselves and all folded into them), and the folded
+    nodes with their final weight. A folded node is below exactly the ancestors of its one parent, so nothing is counted
+    twice; nodes on a cycle or above a node of several parents stay. Each round writes only what is left, and there are as many rounds
+    as the folded trees are high.
+    """
+    nodes = materialise(edges.select(F.explode(F.array("child", "parent")).alias("concept_id")).distinct().withColumn("weight", F.lit(1).cast("long")))
+    edges = materialise(edges.select("child", "parent").distinct())
+    folded = nodes.limit(0)
+    while True:
+        single = edges.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("parents")).filter("parents = 1")
+        inner = edges.select(F.col("parent").alias("child")).distinct()
+        leaves = single.select(F.col("child"), "parent").join(inner, "child", "left_anti")
+        leaves = materialise(leaves.join(nodes.withColumnRenamed("concept_id", "child"), "child"))
+        if leaves.isEmpty():
+            return edges, nodes, folded
+        folded = folded.unionByName(leaves.select(F.col("child").alias("concept_id"), "weight"))
+        gained = leaves.groupBy(F.col("parent").alias("concept_id")).agg(F.sum("weight").alias("gained"))
+        gone = leaves.select(F.col("child").alias("concept_id"))
+        weight = (F.col("weight") + F.coalesce("gained", F.lit(0))).alias("weight")
+        nodes = materialise(nodes.join(gone, "concept_id", "left_anti").join(gained, "concept_id", "left").select("concept_id", weight))
+        edges = materialise(edges.join(leaves.select("child"), "child", "left_anti"))
+
+
 def descendant_counts(edges: DataFrame) -> DataFrame:
     """Number of distinct descendants of every concept, 0 for leaves.
 
-    A concept below several parents is counted once per ancestor, which needs the distinct pairs.
+    Trees below the graph's shared part are folded into weights; pairs of ancestor and descendant are made only for what is left,
+    since a concept below several parents counts once per ancestor.
     """
-    nodes = edges.select(F.explode(F.array("child", "parent")).alias("concept_id")).distinct()
-    counts = closure(edges).groupBy(F.col("ancestor").alias("concept_id")).agg(F.count(F.lit(1)).alias("n"))
-    return nodes.join(counts, "concept_id", "left").select(
-        "concept_id", F.coalesce("n", F.lit(0)).alias("descendants")
-    )
+    left, nodes, folded = fold_leaves(edges)
+    below = closure(left).join(nodes.withColumnRenamed("concept_id", "descendant"), "descendant")
+    sums = below.groupBy(F.col("ancestor").alias("concept_id")).agg(F.sum("weight").alias("n"))
+    own = nodes.join(sums, "concept_id", "left").select("concept_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("descendants"))
+    return own.unionByName(folded.select("concept_id", (F.col("weight") - 1).alias("descendants")))

@@ -754,6 +754,35 @@ def node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@functools.cache
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region, nation, supplier, part and batch: parts have several suppliers, batches one part, and nation 1 lies above its own region."""
+
+    def edge(name: str, child: str, letter: str, parent: str, above: str) -> DataFrame:
+        return given(spark, sf_dir, name).select(
+            F.concat(F.lit(letter), F.col(child).cast("string")).alias("child"),
+            F.concat(F.lit(above), F.col(parent).cast("string")).alias("parent"),
+        )
+
+    first = given(spark, sf_dir, "nation").filter("n_nationkey = 1")
+    return (
+        edge("nation", "n_nationkey", "N", "n_regionkey", "R")
+        .unionByName(edge("supplier", "s_suppkey", "S", "s_nationkey", "N"))
+        .unionByName(edge("lineitem", "l_partkey", "P", "l_suppkey", "S"))
+        .unionByName(edge("part", "p_partkey", "B", "p_partkey", "P"))
+        .unionByName(first.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("child"), F.lit("N1").alias("parent")))
+        .distinct()
+    )
+
+
+SQL["supply_edge"] = (
+    (),
+    """SELECT 'N' || n_nationkey AS child, 'R' || n_regionkey AS parent FROM nation
+  UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier
+  UNION SELECT 'P' || l_partkey, 'S' || l_suppkey FROM lineitem
+  UNION SELECT 'B' || p_partkey, 'P' || p_partkey FROM part
+  UNION SELECT 'R' || n_regionkey, 'N1' FROM nation WHERE n_nationkey = 1""",
+)
 SQL["node"] = (
     (),
     """SELECT 'R' || r_regionkey AS concept_id, r_name AS default_term FROM region

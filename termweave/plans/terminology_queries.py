@@ -445,6 +445,19 @@ def descendant_counts(spark, sf_dir):
     return hier.descendant_counts(fx.is_a_edges(spark, sf_dir))
 
 
+@query(
+    "descendant_counts_shared",
+    "supply_edge",
+    sql="""SELECT concept_id, count(DISTINCT descendant) AS descendants FROM (SELECT child AS concept_id FROM supply_edge UNION SELECT parent FROM supply_edge)
+  LEFT JOIN (WITH RECURSIVE walk AS (SELECT parent AS ancestor, child AS descendant FROM supply_edge
+      UNION SELECT ancestor, child FROM walk JOIN supply_edge ON parent = descendant) SELECT * FROM walk WHERE ancestor <> descendant)
+    ON ancestor = concept_id GROUP BY concept_id""",
+)
+def descendant_counts_shared(spark, sf_dir):
+    """Counts in a graph with shared children and a cycle."""
+    return hier.descendant_counts(fx.supply_edges(spark, sf_dir))
+
+
 # --- constraints ----------------------------------------------------------------------------
 
 

@@ -227,6 +227,31 @@ def test_phrases_under_three_characters_find_nothing(spark):
     assert term.search_descriptions(df, "^on.*rt$", mode="regex").count() == 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_descendant_counts_of_any_graph(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = {(k, rng.randrange(max(1, k - 6), k)) for k in range(2, 40)}
+    edges |= {(rng.randrange(1, 40), rng.randrange(1, 40)) for _ in range(4 * seed)}  # shared children, cycles, loops
+    below = {n: set() for e in edges for n in e}
+    for n in below:
+        stack = [n]
+        while stack:
+            at = stack.pop()
+            fresh = {c for c, p in edges if p == at} - below[n]
+            below[n] |= fresh
+            stack += fresh
+    found = hier.descendant_counts(spark.createDataFrame([*edges, *edges], "child long, parent long"))
+    assert {r.concept_id: r.descendants for r in found.collect()} == {n: len(x - {n}) for n, x in below.items()}
+    left, _, folded = hier.fold_leaves(spark.createDataFrame([*edges], "child long, parent long"))
+    assert seed or (left.count() == 0 and folded.count() == len(below) - 1)
+
+
+def test_descendant_counts_of_no_edges(spark):
+    assert hier.descendant_counts(spark.createDataFrame([], "child long, parent long")).count() == 0
+
+
 def test_index_finds_what_the_scan_finds(spark):
     terms = ["On the Heart", "heart", "the  the\nhearty", None, "", "art of the (heart)", "ÉTÉ heart\u00a0the", "x"]
     df = spark.createDataFrame([(k, k // 2, t) for k, t in enumerate(terms)], "description_id long, concept_id long, term string")
