@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
@@ -187,6 +187,32 @@ def destination_groups(mappings: DataFrame) -> DataFrame:
     )
 
 
+def newest_of_destination(mappings: DataFrame, length: int, concepts: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
+    """The newest ``length`` valid mappings of each destination, with ``position`` from 1 and a ``cursor``.
+
+    ``concepts`` (concept_id) names the pages asked for: only destinations they are mapped to are listed, once each however many
+    pages share them. ``after`` is an earlier result: the rows behind its last row of each destination follow, and destinations not
+    in it are left out. Every task keeps at most ``length`` rows of a destination before the shuffle.
+    """
+    key = "destination_concept_id"
+    valid = mappings.filter("valid").filter(F.col(key).isNotNull())
+    if concepts is not None:
+        asked = valid.join(concepts.select(F.col("concept_id").alias("source_concept_id")), "source_concept_id", "left_semi")
+        valid = valid.join(asked.select(key).distinct(), key, "left_semi")
+    cursor = F.struct(
+        F.col("insert_ts").alias("newest"),
+        F.col("mapping_id"),
+        (-F.coalesce("source_concept_metadata_id", F.lit(-1))).alias("source_row"),
+        (-F.coalesce("destination_concept_metadata_id", F.lit(-1))).alias("destination_row"),
+    )
+    rows = valid.select(key, "mapping_id", *_shown(["source_code_text", "source_term_text"]), cursor.alias("cursor"))
+    if after is not None:
+        last = after.groupBy(key).agg(F.min("cursor").alias("last"))
+        rows = rows.join(last, key).filter(F.col("cursor") < F.col("last")).drop("last")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("cursor").desc()))
+    return rows.withColumn("position", place.cast("long")).filter(F.col("position") <= length)
+
+
 def mapped_terms(mappings: DataFrame) -> DataFrame:
     """Code to term dictionary of mapped sources; the newest mapping of a code wins."""
     return mappings.groupBy(F.col("source_code_text").alias("code_text")).agg(

@@ -373,6 +373,24 @@ def same_destination(spark, sf_dir):
     return cand.same_destination(mappings, newest)
 
 
+@query(
+    "destination_newest",
+    "v_mapping",
+    sql=f"""SELECT * EXCLUDE (place), (place - 1) // 4 + 1 AS page, (place - 1) % 4 + 1 AS position FROM (
+  SELECT destination_concept_id, mapping_id, {SHOWN_SQL.format("source_code_text, source_term_text")},
+         row_number() OVER (PARTITION BY destination_concept_id ORDER BY v_mapping.insert_ts DESC, mapping_id DESC,
+           coalesce(source_concept_metadata_id, -1), coalesce(destination_concept_metadata_id, -1)) AS place
+    FROM v_mapping WHERE valid AND destination_concept_id IS NOT NULL) WHERE place <= 8""",
+)
+def destination_newest(spark, sf_dir):
+    """The two newest pages of four for every destination, the second from the cursor of the first."""
+    mappings = materialise(fx.mappings_view(spark, sf_dir).filter("valid"))
+    first = materialise(cand.newest_of_destination(mappings, 4))
+    second = cand.newest_of_destination(mappings, 4, after=first)
+    both = first.withColumn("page", F.lit(1).cast("long")).unionByName(second.withColumn("page", F.lit(2).cast("long")))
+    return both.drop("cursor")
+
+
 @query(
     "mapped_terms",
     "v_mapping",

@@ -252,6 +252,31 @@ def test_descendant_counts_of_no_edges(spark):
     assert hier.descendant_counts(spark.createDataFrame([], "child long, parent long")).count() == 0
 
 
+def test_newest_of_destination_goes_on_from_its_cursor(spark):
+    import datetime as dt
+
+    schema = """mapping_id long, valid boolean, source_concept_id long, destination_concept_id long, insert_ts timestamp, last_name string, first_name string,
+      organisation_name string, source_code_text string, source_term_text string, event_type_name string, comment string,
+      source_concept_metadata_id long, destination_concept_metadata_id long"""
+    at = lambda k: None if k == 3 else dt.datetime(2020, 1, 1 + k // 2)
+    rows = [(k, k != 5, k, 7 if k < 9 else None if k == 9 else 8, at(k), "L", "F", "O", "c", "t", "e", None, m, None) for k in range(12) for m in ((None, 2) if k == 4 else (1,))]
+    df = spark.createDataFrame(rows, schema)
+    order = sorted((r for r in rows if r[1] and r[3] == 7), key=lambda r: (r[4] or dt.datetime.min, r[0], -(r[12] or -1)), reverse=True)
+    seen, after = [], None
+    while True:
+        got = cand.newest_of_destination(df, 3, after=after).filter("destination_concept_id = 7").orderBy("position")
+        part = [(r.mapping_id, r.position) for r in got.collect()]
+        if not part:
+            break
+        assert [p for _, p in part] == list(range(1, len(part) + 1))
+        seen, after = seen + [m for m, _ in part], got
+    assert seen == [r[0] for r in order]
+    asked = spark.createDataFrame([(10,), (5,), (99,)], "concept_id long")
+    assert {r.destination_concept_id for r in cand.newest_of_destination(df, 3, concepts=asked).collect()} == {8}
+    plan = cand.newest_of_destination(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
+
+
 def test_index_finds_what_the_scan_finds(spark):
     terms = ["On the Heart", "heart", "the  the\nhearty", None, "", "art of the (heart)", "ÉTÉ heart\u00a0the", "x"]
     df = spark.createDataFrame([(k, k // 2, t) for k, t in enumerate(terms)], "description_id long, concept_id long, term string")
