@@ -23,6 +23,12 @@ _ROW = "struct<mapping_id:bigint,dialect:bigint,bridge:boolean>"
 _KEY = ["source_concept_id", "destination_dialect_id"]
 # Rows folded by one expression call; longer histories are cut into pieces of about this size.
 CHUNK_ROWS = 20_000
+# Events after which the states of one chunk are compared, to go on as one where they are equal.
+MEETING_ROWS = 32
+# Chunks composed by one call.
+NEIGHBOURS = 32
+# Rounds in which chunks are asked about their neighbours' states before a history is folded in order.
+ROUNDS = 12
 
 
 def _row() -> Column:
@@ -86,26 +92,38 @@ def _chunked(events: DataFrame, chunk_rows: int) -> DataFrame:
 
 
 def _outcomes(starts: list[tuple], events: list[tuple]) -> dict[tuple, tuple]:
-    """For each possible state before the events, the state after them.
+    """For each given state before the events, the state after them.
 
     A start is a tuple of (dialect, is_bridge) in id order; a row of an end also tells where it is from: a place in the
     start, or the id of an event. Starts whose states have become equal are carried on as one, so soon there are few.
     """
     live = {tuple((*row, place, None) for place, row in enumerate(start)): [start] for start in starts}
-    for mapping_id, dialect, bridge in events:
+    for at in range(0, len(events), MEETING_ROWS):
         after: dict[tuple, list] = {}
         for state, owners in live.items():
-            old = next((r for r in state if dialect is None or r[0] is None or r[0] == dialect), None)
-            if old is None or not bridge or old[1]:
-                state = (*(r for r in state if r is not old), (dialect, bridge, None, mapping_id))
-            after.setdefault(state, []).extend(owners)
+            rows = list(state)
+            for event in events[at : at + MEETING_ROWS]:
+                _settle(rows, *event)
+            after.setdefault(tuple(rows), []).extend(owners)
         live = after
     return {start: state for state, owners in live.items() for start in owners}
 
 
+def _settle(rows: list[tuple], mapping_id: int, dialect: int | None, bridge: bool) -> None:
+    """One event on the open rows, in place."""
+    for k, row in enumerate(rows):
+        if dialect is None or row[0] is None or row[0] == dialect:
+            if bridge and not row[1]:
+                return
+            del rows[k]
+            break
+    rows.append((dialect, bridge, None, mapping_id))
+
+
 _STATE = "array<struct<dialect:bigint,bridge:boolean>>"
 _END = "array<struct<dialect:bigint,bridge:boolean,place:int,mapping_id:bigint>>"
 _KIND_FIELDS = [("dialect", pa.int64()), ("bridge", pa.bool_())]
+_ROW_FIELDS = [("mapping_id", pa.int64()), *_KIND_FIELDS]
 _END_FIELDS = [*_KIND_FIELDS, ("place", pa.int32()), ("mapping_id", pa.int64())]
 _TABLE = pa.schema(
     [
@@ -117,49 +135,133 @@ _TABLE = pa.schema(
 )
 
 
+def _events_of(cell: pa.ListScalar) -> list[tuple]:
+    """A chunk's events as (mapping_id, dialect, is_bridge) in id order."""
+    fields = [cell.values.field(name).to_pylist() for name in ("mapping_id", "dialect", "bridge")]
+    return sorted(zip(*fields), key=lambda e: (e[0], e[1] is not None, e[1] or 0, bool(e[2])))
+
+
+def _kinds_in(rows: list[dict]) -> tuple:
+    return tuple((r["dialect"], r["bridge"]) for r in rows)
+
+
+def _table_row(source: int, node: int, start: tuple, end: tuple) -> dict:
+    names = [name for name, _ in _END_FIELDS]
+    return {
+        "source_concept_id": source,
+        "node": node,
+        "start": [dict(zip(names, row)) for row in start],
+        "end": [dict(zip(names, row)) for row in end],
+    }
+
+
 def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks with the states to be tried, as one row for each chunk and state."""
-    names = [name for name, _ in _END_FIELDS]
     for batch in batches:
         for k in range(batch.num_rows):
-            chunk = batch.slice(k, 1).to_pylist()[0]
-            starts = [tuple((r["dialect"], r["bridge"]) for r in start) for start in chunk["starts"]]
-            events = sorted((r["mapping_id"], r["dialect"], r["bridge"]) for r in chunk["events"])
-            rows = [
-                {
-                    "source_concept_id": chunk["source_concept_id"],
-                    "node": chunk["node"],
-                    "start": [dict(zip(names, row)) for row in start],
-                    "end": [dict(zip(names, row)) for row in end],
-                }
-                for start, end in _outcomes(starts, events).items()
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_TABLE)
+            source, node = (batch.column(name)[k].as_py() for name in ("source_concept_id", "node"))
+            starts = [_kinds_in(start) for start in batch.column("starts")[k].as_py()]
+            ends = _outcomes(starts, _events_of(batch.column("events")[k]))
+            yield pa.RecordBatch.from_pylist([_table_row(source, node, *both) for both in ends.items()], schema=_TABLE)
+
+
+def _composed(group: pa.Table) -> pa.Table:
+    """The tables of some neighbours as one: each is looked up with what the one before it leaves.
+
+    A state that a neighbour was not asked about is left out.
+    """
+    nodes: dict[int, dict[tuple, list]] = {}
+    for row in group.to_pylist():
+        end = [(r["dialect"], r["bridge"], r["place"], r["mapping_id"]) for r in row["end"]]
+        nodes.setdefault(row["node"], {})[_kinds_in(row["start"])] = end
+    order = sorted(nodes)
+    found = []
+    for start, end in nodes[order[0]].items():
+        for node in order[1:]:
+            last = nodes[node].get(tuple(r[:2] for r in end))
+            if last is None:
+                break
+            end = [r if r[2] is None else end[r[2]] for r in last]
+        else:
+            found.append((start, end))
+    source = group.column("source_concept_id")[0].as_py()
+    return pa.Table.from_pylist([_table_row(source, order[0] // NEIGHBOURS, *both) for both in found], schema=_TABLE)
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks sorted by source and node, each folded from the open rows that the one before it leaves."""
+    schema = pa.schema([("source_concept_id", pa.int64()), ("state", pa.list_(pa.struct(_ROW_FIELDS)))])
+    names = [name for name, _ in _ROW_FIELDS]
+    source, rows = None, []
+
+    def settled() -> pa.RecordBatch:
+        state = [dict(zip(names, (r[3], r[0], r[1]))) for r in rows]
+        return pa.RecordBatch.from_pylist([{"source_concept_id": source, "state": state}], schema=schema)
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            owner = batch.column("source_concept_id")[k].as_py()
+            if owner != source:
+                if source is not None:
+                    yield settled()
+                source = owner
+                rows = [(r["dialect"], r["bridge"], None, r["mapping_id"]) for r in batch.column("rows")[k].as_py()]
+            for event in _events_of(batch.column("events")[k]):
+                _settle(rows, *event)
+    if source is not None:
+        yield settled()
 
 
 def _kinds(rows: Column) -> Column:
     return F.transform(rows, lambda r: F.struct(r["dialect"].alias("dialect"), r["bridge"].alias("bridge")))
 
 
-def _merged(table: DataFrame) -> DataFrame:
-    """Two neighbours' tables as one: the right one is looked up with what the left one leaves."""
-    half = F.floor(F.col("node") / 2).alias("node")
-    left = table.filter("node % 2 = 0").select("source_concept_id", half, "start", "end", _kinds(F.col("end")).alias("between"))
-    right = table.filter("node % 2 = 1").select("source_concept_id", half, F.col("start").alias("between"), F.col("end").alias("last"), F.lit(True).alias("both"))
-    traced = F.transform("last", lambda r: F.when(r["place"].isNull(), r).otherwise(F.get("end", r["place"])))
-    paired = right.select("source_concept_id", "node", "both").distinct()
-    alone = left.join(paired, ["source_concept_id", "node"], "left_anti").select("source_concept_id", "node", "start", "end")
-    joined = left.join(right, ["source_concept_id", "node", "between"]).select("source_concept_id", "node", "start", traced.alias("end"))
-    return joined.unionByName(alone)
+def _tables_of_chunks(chunks: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The states before and after every chunk, and the sources for which they do not join up.
+
+    A chunk is asked about what its left neighbour leaves. To have something to leave, every chunk but the first is tried
+    with no open rows, and then with user rows without dialect, as many as any chunk of the source has left: states of one
+    size meet after few events, and what a chunk leaves rarely tells where it began. Rounds go on until nothing is left
+    that the right neighbour was not asked about, or for ``ROUNDS``.
+    """
+    key = ["source_concept_id", "node"]
+    nodes = materialise(chunks.select(*key))
+    later = nodes.filter("node > 0")
+    none = F.array().cast(_STATE)
+    asked = (
+        nodes.join(first.select("source_concept_id", _kinds(F.col("rows")).alias("before")), "source_concept_id")
+        .select(*key, F.when(F.col("node") == 0, F.col("before")).otherwise(none).alias("start"))
+    )
+    table = tried = None
+    for turn in range(ROUNDS):
+        starts = asked.groupBy(*key).agg(F.collect_list("start").alias("starts"))
+        found = chunks.join(starts, key).select(*key, "events", "starts")
+        found = materialise(found.mapInArrow(_tabled, f"source_concept_id long, node long, start {_STATE}, end {_END}"))
+        table = found if table is None else table.unionByName(found)
+        # only the first turn looks ahead; later ones add the sizes that have come up
+        ahead = F.sequence(F.size("end"), F.size("end") + (2 if turn == 0 else 0))
+        sizes = found.select("source_concept_id", F.explode(ahead).alias("n")).distinct()
+        if tried is not None:
+            sizes = sizes.join(tried, ["source_concept_id", "n"], "left_anti")
+        sizes = materialise(sizes)
+        tried = sizes if tried is None else tried.unionByName(sizes)
+        blank = F.struct(F.lit(None).cast("long").alias("dialect"), F.lit(False).alias("bridge"))
+        guessed = later.join(sizes, "source_concept_id").select(*key, F.array_repeat(blank, F.col("n")).alias("start"))
+        left = found.select("source_concept_id", (F.col("node") + 1).alias("node"), _kinds(F.col("end")).alias("start"))
+        wanted = left.distinct().join(later, key, "left_semi").unionByName(guessed).distinct()
+        asked = materialise(wanted.join(table.select(*key, "start"), [*key, "start"], "left_anti"))
+        if asked.isEmpty():
+            break
+    return table, asked.select("source_concept_id").distinct()
 
 
 def _fold_long(events: DataFrame, start: DataFrame, chunk_rows: int) -> DataFrame:
     """Fold histories that are too long for one task, chunk by chunk in parallel.
 
-    A chunk is summed up as a function: for each possible state before it (dialect and origin of the open rows in id
-    order) the state after it, whose rows are rows of the state before or events of the chunk. Possible are the state
-    before the first event, and what any chunk leaves of a possible state; a few rounds find them all. Two
-    neighbouring functions compose to one by a join, so a history of n chunks is settled in log2(n) steps, exactly.
+    A chunk is summed up as a function: for each state before it that may be (dialect and origin of the open rows in id
+    order) the state after it, whose rows are rows of the state before or events of the chunk. Neighbouring functions
+    compose, ``NEIGHBOURS`` at a time, exactly. Where chunks depend on their beginning for so long that the functions do
+    not join up, the source's chunks are folded in order, one at a time.
     """
     import_in_tasks(events.sparkSession)
     chunks = materialise(_chunked(events, chunk_rows).withColumnRenamed("chunk", "node"))
@@ -168,22 +270,22 @@ def _fold_long(events: DataFrame, start: DataFrame, chunk_rows: int) -> DataFram
         .select("source_concept_id", F.coalesce("start", _nothing()).alias("rows"))
     )
     first = materialise(first)
-    possible = new = first.select("source_concept_id", _kinds(F.col("rows")).alias("state"))
-    table = None
-    while table is None or not new.isEmpty():
-        asked = new.groupBy("source_concept_id").agg(F.collect_list("state").alias("starts"))
-        found = chunks.join(asked, "source_concept_id").select("source_concept_id", "node", "events", "starts")
-        found = materialise(found.mapInArrow(_tabled, f"source_concept_id long, node long, start {_STATE}, end {_END}"))
-        table = found if table is None else table.unionByName(found)
-        left = found.select("source_concept_id", _kinds(F.col("end")).alias("state")).distinct()
-        new = materialise(left.join(possible, ["source_concept_id", "state"], "left_anti"))
-        possible = possible.unionByName(new)
+    table, apart = _tables_of_chunks(chunks, first)
+    apart = materialise(apart)
+    table = table.join(apart, "source_concept_id", "left_anti")
     longest = chunks.agg(F.max("node")).first()[0]
-    for _ in range(int(longest).bit_length()):
-        table = materialise(_merged(table))
+    while longest > 0:
+        neighbours = table.groupBy("source_concept_id", F.floor(F.col("node") / NEIGHBOURS))
+        table = materialise(neighbours.applyInArrow(_composed, table.schema))
+        longest //= NEIGHBOURS
     whole = first.select("source_concept_id", "rows", _kinds(F.col("rows")).alias("start")).join(table, ["source_concept_id", "start"])
     row = lambda r: F.struct(F.coalesce(r["mapping_id"], F.get("rows", r["place"])["mapping_id"]).alias("mapping_id"), r["dialect"].alias("dialect"), r["bridge"].alias("bridge"))
-    return whole.select("source_concept_id", F.transform("end", row).alias("state"))
+    states = whole.select("source_concept_id", F.transform("end", row).alias("state"))
+    if apart.isEmpty():
+        return states
+    queues = chunks.join(apart, "source_concept_id", "left_semi").join(first, "source_concept_id")
+    in_order = queues.repartition("source_concept_id").sortWithinPartitions("source_concept_id", "node")
+    return states.unionByName(in_order.mapInArrow(_carried, f"source_concept_id long, state array<{_ROW}>"))
 
 
 def _fold_mixed(mixed: DataFrame, kinds: DataFrame, chunk_rows: int) -> DataFrame:

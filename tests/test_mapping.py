@@ -78,6 +78,27 @@ def test_long_history_is_folded_in_chunks(spark, seed, dialects, chunk_rows):
     assert valid_ids(fold(spark, rows, chunk_rows=chunk_rows)) == replay(rows)
 
 
+def test_chunks_are_tried_with_few_states(spark):
+    """States of one size meet, so a chunk's table does not grow with the number of chunks."""
+    rows = random_events(21, 6000, [7], [1, 2, 3, None])
+    chunks = log._chunked(spark.createDataFrame(rows, EVENT), 200).withColumnRenamed("chunk", "node")
+    log.import_in_tasks(spark)
+    first = spark.createDataFrame([(7, [])], f"source_concept_id long, rows array<{log._ROW}>")
+    table, apart = log._tables_of_chunks(chunks, first)
+    assert apart.isEmpty()
+    sizes = [r["count"] for r in table.groupBy("node").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 60
+    assert valid_ids(fold(spark, rows, chunk_rows=200)) == replay(rows)
+
+
+def test_histories_that_do_not_join_up_are_folded_in_order(spark, monkeypatch):
+    monkeypatch.setattr(log, "ROUNDS", 1)
+    rows = random_events(22, 1500, [7, 7, 8], [1, 2, None])
+    first = fold(spark, rows[:500]).collect()
+    existing = [(r.mapping_id, r.source_concept_id, r.destination_dialect_id, r.is_bridge, r.valid) for r in first]
+    assert valid_ids(fold(spark, rows[500:], existing, chunk_rows=100)) == replay(rows)
+
+
 @pytest.mark.parametrize("dialects", [[1, None], [1, 2, 3], [1, 2, None], [1, 2, 3, 4, None, None]])
 def test_summaries_of_chunks_compose(dialects):
     """The state after two chunks is that of the second, looked up with what the first leaves."""
