@@ -99,32 +99,66 @@ def fold_leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     twice; nodes on a cycle or above a node of several parents stay. Each round writes only what is left, and there are as many rounds
     as the folded trees are high.
     """
-    nodes = materialise(edges.select(F.explode(F.array("child", "parent")).alias("concept_id")).distinct().withColumn("weight", F.lit(1).cast("long")))
     edges = materialise(edges.select("child", "parent").distinct())
+    nodes = materialise(edges.select(F.explode(F.array("child", "parent")).alias("concept_id")).distinct().withColumn("weight", F.lit(1).cast("long")))
+    edges = edges.dropna()
+    # the number of a node's parents never changes, so only the edges of single parents take part in the rounds
+    alone = edges.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("parents")).filter("parents = 1")
+    single = materialise(alone.select("child", "parent"))
+    shared = materialise(edges.join(single.select("child"), "child", "left_anti"))
+    blocked = materialise(shared.select(F.col("parent").alias("child")).distinct())
     folded = nodes.limit(0)
     while True:
-        single = edges.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("parents")).filter("parents = 1")
-        inner = edges.select(F.col("parent").alias("child")).distinct()
-        leaves = single.select(F.col("child"), "parent").join(inner, "child", "left_anti")
+        inner = single.select(F.col("parent").alias("child")).distinct()
+        leaves = single.join(blocked, "child", "left_anti").join(inner, "child", "left_anti")
         leaves = materialise(leaves.join(nodes.withColumnRenamed("concept_id", "child"), "child"))
         if leaves.isEmpty():
-            return edges, nodes, folded
+            return shared.unionByName(single), nodes, folded
         folded = folded.unionByName(leaves.select(F.col("child").alias("concept_id"), "weight"))
         gained = leaves.groupBy(F.col("parent").alias("concept_id")).agg(F.sum("weight").alias("gained"))
         gone = leaves.select(F.col("child").alias("concept_id"))
         weight = (F.col("weight") + F.coalesce("gained", F.lit(0))).alias("weight")
         nodes = materialise(nodes.join(gone, "concept_id", "left_anti").join(gained, "concept_id", "left").select("concept_id", weight))
-        edges = materialise(edges.join(leaves.select("child"), "child", "left_anti"))
+        single = materialise(single.join(leaves.select("child"), "child", "left_anti"))
+
+
+def _below_shared(bottom: DataFrame, top: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Weight of the childless nodes below each node of the graph above them: (concept_id, n), several rows for a node.
+
+    ``bottom`` holds child, parent and the child's weight, ``top`` the edges above and ``pairs`` their closure. A parent with
+    one parent hands its children over to that one, so the children meet the ancestors once for each grandparent and not
+    for each parent. A child's own parents are counted as they are, unless they also lie above another of its parents.
+    """
+    up = top.groupBy("child").agg(F.min("parent").alias("above"), F.count(F.lit(1)).alias("parents")).select(
+        F.col("child").alias("parent"), F.when(F.col("parents") == 1, F.col("above")).otherwise(F.col("child")).alias("hand")
+    )
+    handed = bottom.join(up, "parent").select("child", "weight", "hand").distinct()
+    hands = up.select("hand").distinct()
+    reach = materialise(
+        pairs.withColumnRenamed("descendant", "hand").join(hands, "hand", "left_semi").select("hand", "ancestor")
+        .unionByName(hands.select("hand", F.col("hand").alias("ancestor")))
+    )
+    higher = reach.select(F.col("ancestor").alias("parent")).distinct()
+    plain = bottom.join(higher, "parent", "left_anti").groupBy(F.col("parent").alias("concept_id")).agg(F.sum("weight").alias("n"))
+    twice = bottom.join(higher, "parent", "left_semi").select("child", "weight", F.col("parent").alias("concept_id"))
+    reached = handed.join(reach, "hand").select("child", "weight", F.col("ancestor").alias("concept_id")).unionByName(twice).distinct()
+    return plain.unionByName(reached.groupBy("concept_id").agg(F.sum("weight").alias("n")))
 
 
 def descendant_counts(edges: DataFrame) -> DataFrame:
     """Number of distinct descendants of every concept, 0 for leaves.
 
-    Trees below the graph's shared part are folded into weights; pairs of ancestor and descendant are made only for what is left,
-    since a concept below several parents counts once per ancestor.
+    Trees below the graph's shared part are folded into weights, since a concept below several parents counts once per
+    ancestor. Of what is left, only the nodes with children go into the closure; the others are joined to it.
     """
     left, nodes, folded = fold_leaves(edges)
-    below = closure(left).join(nodes.withColumnRenamed("concept_id", "descendant"), "descendant")
-    sums = below.groupBy(F.col("ancestor").alias("concept_id")).agg(F.sum("weight").alias("n"))
+    inner = materialise(left.select(F.col("parent").alias("child")).distinct())
+    top = materialise(left.join(inner, "child", "left_semi"))
+    weights = nodes.withColumnRenamed("concept_id", "child")
+    bottom = materialise(left.join(inner, "child", "left_anti").join(weights, "child"))
+    pairs = materialise(closure(top))
+    below = pairs.join(nodes.withColumnRenamed("concept_id", "descendant"), "descendant")
+    parts = below.groupBy(F.col("ancestor").alias("concept_id")).agg(F.sum("weight").alias("n"))
+    sums = parts.unionByName(_below_shared(bottom, top, pairs)).groupBy("concept_id").agg(F.sum("n").alias("n"))
     own = nodes.join(sums, "concept_id", "left").select("concept_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("descendants"))
     return own.unionByName(folded.select("concept_id", (F.col("weight") - 1).alias("descendants")))

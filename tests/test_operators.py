@@ -248,6 +248,18 @@ def test_descendant_counts_of_any_graph(spark, seed):
     assert seed or (left.count() == 0 and folded.count() == len(below) - 1)
 
 
+def test_childless_nodes_stay_out_of_the_closure(spark, monkeypatch):
+    """Leaves of several parents are joined to the ancestors above, on a cycle and with a parent above another one too."""
+    edges = [("s1", "n1"), ("s2", "n1"), ("s3", "n2"), ("n1", "r"), ("n2", "r"), ("r", "n2")]
+    edges += [(f"p{k}", s) for k in range(20) for s in ("s1", "s2", "s3", "n1")] + [(None, "s1"), ("s1", None), ("b", "p0")]
+    seen, whole = [], hier.closure
+    monkeypatch.setattr(hier, "closure", lambda e: seen.append(e.count()) or whole(e))
+    found = hier.descendant_counts(spark.createDataFrame(edges, "child string, parent string"))
+    counts = {r.concept_id: r.descendants for r in found.collect()}
+    assert {k: counts[k] for k in ("s1", "s3", "n1", "n2", "r", "p0", "p1", "b")} == {"s1": 21, "s3": 21, "n1": 23, "n2": 26, "r": 26, "p0": 1, "p1": 0, "b": 0}
+    assert max(seen) <= 7
+
+
 def test_descendant_counts_of_no_edges(spark):
     assert hier.descendant_counts(spark.createDataFrame([], "child long, parent long")).count() == 0
 
