@@ -132,3 +132,18 @@ def test_deleting_concepts_deletes_their_metadata(spark):
     kept, left = dim.delete_concepts(concept, metadata, spark.createDataFrame([(1,)], "concept_id long"))
     assert [r.concept_id for r in kept.collect()] == [2]
     assert [r.concept_metadata_id for r in left.collect()] == [2]
+
+
+def test_lines_are_counted_after_one_shuffle(spark, tmp_path):
+    """Lines are dealt by part and counted there: no table of distinct orders is kept before the shuffle."""
+    import datetime as dt
+
+    from termweave.plans import fixtures as fx
+
+    day = lambda k: dt.datetime(2020, 1, k)
+    rows = [(1, "O", 5, day(2)), (1, "O", 5, day(4)), (1, "O", 6, day(1)), (1, "O", 6, day(1)), (1, "F", None, day(3)), (2, None, 7, None), (None, "O", 8, day(9))]
+    spark.createDataFrame(rows, "l_partkey long, l_linestatus string, l_orderkey long, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    table = fx.concept_metadata.__wrapped__.__wrapped__(spark, str(tmp_path))
+    assert table._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    found = {(r.concept_id, r.concept_metadata_id, r.obs_number, r.first_obs_date and r.first_obs_date.day, r.last_obs_date and r.last_obs_date.day) for r in table.collect()}
+    assert found == {(1, 3, 2, 1, 4), (1, 2, 0, 3, 3), (2, 4, 1, None, None), (None, None, 1, 9, 9)}
