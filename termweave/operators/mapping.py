@@ -9,6 +9,8 @@ is stored invalid. Otherwise the event becomes valid and replaces that one mappi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -443,6 +445,19 @@ def request_events(requests: DataFrame, start: int = 1) -> DataFrame:
     return ranked(exploded, F.col("request_id"), F.col("place"), name="mapping_id", start=start)
 
 
+def with_destination(events: DataFrame, named: DataFrame) -> DataFrame:
+    """Events with the id of the concept they name, if any.
+
+    An event that lacks a part of the name meets nothing, and many do: they stay out of the join, where NULL would send
+    all of them to a few tasks.
+    """
+    keys = ["new_code", "new_term", "owner_organisation_id", "target_dialect_id"]
+    complete = reduce(and_, (F.col(key).isNotNull() for key in keys))
+    found = events.filter(complete).join(named, keys, "left")
+    unnamed = events.filter(~complete).withColumn("destination_concept_id", F.lit(None).cast("long"))
+    return found.unionByName(unnamed)
+
+
 def apply_requests(
     requests: DataFrame,
     code: DataFrame,
@@ -483,8 +498,7 @@ def apply_requests(
             "destination_concept_id",
         )
     )
-    keys = ["new_code", "new_term", "owner_organisation_id", "target_dialect_id"]
-    resolved = materialise(events.join(named, keys, "left").select(
+    resolved = materialise(with_destination(events, named).select(
         "mapping_id",
         "user_id",
         "source_concept_id",

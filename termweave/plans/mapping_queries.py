@@ -232,9 +232,11 @@ def apply_requests(spark, sf_dir):
         fx.requests(spark, sf_dir), tables["code"], tables["term"], tables["concept"], fx.dialects_view(spark, sf_dir), none
     )
     target = concept.join(code, "code_id").join(term, "term_id").select(
-        F.col("concept_id").alias("destination_concept_id"), "code_text", "term_text", "organisation_id"
+        F.col("concept_id").alias("_key"), "code_text", "term_text", "organisation_id"
     )
-    return mapping.join(target, "destination_concept_id", "left").select(
+    # rejected requests have no destination: a key of their own, since NULL would send all of them to one task
+    key = F.coalesce("destination_concept_id", -1 - F.col("mapping_id"))
+    return mapping.withColumn("_key", key).join(target, "_key", "left").select(
         "mapping_id",
         "source_concept_id",
         "event_type_name",

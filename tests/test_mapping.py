@@ -182,3 +182,21 @@ def test_requests_expand_page_concept_first(spark):
     assert [(r.mapping_id, r.source_concept_id, r.event_type_name) for r in rows] == [
         (5, 10, "User mapping"), (6, 11, "User mapping"), (7, 12, "User mapping"), (8, 20, "Incorrect concept"),
     ]
+
+
+def test_events_without_a_name_do_not_meet_in_one_task(spark):
+    rows = [(k, None if k % 2 else "c", None if k % 3 == 1 else "t", 1, 5) for k in range(4000)] + [(4000, "c", "t", 1, None)]
+    events = spark.createDataFrame(rows, "mapping_id long, new_code string, new_term string, owner_organisation_id long, target_dialect_id long").repartition(8, "mapping_id")
+    named = spark.createDataFrame([("c", "t", 1, 5, 77)], "new_code string, new_term string, owner_organisation_id long, target_dialect_id long, destination_concept_id long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = log.with_destination(events, named).select("mapping_id", "destination_concept_id", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert {r.mapping_id: r.destination_concept_id for r in found} == {k: 77 if c and t and d else None for k, c, t, _, d in rows}
+    unnamed = [r.part for r in found if r.destination_concept_id is None]
+    assert max(map(unnamed.count, set(unnamed))) < len(unnamed) / 3
