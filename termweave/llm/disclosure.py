@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,14 +189,15 @@ def _count_terms(batches: Iterator[pa.RecordBatch], wanted, repeated) -> Iterato
 
 
 def _only(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """Leaves the terms in the last column that the filter may hold."""
+    """Leaves the terms (or words) in the last column that the filter may hold."""
     known = np.unpackbits(wanted.value).astype(bool)
     for batch in batches:
         lists = batch.column(batch.num_columns - 1)
-        terms = np.asarray(lists.flatten()).astype(np.int64)
+        items = lists.flatten()
+        terms = np.asarray(items.field("term") if pa.types.is_struct(items.type) else items).astype(np.int64)
         hit = _hits(terms.view(np.uint64), known)
         until = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)]
-        left = pa.ListArray.from_arrays(pa.array(until.astype(np.int32)), pa.array(terms[hit]))
+        left = pa.ListArray.from_arrays(pa.array(until.astype(np.int32)), items.filter(pa.array(hit)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], left], names=batch.schema.names)
 
 
@@ -209,8 +211,20 @@ def _trust(evidence):
     return 1 - F.pow(F.lit(DOUBT), evidence)
 
 
-def disclosing(scanned: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
-    """(text_hash, term) with the largest ``disclosure`` of the term about an entity of the text, from ``GENERALISE`` upwards."""
+def _able(n: float):
+    """Whether a term of ``n_t`` texts, ``t_kind`` of them with the kind, can reach ``GENERALISE`` for any entity of the kind.
+
+    At each level n_te is at most t_kind and n_e at least n_te, so no share is above log2(N / n_t) / log2(N / t_kind); the weights
+    of the three shares add up to 1 - DOUBT ** t_kind, whatever the value and the class.
+    """
+    return _trust(F.col("t_kind")) * F.log2(F.lit(n) / F.col("n_t")) >= (GENERALISE - 1e-9) * F.log2(F.lit(n) / F.col("t_kind"))
+
+
+def disclosing(scanned: DataFrame, texts: DataFrame, text: str = "text") -> tuple[DataFrame, Broadcast]:
+    """(text_hash, term) with the largest ``disclosure`` of the term about an entity of the text, from ``GENERALISE`` upwards.
+
+    With it comes a filter that holds these terms, and few others.
+    """
     n = float(max(scanned.select("text_hash").distinct().count(), 1))
     one = scanned.filter(F.size("entities") > 0).select("text_hash", "entities", F.expr("array_distinct(words.term)").alias("terms"))
     one = stored(one.dropDuplicates(["text_hash"]), "once")
@@ -226,9 +240,7 @@ def disclosing(scanned: DataFrame, texts: DataFrame, text: str = "text") -> Data
     # The rows without a text add up before the shuffle; a copied text counts once.
     seen = seen.groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
     terms = seen.groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
-    # No level's share is above log2(N / n_t) / log2(N / n_e), which is largest for the kind; the shrunken share lies between them and 0.
-    able = F.log2(F.lit(n) / F.col("n_t")) >= (GENERALISE - 1e-9) * F.log2(F.lit(n) / F.col("n_kind"))
-    able = stored(kinds.join(terms, "term").join(F.broadcast(level("kind")), "kind").filter(able), "able")
+    able = stored(kinds.join(terms, "term").filter(_able(n)).join(F.broadcast(level("kind")), "kind"), "able")
     left = broadcast(np.packbits(_filter_of(able.select("term").distinct())))
     few = map_batches(one, lambda batches: _only(batches, left), "text_hash long, entities array<struct<value:long,class:long,kind:int>>, terms array<long>")
     few = stored(few.filter(F.size("terms") > 0), "few")
@@ -243,23 +255,26 @@ def disclosing(scanned: DataFrame, texts: DataFrame, text: str = "text") -> Data
     trust = _trust(F.col("t_value"))
     scored = scored.withColumn("disclosure", trust * _share("t_value", "n_value", n) + (1 - trust) * wider)
     scored = scored.filter(F.col("disclosure") >= GENERALISE).select("value", "term", "disclosure")
-    return pairs.join(scored, ["value", "term"]).groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    return pairs.join(scored, ["value", "term"]).groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure")), left
 
 
 def find(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns with ``base_sha256`` and ``found``, the spans (start, kind, end, mark) of each row in order.
 
-    ``kind`` is a place in ``KINDS``. Only rows with an entity are joined with the marks.
+    ``kind`` is a place in ``KINDS``. Only rows with an entity are joined with the marks, with the words that may be marked.
     """
     rows = documents.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     width = len(keep)
     scanned = stored(map_batches(rows, lambda batches: _scan(batches, width), f"{kept}, {_SCAN}"), "scanned")
     kind = F.when(F.col("disclosure") >= REMOVE, KINDS.index("term")).otherwise(KINDS.index("general"))
-    marks = disclosing(scanned.select("text_hash", "entities", "words"), documents, text).groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", kind))).alias("marks"))
+    marks, terms = disclosing(scanned.select("text_hash", "entities", "words"), documents, text)
+    marks = marks.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", kind))).alias("marks"))
     names = [*keep, "base_sha256", "found"]
     plain = scanned.filter(F.size("entities") == 0).withColumn("found", F.col("base"))
-    joined = scanned.filter(F.size("entities") > 0).join(marks, "text_hash", "left")
+    joined = scanned.filter(F.size("entities") > 0).select(*keep, "text_hash", "base_sha256", "base", "words")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
+    joined = map_batches(joined, lambda batches: _only(batches, terms), schema).join(marks, "text_hash", "left")
     marked = F.expr("transform(filter(words, w -> marks[w.term] is not null), w -> struct(w.start AS start, marks[w.term] AS kind, w.end AS end))")
     joined = joined.withColumn("found", F.sort_array(F.when(F.col("marks").isNull(), F.col("base")).otherwise(F.concat("base", marked))))
     return plain.select(*names).unionByName(joined.select(*names))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from termweave.llm import bin_slack, blocks, disclosure, induced, language_ppm, ngram_trie, odd_sketches, queries, rare_features, repeats, sampled_pieces, url_rules, weak_rules
+from termweave.llm import bin_slack, blocks, disclosure, induced, language_ppm, ngram_trie, odd_sketches, queries, rare_features, repeats, sampled_pieces, textbytes, url_rules, weak_rules
 from termweave.runtime import small_table
 from tests import oracle
 
@@ -220,6 +220,50 @@ def test_terms_of_rare_entities_are_found_in_the_whole_text(spark):
     assert all(x["kind"] < 4 for k in range(5, 310) for x in found[k])
 
 
+def test_disclosing_terms_against_all_shares(spark, monkeypatch):
+    """Marks equal those from the shares of all terms; terms too common to reach them are left out before pairs are made."""
+    rng = random.Random(11)
+    value = lambda k: f"u{k % 5}@d{k % 5 % 2}.example"
+    texts = [" ".join([*rng.choices([f"w{c}" for c in "abcdefghijklmnopqrst"], k=4), f"p{'qrst'[k % 3]} v{'abcde'[k % 5]} m{'abcdef'[k % 6]}", value(k), *([value(k + 1), f"z{'xy'[k % 2]}"] if k % 4 == 0 else [])]) for k in range(30)]
+    texts += [" ".join([*rng.choices([f"w{c}" for c in "abcdefghij"], k=5), f"m{'abcdef'[k % 6]} {k}"]) for k in range(170)] + [f"pq alone {k}" for k in range(2)]
+    table = small_table(spark, list(enumerate([*texts, None, texts[0]])), "doc_id long, text string")
+    whole = {*texts, ""}
+    n, doubt = len(whole), disclosure.DOUBT
+    levels = lambda v: (("value", v), ("class", v.partition("@")[2]), ("kind", "email"))
+    words = {t: {w for w in t.split() if any(map(str.isalpha, w)) and "@" not in w} for t in whole}
+    values = {t: {w for w in t.split() if "@" in w} for t in whole}
+    within = {}
+    for t in whole:
+        for at in {x for v in values[t] for x in levels(v)}:
+            within.setdefault(at, set()).add(t)
+
+    def disclosed(term, v):
+        n_t = sum(term in words[t] for t in whole)
+        total, left, seen = 0.0, 1.0, 0
+        for at in levels(v):
+            n_e, n_te = len(within[at]), sum(term in words[t] for t in within[at])
+            share = math.log2(n_te * n / (n_t * n_e)) / math.log2(n / n_e)
+            total += left * (1 - doubt ** (n_te - seen)) * share
+            left, seen = left * doubt ** (n_te - seen), n_te
+        return total
+
+    def marks(t):
+        best = {w: max(disclosed(w, v) for v in values[t]) for w in words[t]} if values[t] else {}
+        return {(w, "term" if x >= disclosure.REMOVE else "general") for w, x in best.items() if x >= disclosure.GENERALISE}
+
+    kept, plain = {}, disclosure.stored
+    monkeypatch.setattr(disclosure, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    found = {r["doc_id"]: r["found"] for r in disclosure.find(table).collect()}
+    want = {k: marks(t) for k, t in enumerate([*texts, "", texts[0]])}
+    assert {x for m in want.values() for _, x in m} == {"term", "general"}
+    for k, t in enumerate([*texts, "", texts[0]]):
+        assert {(t[x["start"] : x["end"]], disclosure.KINDS[x["kind"]]) for x in found[k] if x["kind"] > 3} == want[k]
+    common = [w for w in {w for t in whole for w in words[t]} if sum(w in words[t] for t in whole) > 20 and sum(w in words[t] for t in within["kind", "email"]) < 8]
+    raw = " ".join(common).encode()
+    hashes = textbytes.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].view(np.int64).tolist()
+    assert len(common) > 3 and not {r["term"] for r in kept["able"].collect()} & set(hashes)
+
+
 def test_fingerprints(docs, empty, rows):
     found = rare_features.compare_with_next(docs).collect()
     line = sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
