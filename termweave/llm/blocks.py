@@ -8,6 +8,7 @@ it occurs in it, and never meets all its occurrences in one task.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -38,10 +39,27 @@ def import_in_tasks(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
+def released(result=None):
+    """Gives back to the system what Arrow and the C library hold unused, then returns the result.
+
+    A worker lives on between tasks, beside the executor's heap.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+    return result
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this library at hand in the workers."""
+    """``mapInArrow`` with this library at hand in the workers, and a release at the end of each task."""
     import_in_tasks(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        released()
+
+    return df.mapInArrow(task, schema)
 
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

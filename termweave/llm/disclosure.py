@@ -36,6 +36,8 @@ REMOVE, GENERALISE = 0.95, 0.8
 #: Bits of the filters that spare counting terms nobody asks about and naming texts without copies; a full filter costs
 #: time, not results.
 FILTER_BITS = 1 << 22
+#: Bytes of texts that are taken apart together; only a single longer text goes beyond.
+TOGETHER = 4 * tb.SLICE
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,9 +111,16 @@ def _text_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parted(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some bytes of text."""
+    for batch in batches:
+        for i, j in tb.pieces(tb.columns(batch.column(text))[1], TOGETHER):
+            yield batch.slice(i, j - i)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """``width`` carried columns, then the text; adds what the patterns hold, and the other words of texts with an entity."""
-    for batch in batches:
+    for batch in _parted(batches, width):
         rows, words = [], []
         for text in batch.column(width).to_pylist():
             text = text or ""
@@ -290,7 +299,7 @@ def spans_text():
 
 
 def _replace(batches: Iterator[pa.RecordBatch], text: int, found: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parted(batches, text):
         out = []
         for value, spans in zip(batch.column(text).to_pylist(), batch.column(found).to_pylist()):
             if not spans:

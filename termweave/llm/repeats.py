@@ -346,7 +346,7 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     n = bl.bucket_count(spark, stored, "n_bytes", SHARD_BYTES)
     asked = bl.map_batches(bare, lambda batches: _ask(batches, n), _ddl(_ASK))
     replies = asked.groupBy("bucket").applyInArrow(_shared, _ddl(_REPLY))
-    sent = bare.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, n), _ddl(_SEND))
-    answers = sent.groupBy("bucket").applyInArrow(_settle, _ddl(_ANSWER))
+    sent = bare.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: bl.released(_send(a, b, n)), _ddl(_SEND))
+    answers = sent.groupBy("bucket").applyInArrow(lambda a: bl.released(_settle(a)), _ddl(_ANSWER))
     result = RESULT + "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _finish(a, b, with_text), result)
+    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: bl.released(_finish(a, b, with_text)), result)

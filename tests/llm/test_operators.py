@@ -6,6 +6,8 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -197,6 +199,39 @@ def test_disclosure(docs, empty, rows):
     assert disclosure.find(empty).count() == 0
 
 
+def test_texts_are_searched_and_replaced_in_parts(rows):
+    """A part is all that a task holds as Python values."""
+    import pyarrow as pa
+
+    texts = [f"{k} x{k}@y.example.com {r[1] or ''}" for k in range(40) for r in rows] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "text"]).slice(3)
+    parts = list(disclosure._scan(iter([batch]), 1))
+    assert len(parts) > 1
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(3, len(texts)))
+    alone = [r for k in range(batch.num_rows) for p in disclosure._scan(iter([batch.slice(k, 1)]), 1) for r in p.to_pylist()]
+    assert [r for p in parts for r in p.to_pylist()] == alone
+    marked = pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays([p.column(3) for p in parts])], names=["k", "text", "found"])
+    done = list(disclosure._replace(iter([marked]), 1, 2))
+    assert len(done) > 1
+    assert [x for p in done for x in p.column(1).to_pylist()] == [x for k in range(batch.num_rows) for p in disclosure._replace(iter([marked.slice(k, 1)]), 1, 2) for x in p.column(1).to_pylist()]
+
+
+def test_a_worker_gives_memory_back_after_a_task(spark):
+    """Freed memory below something that stays is not given back by itself."""
+    stay = []
+
+    def task(batches):
+        arrays = [np.ones(7500) for _ in range(2000)]
+        stay.append(arrays[-1])
+        yield from batches
+
+    held = lambda: int(re.search(r"Anonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1])
+    frame = SimpleNamespace(sparkSession=spark, mapInArrow=lambda function, schema: list(function(iter([1, 2]))))
+    before = held()
+    assert blocks.map_batches(frame, task, "x long") == [1, 2]
+    assert held() - before < 40_000
+
+
 def test_terms_of_rare_entities_are_found_in_the_whole_text(spark):
     """Addresses that stand in one text each: what discloses them is told from their domain, anywhere in the text."""
     rng = random.Random(4)
