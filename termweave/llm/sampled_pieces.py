@@ -22,18 +22,22 @@ inclusion score 0 (certain); repeated rows get equal samples; an empty table giv
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm import textbytes as tb
 from termweave.llm.blocks import map_batches
 
 SAMPLES = 3
@@ -47,14 +51,17 @@ BEYOND = 45.0
 #: Characters of texts that are sampled together; only a single longer text goes beyond.
 BATCH_CHARS = 1 << 20
 #: Characters of chunks whose lattices are built together; only a single longer chunk goes beyond.
-BUILD_CHARS = 1 << 15
+BUILD_CHARS = 1 << 16
 _SEPARATOR = (1 << 21) - 1
 _chunk = re.compile(f"{MARK}+[^{MARK}]*")
 _workers: dict[tuple, Pieces] = {}
 
 
 class Pieces:
-    """The vocabulary as a trie: the children of all states as sorted (state, character) keys."""
+    """The vocabulary as a trie in one array: a state's child by a character stands ``base`` of the state and ``kind`` of the character away.
+
+    ``owner`` names the state whose child a place holds, so that the others' places are no children of it.
+    """
 
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
@@ -62,6 +69,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.model = model
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
+        self.coded: dict[int, list[int]] = {}
         self.worst = sharpness * min(model.get_score(i) for i in range(model.vocab_size()))
         children: dict[tuple[int, int], int] = {}
         ends: dict[int, int] = {}
@@ -72,118 +80,165 @@ class Pieces:
             for c in model.id_to_piece(i):
                 state = children.setdefault((state, ord(c)), len(children) + 1)
             ends[state] = i
-        keys = np.array([state << 21 | c for state, c in children], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array(list(children.values()), np.int64)[order], 0)
-        # The state after a first character, -1 for none and for all beyond.
-        first = {c: to for (state, c), to in children.items() if state == 0}
-        self.root = np.full(max(first) + 2, -1, np.int64)
-        self.root[list(first)] = list(first.values())
-        self.piece = np.full(len(children) + 1, -1, np.int64)
-        self.piece[list(ends)] = list(ends.values())
+        # Characters by how often they lead to a child, from 1; 0 for all others.
+        often: dict[int, int] = {}
+        for _, c in children:
+            often[c] = often.get(c, 0) + 1
+        self.kind = np.zeros(max(often) + 2, np.int64)
+        self.kind[sorted(often, key=lambda c: (-often[c], c))] = np.arange(1, len(often) + 1)
+        below: dict[int, list[tuple[int, int]]] = {}
+        for (state, c), to in children.items():
+            below.setdefault(state, []).append((int(self.kind[c]), to))
+        # States with many children first, each at the first free place from where the last one of its size was put.
+        size, low, place = 0, 0, np.zeros(len(children) + 1, np.int64)
+        base, taken = np.zeros(len(children) + 1, np.int64), bytearray(8 * len(children) + len(often) + 2)
+        taken[0] = 1  # the root's own place
+        for state in sorted(below, key=lambda x: -len(below[x])):
+            own = [k for k, _ in below[state]]
+            if len(own) != size:
+                size, low = len(own), 0
+            while any(taken[low + k] for k in own):
+                low += 1
+                if low + len(often) >= len(taken):
+                    taken += bytes(len(taken))
+            base[state] = low
+            for k, to in below[state]:
+                taken[low + k] = 1
+                place[to] = low + k
+        n = int(place.max()) + len(often) + 2
+        self.base, self.owner, self.piece = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.base[place] = base
+        for state, found in below.items():
+            self.owner[[place[to] for _, to in found]] = place[state]
+        self.piece[place[list(ends)]] = list(ends.values())
         self.score = sharpness * np.array([model.get_score(i) for i in range(model.vocab_size())])
 
-    def step(self, state: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of ``at`` whose state has a child by the character, and the child."""
-        if len(state) and not state[0]:  # all stand at the root
-            child = self.root[np.minimum(codes, len(self.root) - 1)]
-            hit = child >= 0
-            return at[hit], child[hit]
-        key = state << 21 | codes
-        place = np.searchsorted(self.keys, key)
-        hit = self.keys[place] == key
-        return at[hit], self.child[place[hit]]
+    def kinds(self, codes: np.ndarray) -> np.ndarray:
+        """The characters' kinds."""
+        return self.kind.take(np.minimum(codes, len(self.kind) - 1))
+
+    def step(self, state: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the states have a child by the character, and these children. No state has one by kind 0."""
+        child = self.base.take(state) + kinds
+        hit = np.flatnonzero((self.owner.take(child) == state) & (kinds > 0))
+        return hit, child.take(hit)
 
     def bytes_of(self, code: int) -> list[int]:
         """The ids of a character without a piece."""
-        return [self.byte[b] for b in chr(code).replace(_HIDDEN, MARK).encode()]
+        if code not in self.coded:
+            self.coded[code] = [self.byte[b] for b in chr(code).replace(_HIDDEN, MARK).encode()]
+        return self.coded[code]
 
 
 class Lattices:
     """The lattices of distinct chunks. Position p has the edges ``first[p]`` to ``first[p + 1]``, shorter pieces first.
 
     An edge has its position ``place``, its ``size`` in characters, its ``id`` (-1 - character for one that is coded as bytes), its log chance ``logp``
-    and ``upto``, the chance of it and the edges before it (above 1 for the last).
+    and ``upto``, the chance of it and the edges before it (above 1 for the last). A position has its likeliest edge ``best``, the chances ``low`` and
+    ``high`` between which that is drawn, and ``others``, the log of the chance of all its other edges.
     """
 
     def __init__(self, pieces: Pieces, chunks: list[str]):
-        sizes = np.array([len(c) for c in chunks], np.int64)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         self.start = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         self.end = self.start + sizes
-        parts, low, have = [], 0, 0
-        for i, n in enumerate(sizes.tolist()):
-            if have and have + n > BUILD_CHARS:
-                parts.append(self._build(pieces, chunks[low:i]))
-                low, have = i, 0
-            have += n + 1
-        parts.append(self._build(pieces, chunks[low:]))
-        counts, self.size, self.id, self.logp, self.upto = map(np.concatenate, zip(*parts))
+        borders = np.append(self.start, len(sizes) + sizes.sum())
+        parts = [self._build(pieces, chunks[i:j]) for i, j in tb.pieces(borders, BUILD_CHARS)]
+        counts, self.size, self.id, self.logp, self.upto, best, self.low, self.high, self.others = map(np.concatenate, zip(*parts))
         self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.best = self.first[:-1] + best
         self.place = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
 
     @staticmethod
     def _build(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, ...]:
         codes = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        ends = np.cumsum([len(c) + 1 for c in chunks]) - 1
-        codes[ends] = _SEPARATOR
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1) - 1
+        kinds = pieces.kinds(codes)
+        kinds[ends] = 0
         n = len(codes)
+        counts = np.zeros(n, np.int64)
         at, state, length, found = np.arange(n), np.zeros(n, np.int64), 0, []
         while len(at):
-            at, state = pieces.step(state, codes[at + length], at)
+            hit, state = pieces.step(state, kinds.take(at + length))
+            at = at.take(hit)
             length += 1
-            ids = pieces.piece[state]
-            known = ids >= 0
+            ids = pieces.piece.take(state)
+            known = np.flatnonzero(ids >= 0)
             if length == 1:
                 bare = np.ones(n, bool)
                 bare[ends] = False
                 bare[at[known]] = False
                 bare = np.flatnonzero(bare)
-                found.append((bare, np.ones(len(bare), np.int64), -1 - codes[bare]))
-            found.append((at[known], np.full(int(known.sum()), length), ids[known]))
-            at, state = at[at + length < n], state[at + length < n]
-        pos, size, ids = map(np.concatenate, zip(*found))
-        order = np.argsort(pos, kind="stable")
-        pos, size, ids = pos[order], size[order], ids[order]
-        weight = np.empty(len(ids))
-        weight[ids >= 0] = pieces.score[ids[ids >= 0]]
-        bare, back = np.unique(-1 - ids[ids < 0], return_inverse=True)
-        weight[ids < 0] = pieces.worst * np.array([len(pieces.bytes_of(c)) for c in bare.tolist()], float)[back]
-        counts = np.bincount(pos, minlength=n)
+                found.append((bare, 1, -1 - codes[bare], 0))
+                counts[bare] = 1
+            where = at.take(known)
+            rank = counts.take(where)
+            found.append((where, length, ids.take(known), rank))
+            counts[where] = rank + 1
         first = np.concatenate([[0], np.cumsum(counts)])
+        size, ids = np.empty(first[-1], np.int8 if length < 128 else np.int64), np.empty(first[-1], np.int32)
+        for where, length, some, rank in found:
+            edge = first.take(where) + rank
+            size[edge] = length
+            ids[edge] = some
+        pos = np.repeat(np.arange(n), counts)
+        weight = pieces.score.take(np.maximum(ids, 0))
+        coded = np.flatnonzero(ids < 0)
+        bare, back = np.unique(-1 - ids[coded], return_inverse=True)
+        weight[coded] = pieces.worst * np.array([len(pieces.bytes_of(c)) for c in bare.tolist()], float)[back]
         # Sums from the end of each chunk backwards, all chunks in step.
-        total, widest = np.zeros(n), int(counts.max())
+        total, target = np.zeros(n), pos + size
         distance = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
-        by_distance = np.argsort(distance, kind="stable")
-        borders = np.searchsorted(distance[by_distance], np.arange(1, int(distance.max()) + 2))
-        row = np.arange(widest)[:, None]
-        padded, target = np.append(weight, -np.inf), np.append(pos + size, 0)
-        for low, high in zip(borders[:-1].tolist(), borders[1:].tolist()):
-            p = by_distance[low:high]
-            edge = np.where(row < counts[p], first[p] + row, len(weight))
-            w = padded[edge] + total[target[edge]]
-            top = w.max(0)
-            total[p] = top + np.log(np.exp(w - top).sum(0))
-        logp = weight + total[pos + size] - total[pos]
-        # Sums inside a position, at most ``widest`` edges each.
-        rank = np.arange(len(pos)) - first[pos]
-        table = np.zeros((widest, n))
-        table[rank, pos] = np.exp(logp)
-        for x in range(1, widest):
-            table[x] += table[x - 1]
-        upto = table[rank, pos]
-        upto[first[1:][counts > 0] - 1] = 2.0
-        return counts, size, ids, logp, upto
+        distance = distance.astype(np.int16 if distance.max() < 1 << 15 else np.int64)
+        by_distance = np.argsort(distance, kind="stable")[len(ends) :]
+        steps = np.searchsorted(distance[by_distance], np.arange(1, int(distance.max()) + 2)).tolist()
+        width = counts.take(by_distance)
+        heads = np.concatenate([[0], np.cumsum(width)])
+        edges = np.arange(heads[-1]) + np.repeat(first.take(by_distance) - heads[:-1], width)
+        their_weight, their_target = weight.take(edges), target.take(edges)
+        for low, high in zip(steps, steps[1:]):
+            a, b = heads[low], heads[high]
+            total[by_distance[low:high]] = np.logaddexp.reduceat(their_weight[a:b] + total.take(their_target[a:b]), heads[low:high] - a)
+        logp = weight + total.take(target) - total.take(pos)
+        chance = np.exp(logp)
+        # Sums and the likeliest edge inside a position, all positions in step.
+        inside = np.flatnonzero(counts)
+        edge, best = first.take(inside), np.zeros(n, np.int64)
+        upto, most = chance.copy(), chance.take(edge)
+        row, left = 0, np.arange(len(inside))
+        while True:
+            row += 1
+            left = left.take(np.flatnonzero(counts.take(inside.take(left)) > row))
+            if not len(left):
+                break
+            e = edge.take(left) + row
+            upto[e] += upto.take(e - 1)
+            more = np.flatnonzero(chance.take(e) > most.take(left))
+            most[left.take(more)] = chance.take(e.take(more))
+            best[inside.take(left.take(more))] = row
+        upto[first[1:].take(inside) - 1] = 2.0
+        at = edge + best.take(inside)
+        low, high, others = np.zeros(n), np.zeros(n), np.full(n, -np.inf)
+        low[inside] = np.where(at > edge, upto.take(at - 1), 0.0)
+        high[inside] = upto.take(at)
+        chance[at] = 0.0
+        with np.errstate(divide="ignore"):
+            others[inside] = np.log(np.add.reduceat(chance, edge))
+        rare = np.flatnonzero((others < -600.0) & (counts > 1))  # too small for chances
+        if len(rare):
+            width = counts.take(rare) - 1
+            heads = np.cumsum(width) - width
+            e = np.arange(int(width.sum())) + np.repeat(first.take(rare) - heads, width)
+            e += e >= np.repeat(first.take(rare) + best.take(rare), width)
+            others[rare] = np.logaddexp.reduceat(logp.take(e), heads)
+        return counts, size, ids, logp, upto, best, low, high, others
 
     def rest(self, places: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """The log of the chance of the other edges at each place, as a sum of logarithms: none is too small."""
-        count = self.first[places + 1] - self.first[places]
-        row = np.arange(int(count.max()))[:, None]
-        other = self.first[places] + row
-        logs = np.where((row < count) & (other != edges), self.logp[np.minimum(other, len(self.logp) - 1)], -np.inf)
-        top = logs.max(0)
-        base = np.where(top > -np.inf, top, 0.0)
-        with np.errstate(divide="ignore"):
-            return base + np.log(np.exp(logs - base).sum(0))
+        """The log of the chance of the other edges at each place: none is too small."""
+        other = self.others.take(places)
+        rare = np.flatnonzero(self.best.take(places) != edges)
+        other[rare] = np.log1p(-np.exp(self.logp.take(edges.take(rare))))
+        return other
 
 
 def marked(text: str) -> str:
@@ -191,6 +246,14 @@ def marked(text: str) -> str:
     return MARK + text.replace(MARK, _HIDDEN).replace(" ", MARK)
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks of the marked text, each without the mark it starts with."""
+    parts = text.replace(MARK, _HIDDEN).split(" ")
+    if "" not in parts[:-1]:
+        return parts
+    return [c[1:] for c in _chunk.findall(marked(text))]
+
+
 class _Text:
     """The search of one text: its chunks as places in the batch, its open nodes and its paths.
 
@@ -220,48 +283,47 @@ class _Text:
         value, _, path, logp, c, p, excluded = heapq.heappop(self.heap)
         self.value = -value
         low, high = int(lattices.first[p]), int(lattices.first[p + 1])
-        logs = lattices.logp[low:high].copy()
-        logs[[e - low for e in excluded]] = -np.inf
-        chances = np.exp(logs - logs.max())
-        ends = np.cumsum(chances)
-        at = int(min(np.searchsorted(ends, self.rng.random() * ends[-1], "right"), np.flatnonzero(chances)[-1]))
-        logs[at] = -np.inf
-        top = float(logs.max())
-        if top > -math.inf:
-            others = top + math.log(np.exp(logs - top).sum())
-            self.push(float(truncated(logp + others, self.value, self.rng.standard_exponential())), path, logp, c, p, excluded | {low + at})
-        edge = low + at
+        logs = [(x, e) for e, x in enumerate(lattices.logp[low:high].tolist(), low) if e not in excluded]
+        top = max(logs)[0]
+        ends = list(accumulate(math.exp(x - top) for x, _ in logs))
+        at = min(bisect.bisect_right(ends, self.rng.random() * ends[-1]), bisect.bisect_left(ends, ends[-1]))
+        here, edge = logs.pop(at)
+        if logs:
+            top = max(logs)[0]
+            others = top + math.log(sum(math.exp(x - top) for x, _ in logs))
+            self.push(float(bounded(logp + others - math.log(self.rng.standard_exponential()), self.value)), path, logp, c, p, excluded | {edge})
         p += int(lattices.size[edge])
         c, p = (c + 1, None) if p == lattices.end[chunk[c]] else (c, p)
-        self.at = (np.append(path, np.int32(edge)), logp + float(lattices.logp[edge]), c, p)
+        self.at = (np.append(path, np.int32(edge)), logp + here, c, p)
         return True
 
     def walked(self, lattices: Lattices, offset: np.ndarray, starts: np.ndarray, edges: np.ndarray, wanted: int) -> None:
         """Notes the drawn rest of the path, and the ``wanted`` best open nodes: what branches off where a piece starts."""
         before, logp, _, _ = self.at
-        ahead = logp + np.cumsum(lattices.logp[edges])
-        here = np.concatenate([[logp], ahead[:-1]]) if len(edges) else ahead
-        path = np.concatenate([before, edges])
+        ahead = np.append(logp, logp + np.cumsum(lattices.logp.take(edges)))
+        path = np.concatenate([before, edges]) if len(before) else edges
         self.heap = heapq.nsmallest(wanted, self.heap)
         low, high = 0, 512
         while low < len(edges):
-            part = slice(low, high)
-            places = lattices.place[edges[part]]
-            location = here[part] + lattices.rest(places, edges[part])
-            values = truncated(location, self.value, self.rng.standard_exponential(len(places)))
-            for x in (np.argpartition(-values, wanted)[:wanted] if len(values) > wanted else np.arange(len(values))).tolist():
-                c = int(np.searchsorted(offset, starts[low + x], "right")) - 1
-                self.push(float(values[x]), path[: len(before) + low + x], float(here[low + x]), c, int(places[x]), frozenset([int(edges[low + x])]))
+            some = edges[low:high]
+            here = ahead[low : low + len(some)]
+            places = lattices.place.take(some)
+            # In the order of their values, without the bound that all share.
+            order = here + lattices.rest(places, some) - np.log(self.rng.standard_exponential(len(places)))
+            best = np.argpartition(-order, wanted)[:wanted] if len(order) > wanted else np.arange(len(order))
+            for x, value in zip(best.tolist(), bounded(order.take(best), self.value).tolist()):
+                c = int(offset.searchsorted(starts[low + x], "right")) - 1
+                self.push(value, path[: len(before) + low + x], float(here[x]), c, int(places[x]), frozenset([int(some[x])]))
             self.heap = heapq.nsmallest(wanted, self.heap)
-            if len(self.heap) == wanted and here[part][-1] < -self.heap[-1][0] - BEYOND:
+            if len(self.heap) == wanted and here[-1] < -self.heap[-1][0] - BEYOND:
                 break
             low, high = high, 2 * high
-        self.done.append((path, float(ahead[-1]) if len(edges) else logp, self.value))
+        self.done.append((path, float(ahead[-1]), self.value))
 
 
-def truncated(location, value, noise):
-    """Gumbel values at the locations, below ``value``, from exponential noise."""
-    return -np.logaddexp(-value, np.log(noise) - location)
+def bounded(order, value):
+    """Gumbel values at a location, less the log of exponential noise, under the condition that they are below ``value``."""
+    return -np.logaddexp(-value, -order)
 
 
 def _walk(lattices: Lattices, chunk: np.ndarray, offset: np.ndarray, texts: list[_Text], n_chars: int, wanted: int) -> None:
@@ -271,7 +333,7 @@ def _walk(lattices: Lattices, chunk: np.ndarray, offset: np.ndarray, texts: list
     p = lattices.start[chunk[c]]
     done = 0
     for t in texts:
-        chance[t.begin : t.end] = t.rng.random(t.end - t.begin)
+        t.rng.random(out=chance[t.begin : t.end])
         if t.at[3] is not None:
             p[done] = t.at[3]
         done += t.high - t.at[2]
@@ -280,15 +342,19 @@ def _walk(lattices: Lattices, chunk: np.ndarray, offset: np.ndarray, texts: list
     last, shift = lattices.end[chunk[c]], offset[c] - lattices.start[chunk[c]]
     while len(p):
         char = p + shift
-        draw, edge = chance[char], lattices.first[p]
-        more = np.flatnonzero(draw >= lattices.upto[edge])
-        while len(more):
-            edge[more] += 1
-            more = more[draw[more] >= lattices.upto[edge[more]]]
+        draw, edge = chance.take(char), lattices.best.take(p)
+        missed = np.flatnonzero((draw < lattices.low.take(p)) | (draw >= lattices.high.take(p)))
+        if len(missed):
+            draw, other = draw.take(missed), lattices.first.take(p.take(missed))
+            more = np.flatnonzero(draw >= lattices.upto.take(other))
+            while len(more):
+                other[more] += 1
+                more = more.take(np.flatnonzero(draw.take(more) >= lattices.upto.take(other.take(more))))
+            edge[missed] = other
         edge_at[char] = edge
-        p = p + lattices.size[edge]
-        left = p < last
-        p, last, shift = p[left], last[left], shift[left]
+        p += lattices.size.take(edge)
+        left = np.flatnonzero(p < last)
+        p, last, shift = p.take(left), last.take(left), shift.take(left)
     starts = np.flatnonzero(edge_at >= 0)
     edges = edge_at[starts]
     for t, i, j in zip(texts, np.searchsorted(starts, [t.begin for t in texts]).tolist(), np.searchsorted(starts, [t.end for t in texts]).tolist()):
@@ -297,25 +363,22 @@ def _walk(lattices: Lattices, chunk: np.ndarray, offset: np.ndarray, texts: list
 
 def samples_of(texts: list[str], pieces: Pieces, k: int, rngs: list[random.Random]) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` distinct segmentations as (ids, log probability, perturbed value, inclusion score), best first."""
-    number: dict[str, int] = {}
-    chunk, found, low, begin = [], [], 0, 0
-    for text, rng in zip(texts, rngs):
-        own = [number.setdefault(c, len(number)) for c in _chunk.findall(marked(text))]
-        chunk.append(np.array(own, np.int64))
-        size = len(text) + 1
-        found.append(_Text(low, low + len(own), begin, begin + size, rng))
-        low, begin = low + len(own), begin + size
-    chunk = np.concatenate(chunk)
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    chunks = [np.fromiter(map(number.__getitem__, own), np.int64, len(own)) for own in map(chunks_of, texts)]
+    low = np.cumsum([0, *map(len, chunks)]).tolist()
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)]).tolist()
+    found = [_Text(*x) for x in zip(low, low[1:], begin, begin[1:], rngs)]
+    chunk = np.concatenate(chunks)
     with np.errstate(divide="ignore"):
-        lattices = Lattices(pieces, list(number))
-        offset = np.concatenate([[0], np.cumsum((lattices.end - lattices.start)[chunk])])
+        lattices = Lattices(pieces, [MARK + c for c in number])
+        offset = np.concatenate([[0], np.cumsum((lattices.end - lattices.start).take(chunk))])
         going = found
         for wanted in range(k, 0, -1):
-            _walk(lattices, chunk, offset, going, begin, wanted)
+            _walk(lattices, chunk, offset, going, begin[-1], wanted)
             going = [t for t in going if wanted > 1 and t.open(lattices, chunk)]
             if not going:
                 break
-    return [[(_ids(pieces, lattices.id[path]), logp, value, _inclusion(logp + t.heap[0][0] if t.heap else math.inf)) for path, logp, value in t.done] for t in found]
+    return [[(_ids(pieces, lattices.id.take(path)), logp, value, _inclusion(logp + t.heap[0][0] if t.heap else math.inf)) for path, logp, value in t.done] for t in found]
 
 
 def samples(text: str, pieces: Pieces, k: int, rng: random.Random) -> list[tuple[list[int], float, float, float]]:
@@ -328,9 +391,9 @@ def _ids(pieces: Pieces, ids: np.ndarray) -> np.ndarray:
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids.astype(np.int32)
-    coded = [pieces.bytes_of(-1 - i) for i in ids[bare].tolist()]
+    coded = [pieces.bytes_of(-1 - i) for i in ids.take(bare).tolist()]
     size = np.ones(len(ids), np.int64)
-    size[bare] = [len(x) for x in coded]
+    size[bare] = list(map(len, coded))
     out = np.repeat(ids, size)
     out[out < 0] = [i for x in coded for i in x]
     return out.astype(np.int32)

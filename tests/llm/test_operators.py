@@ -660,6 +660,30 @@ def test_samples_do_not_depend_on_the_batch(monkeypatch):
         assert all(sampled_pieces.decode(ids, pieces) == (text or "") for ids, *_ in alone)
 
 
+def test_lattice_positions_know_their_likeliest_edge_and_the_rest():
+    import public_tokenizers
+
+    pieces = sampled_pieces.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = {pieces.model.id_to_piece(i): i for i in range(pieces.model.vocab_size()) if not (pieces.model.is_control(i) or pieces.model.is_unknown(i) or pieces.model.is_unused(i) or pieces.model.is_byte(i))}
+    chunks = ["▁the", "▁▁others", "▁Éan", "▁漢é\U000f0000x", "▁" + "-" * 70, "▁thing"]
+    lattices = sampled_pieces.Lattices(pieces, chunks)
+    for c, start, end in zip(chunks, lattices.start.tolist(), lattices.end.tolist()):
+        assert end - start == len(c)
+        for p in range(start, end):
+            low, high = int(lattices.first[p]), int(lattices.first[p + 1])
+            at, edges = p - start, np.arange(low, high)
+            want = {n: ids.get(c[at : at + n], -1 - ord(c[at])) for n in range(1, len(c) - at + 1) if n == 1 or c[at : at + n] in ids}
+            assert dict(zip(lattices.size[low:high].tolist(), lattices.id[low:high].tolist())) == want and (lattices.place[low:high] == p).all()
+            logs, best = lattices.logp[low:high], int(lattices.best[p])
+            assert logs[best - low] == logs.max()
+            assert lattices.low[p] == (lattices.upto[best - 1] if best > low else 0.0) and lattices.high[p] == lattices.upto[best] and lattices.upto[high - 1] > 1
+            with np.errstate(divide="ignore"):
+                found = lattices.rest(np.full(len(edges), p), edges)
+            for e, x in zip(edges.tolist(), found.tolist()):
+                other = np.delete(logs, e - low)
+                assert x == -math.inf if not len(other) else math.isclose(x, np.logaddexp.reduce(other), rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_sampled_turns_with_nulls_and_repeated_rows(spark, tmp_path):
     rows = [(1, 0, "user", None), (1, 1, "user", "hello there"), (1, 1, "user", "hello there"), (None, 2, "user", ""), (2, None, None, "x")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
