@@ -17,7 +17,10 @@ import re
 import sys
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice, pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from termweave.llm.blocks import map_batches, stored
 
 CAPACITY = 1024
 END = 2
-#: Segments that a worker remembers; reaching it only empties the memory.
+#: Segments, and parts of segments, that a worker remembers; reaching it only empties the memory.
 MEMORY = 600_000
 #: Bytes of text tokenised together.
 TOGETHER = 4 << 20
@@ -38,11 +41,17 @@ TOGETHER = 4 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 _workers: dict[str, Segments] = {}
 _ragged = re.compile(r" (?=\s|$)")
-_letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])")
+#: Stands between segments; no text can hold it.
+_BETWEEN = "\udfff"
+# The space before a segment and the letters that it starts with, if no other letter follows; its rest, or all of it.
+_head_and_tail = re.compile(rf"{_BETWEEN}((?: [A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_]))?)([^{_BETWEEN}]*)")
 # The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on, in order.
 _plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _plain)}
 _SPACE = chr(_alphabet[32])
+_mapped = np.array([_alphabet.get(b, b) for b in range(256)], "<u4")
+#: Runs of letters that the model is given at once.
+RUNS = 20
 
 
 def _four_bytes(ids: list[int]) -> bytes:
@@ -68,10 +77,17 @@ class Segments:
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {content: _four_bytes([i]) for content, i in special.items()}
         self.borders = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
-        self.spaced: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        # Runs of letters stay apart where no piece of letters holds a space beyond its start.
+        letters = set("".join(map(chr, _mapped[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]])) + _SPACE)
+        alike = self.model.dropout is None and not self.model.ignore_merges
+        self.runs = RUNS if alike and not any(_SPACE in v[1:] and letters.issuperset(v) for v in vocabulary) else 1
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for v, i in vocabulary.items() if v.startswith(_SPACE)]] = True
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.coded: list[bytes] = []
+        self.heads, self.tails = {"": b""}, {}
 
     def _tokens(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -99,13 +115,28 @@ class Segments:
         The letters that a segment starts with are a token group of their own, whatever follows; they and the
         rest are encoded once for all segments that share them.
         """
-        ends = [m.end() if (m := _letters.match(s)) else 0 for s in segments]
-        for head in {s[:e] for s, e in zip(segments, ends) if e}.difference(self.heads):
-            mapped = _SPACE + head if head.isascii() else (" " + head).encode().decode("latin-1").translate(_alphabet)
-            self.heads[head] = _four_bytes([t.id for t in self.model.tokenize(mapped)])
-        tails = list({s[e:] if e else " " + s for s, e in zip(segments, ends)}.difference(self.tails))
-        self.tails.update(zip(tails, self._encode(tails)))
-        self.spaced.update((s, self.heads[s[:e]] + self.tails[s[e:]] if e else self.tails[" " + s]) for s, e in zip(segments, ends))
+        if not segments:
+            return
+        if len(self.heads) + len(self.tails) > MEMORY:
+            self.heads, self.tails = {"": b""}, {}
+        start = _BETWEEN + " "
+        parts = _head_and_tail.split(start + start.join(segments))
+        heads, tails = parts[1::3], parts[2::3]
+        new = list(set(heads).difference(self.heads))
+        self.heads.update(zip(new, self._runs(new)))
+        new = list(set(tails).difference(self.tails))
+        self.tails.update(zip(new, self._encode(new)))
+        self.coded += map(add, map(self.heads.__getitem__, heads), map(self.tails.__getitem__, tails))
+
+    def _runs(self, heads: list[str]) -> list[bytes]:
+        """The ids of runs of letters with the space before them, which is where a run's first token starts."""
+        data = np.frombuffer("".join(heads).encode(), np.uint8)
+        text = _mapped[data].tobytes().decode("utf-32-le")
+        borders = [*np.flatnonzero(data == 32)[:: self.runs].tolist(), len(text)]
+        ids = np.array([t.id for a, b in pairwise(borders) for t in self.model.tokenize(text[a:b])], "<u4")
+        borders = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+        found = ids.tobytes()
+        return [found[a:b] for a, b in pairwise(borders)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -124,14 +155,17 @@ class Segments:
 
     def _plain_ids(self, texts: list[str]) -> list[bytes]:
         """The same for texts without special tokens."""
-        cuts = [self.cut(t) for t in texts]
-        if len(self.spaced) > MEMORY:
-            for memory in (self.spaced, self.heads, self.tails):
-                memory.clear()
-        known = self.spaced
-        self._learn(list(set().union(*(set(c[1:]).difference(known) for c in cuts))))
-        heads = self._encode([c[0] for c in cuts])
-        return [b"".join([head, *map(known.__getitem__, c[1:])]) for head, c in zip(heads, cuts)]
+        if len(self.coded) > MEMORY:
+            self.number, self.coded = defaultdict(count().__next__), []
+        heads, rows = [], []
+        for text in texts:
+            head, *others = self.cut(text)
+            heads.append(head)
+            rows.append(list(map(self.number.__getitem__, others)))
+        new = len(self.number) - len(self.coded)
+        self._learn(list(islice(reversed(self.number), new))[::-1])
+        coded = self.coded
+        return [b"".join([head, *map(coded.__getitem__, row)]) for head, row in zip(self._encode(heads), rows)]
 
 
 def _segments(path: str) -> Segments:

@@ -378,6 +378,28 @@ def test_segments_do_not_depend_on_their_neighbours():
     assert segments.ids(texts) == segments._encode(texts)
 
 
+def test_runs_of_letters_are_encoded_many_at_a_time(monkeypatch):
+    segments = bin_slack.Segments(queries.tokenizer_path())
+    model, asked = segments.model, []
+
+    def tokenize(text):
+        asked.append(text)
+        return model.tokenize(text)
+
+    segments.model = SimpleNamespace(tokenize=tokenize)
+    rng = random.Random(2)
+    letters = ["a", "the", "ß", "é", "ÿ", "Ö", "qu", "ch", "Á"]
+    runs = list({"".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(2000)})
+    texts = [" ".join(runs[i : i + 100]) for i in range(0, len(runs), 100)]
+    assert segments.ids(texts) == segments._encode(texts)
+    assert 0 < 10 * len(asked) < len(runs)
+    # What is forgotten is learnt again.
+    monkeypatch.setattr(bin_slack, "MEMORY", 150)
+    for batch in (texts[:3], [], ["", " "], texts[2:5], [runs[0], "x " + runs[0] + "ž " + runs[1] + "\n 7"], texts):
+        assert segments.ids(batch) == segments._encode(batch)
+    assert len(segments.coded) == len(segments.number)
+
+
 def components_of(rows, size, percent):
     sets = {}
     for key, text in rows:
