@@ -85,9 +85,14 @@ class Segments:
         self.runs = RUNS if alike and not any(_SPACE in v[1:] and letters.issuperset(v) for v in vocabulary) else 1
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for v, i in vocabulary.items() if v.startswith(_SPACE)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory; a worker lives on between tasks, beside the executor's heap."""
         self.number: defaultdict[str, int] = defaultdict(count().__next__)
         self.coded: list[bytes] = []
-        self.heads, self.tails = {"": b""}, {}
+        self.heads: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
 
     def _tokens(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -200,6 +205,7 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) ->
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    encoder.forget()
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -10,6 +10,7 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -398,6 +399,10 @@ def test_runs_of_letters_are_encoded_many_at_a_time(monkeypatch):
     for batch in (texts[:3], [], ["", " "], texts[2:5], [runs[0], "x " + runs[0] + "ž " + runs[1] + "\n 7"], texts):
         assert segments.ids(batch) == segments._encode(batch)
     assert len(segments.coded) == len(segments.number)
+    # A worker that has done its task keeps nothing.
+    rows = [pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]
+    assert sum(b.num_rows for b in bin_slack._cut_pieces(iter(rows), queries.tokenizer_path(), 1024)) >= len(texts)
+    assert not bin_slack._segments(queries.tokenizer_path()).coded
 
 
 def components_of(rows, size, percent):
